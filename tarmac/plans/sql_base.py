@@ -103,7 +103,7 @@ route_avg AS (
   SELECT route, avg(total_fare_inr) AS route_avg_fare FROM app_route WHERE route IS NOT NULL GROUP BY route
 ),
 fa AS (
-  SELECT r.*,
+  SELECT r.*, route_avg.route_avg_fare,
     {_CANCEL} AS is_cancelled,
     CAST(month(booking_date) AS INTEGER) AS booking_month,
     strftime(booking_date, '%b') AS booking_month_name,
@@ -133,3 +133,43 @@ def on_features(body: str) -> str:
 
 __all__ = ["BOOKINGS", "FEATURES_APP", "band_sql", "on_bookings", "on_features", "with_ctes",
            "BOOKING_WINDOW_BANDS", "LOYALTY_BANDS", "LEAD_TIME_BANDS_NOTEBOOK"]
+
+
+# ----------------------------------------------------------------------------- more CTEs
+def values_dim(key: str, values, ord_name: str = "ord") -> str:
+    rows = ", ".join(f"({_sql_str(v)}, {i})" for i, v in enumerate(values))
+    return f"(SELECT * FROM (VALUES {rows}) AS t({key}, {ord_name}))"
+
+
+def classify_sql(text: str, rule_set, other: str = "Other") -> str:
+    parts = []
+    for cat, pats in rule_set:
+        rx = "|".join(f"(?:{p})" for p in pats)
+        parts.append(f"WHEN regexp_matches({text}, {_sql_str(rx)}) THEN {_sql_str(cat)}")
+    return "CASE " + " ".join(parts) + f" ELSE {_sql_str(other)} END"
+
+
+def keywords_sql(text: str, rule_set) -> str:
+    hits = ", ".join(f"regexp_extract({text}, {_sql_str(p)})" for _, pats in rule_set for p in pats)
+    return f"array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x <> ''))), ', ')"
+
+
+def lookup_sql(col: str, mapping: dict, default: str) -> str:
+    parts = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in mapping.items())
+    return f"coalesce(CASE {col} {parts} END, {_sql_str(default)})"
+
+
+CLEAN_NOTEBOOK = """
+nb_stats AS (
+  SELECT (SELECT fare_basis FROM bookings WHERE fare_basis IS NOT NULL
+          GROUP BY fare_basis ORDER BY count(*) DESC, fare_basis LIMIT 1) AS fb_mode,
+         (SELECT median(satisfaction_score) FROM bookings) AS sat_median
+),
+nb_clean AS (
+  SELECT b.* REPLACE (coalesce(b.fare_basis, s.fb_mode) AS fare_basis,
+                      coalesce(b.ancillary_revenue_inr, 0.0) AS ancillary_revenue_inr,
+                      coalesce(b.payment_method, 'Unknown') AS payment_method,
+                      coalesce(b.satisfaction_score, s.sat_median) AS satisfaction_score,
+                      coalesce(b.customer_complaint, 'No') AS customer_complaint)
+  FROM bookings b CROSS JOIN nb_stats s
+)"""
