@@ -1,3 +1,120 @@
 """Oracle SQL for retrieval, report and model-evaluation queries."""
 
 from __future__ import annotations
+
+from ..functions.text import rules
+from .oracle import sql
+from .sql_base import (BOOKINGS, CLEAN_NOTEBOOK, FEATURES_APP, _sql_str, on_features, with_ctes)
+
+_BOOKING_DOC_COLS = """
+  'booking_' || booking_id AS doc_id, 'booking' AS doc_type,
+  'Booking ' || booking_id || ': ' || airline || ' flight from ' || origin || ' to ' || destination
+    || ' (' || haul_type || ', ' || cabin_class || ', ' || trip_type || '). Booked on '
+    || strftime(booking_date, '%Y-%m-%d') || ' 00:00:00 via ' || booking_channel || ' (' || booking_source || '). '
+    || 'Lead time: ' || CAST(lead_time_days AS VARCHAR) || ' days. '
+    || 'Passengers: ' || CAST(pax_count AS VARCHAR) || '. '
+    || 'Total fare: ₹' || format('{:,.0f}', total_fare_inr) || '. '
+    || 'Status: ' || booking_status || '. '
+    || 'Customer type: ' || CASE WHEN prior_bookings > 0 THEN 'Repeat' ELSE 'New' END
+    || ' (prior bookings: ' || CAST(prior_bookings AS VARCHAR) || '). '
+    || 'Satisfaction score: ' || coalesce(CAST(satisfaction_score AS VARCHAR), 'N/A') || '.' AS text"""
+
+_BOOKING_META = """
+  CAST(json_object('type', 'booking', 'booking_id', booking_id, 'airline', airline, 'origin', origin,
+                   'destination', destination, 'booking_status', booking_status,
+                   'cabin_class', cabin_class, 'booking_channel', booking_channel,
+                   'total_fare_inr', CAST(round(total_fare_inr, 2) AS VARCHAR)) AS VARCHAR) AS metadata_json"""
+
+_STRIP = "regexp_replace(customer_complaint, '^\\s+|\\s+$', '', 'g')"
+_HAS = ("customer_complaint IS NOT NULL AND "
+        "trim(lower(customer_complaint)) NOT IN ('nan', 'none', '')")
+_COMPLAINT_DOC_COLS = f"""
+  'complaint_' || booking_id AS doc_id, 'complaint' AS doc_type,
+  'Complaint from booking ' || booking_id || ' (' || airline || ', ' || booking_channel
+    || ', status: ' || booking_status || '): ' || {_STRIP} AS text"""
+_COMPLAINT_META = f"""
+  CAST(json_object('type', 'complaint', 'booking_id', booking_id, 'airline', airline,
+                   'booking_channel', booking_channel, 'booking_status', booking_status,
+                   'complaint_text', substring({_STRIP}, 1, 200)) AS VARCHAR) AS metadata_json"""
+
+sql("booking_documents", on_features(f"SELECT {_BOOKING_DOC_COLS}, {_BOOKING_META} FROM fa"))
+sql("complaint_documents", on_features(
+    f"SELECT {_COMPLAINT_DOC_COLS}, {_COMPLAINT_META} FROM fa WHERE {_HAS}"))
+
+_INDEX = f"""
+idx AS (
+  SELECT {_BOOKING_DOC_COLS} FROM fa
+  UNION ALL
+  SELECT {_COMPLAINT_DOC_COLS} FROM fa WHERE {_HAS}
+),
+batch AS (
+  SELECT {_BOOKING_DOC_COLS} FROM nb_clean
+  WHERE booking_id IN (SELECT booking_id FROM bookings WHERE satisfaction_score IS NULL)
+),
+upserted AS (
+  SELECT * FROM idx WHERE doc_id NOT IN (SELECT doc_id FROM batch)
+  UNION ALL SELECT * FROM batch
+)"""
+
+sql("upsert_documents", with_ctes(BOOKINGS, FEATURES_APP, CLEAN_NOTEBOOK, _INDEX,
+                                  body="SELECT doc_id, doc_type, text FROM upserted"))
+sql("index_completeness", with_ctes(BOOKINGS, FEATURES_APP, CLEAN_NOTEBOOK, _INDEX, body=f"""
+SELECT e.bookings, e.complaint_docs, g.indexed, e.bookings + e.complaint_docs AS expected,
+       g.indexed >= e.bookings + e.complaint_docs AS complete
+FROM (SELECT count(*) AS bookings,
+             CAST(sum(CASE WHEN {_HAS} THEN 1 ELSE 0 END) AS BIGINT) AS complaint_docs FROM fa) e,
+     (SELECT count(*) AS indexed FROM upserted) g"""))
+
+_DOT = ("list_reduce(list_transform(list_zip(e.embedding, q.query_embedding), "
+        "lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)), lambda acc, x: acc + x)")
+_TOPK = f"""
+WITH q AS (
+  SELECT f.label AS query_label, f.query_id, e.embedding AS query_embedding
+  FROM (SELECT label, min(vec_id) AS query_id FROM embeddings GROUP BY label) f
+  JOIN embeddings e ON e.vec_id = f.query_id
+),
+scored AS (
+  SELECT q.query_label, q.query_id, e.vec_id, e.label, {_DOT} AS score
+  FROM embeddings e CROSS JOIN q
+),
+hits AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored QUALIFY rank <= 8
+)"""
+sql("cosine_topk", _TOPK + """
+SELECT query_label, query_id, rank, vec_id, label, round(1 - (1 - score), 4) AS similarity FROM hits""")
+sql("prompt_context", _TOPK + """
+SELECT h.query_id,
+       string_agg('[Record ' || CAST(h.rank AS VARCHAR) || ' | similarity='
+                  || CAST(round(1 - (1 - h.score), 4) AS VARCHAR) || ']' || chr(10) || d.text,
+                  chr(10) || chr(10) ORDER BY h.rank) AS context,
+       count(*) AS n_records
+FROM hits h JOIN documents d ON d.doc_id = h.vec_id
+GROUP BY h.query_id""")
+
+_questions = ", ".join(f"({i}, {_sql_str(c)})" for i, (c, _) in enumerate(rules("dashboard")))
+sql("text_embed_topk", with_ctes(BOOKINGS, FEATURES_APP, f"""
+corpus AS (
+  SELECT {_BOOKING_DOC_COLS} FROM fa
+  UNION ALL
+  SELECT {_COMPLAINT_DOC_COLS} FROM fa WHERE {_HAS}
+),
+tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM corpus),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM corpus),
+idf AS (SELECT term, ln((m + 1) / (CAST(count(*) AS DOUBLE) + 1)) AS idf FROM tf, m GROUP BY term, m),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+dw AS (SELECT doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END AS weight FROM w JOIN nrm USING (doc_id)),
+qs AS (SELECT * FROM (VALUES {_questions}) AS t(query_id, question)),
+qtok AS (SELECT query_id, unnest(string_split_regex(lower(question), '\\s+')) AS term FROM qs),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM qtok WHERE term <> '' GROUP BY ALL),
+qw AS (SELECT query_id, term, tf * coalesce(idf, ln(m + 1.0)) AS w FROM qtf LEFT JOIN idf USING (term), m),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY query_id),
+qv AS (SELECT query_id, term, w / norm AS q_weight FROM qw JOIN qn USING (query_id)),
+sc AS (SELECT query_id, doc_id, round(sum(weight * q_weight), 9) AS score
+       FROM dw JOIN qv USING (term) GROUP BY query_id, doc_id)""", body="""
+SELECT CAST(query_id AS INTEGER) AS query_id,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM sc QUALIFY rank <= 8"""))
