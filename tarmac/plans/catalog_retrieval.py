@@ -71,3 +71,16 @@ def q_text_embed_topk(spark, sf):
     questions = spark.createDataFrame(list(enumerate(QUESTION_CATEGORIES)), "query_id int, question string")
     qvec = retrieval.embed_queries(questions, idf, corpus.agg(F.count(F.lit(1)).alias("_m")))
     return retrieval.sparse_top_k(weights, qvec).select("query_id", "rank", "doc_id", "score")
+
+
+@query("metrics_facts")
+def q_metrics_facts(spark, sf):
+    from ..operators import complaints, report
+    f = fa(spark, sf)
+    return report.fact_lines(f, complaints.complaints_app(f))
+
+
+@query("metrics_text")
+def q_metrics_text(spark, sf):
+    from ..operators import report
+    return report.context_text(q_metrics_facts(spark, sf))

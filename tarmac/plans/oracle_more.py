@@ -118,3 +118,120 @@ SELECT CAST(query_id AS INTEGER) AS query_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
        doc_id, score
 FROM sc QUALIFY rank <= 8"""))
+
+
+# ----------------------------------------------------------------------------- R6 report
+def _report_sql() -> str:
+    from ..operators.report import SEP, TITLE
+    from ..schema import CABIN_ORDER, MONTHS_SHORT
+    from .sql_base import values_dim
+    from .oracle import _TAGGED
+
+    M = "coalesce(format('{{:,.0f}}', round(CAST({} AS DOUBLE), 2)), 'nan')".format
+    FX = "coalesce(format('{{:.{}f}}', CAST({} AS DOUBLE)), 'nan')".format
+
+    def const(b, p, text):
+        return f"SELECT {b} AS block, CAST({p} AS BIGINT) AS pos, {_sql_str(text)} AS line"
+
+    def rows(b, line, src, order, start=1):
+        return (f"SELECT {b} AS block, CAST(row_number() OVER (ORDER BY {order}) + {start - 1} AS BIGINT) AS pos, "
+                f"{line} AS line FROM {src}")
+
+    def dim(key):
+        return (f"(SELECT {key} AS value, count(*) AS bookings, sum(total_fare_inr) AS revenue, "
+                f"avg(total_fare_inr) AS avg_fare, avg(CAST(is_cancelled AS DOUBLE)) AS cancel_rate, "
+                f"avg(satisfaction_score) AS avg_satisfaction FROM fa WHERE {key} IS NOT NULL GROUP BY {key})")
+
+    def cdim(key):
+        return f"(SELECT {key} AS value, count(*) AS complaints FROM tagged WHERE {key} IS NOT NULL GROUP BY {key})"
+
+    h = "hd"
+    parts = [
+        const(0, 0, SEP), const(0, 1, TITLE),
+        f"SELECT 0, CAST(2 AS BIGINT), 'Total bookings: ' || {M('n')} FROM {h}",
+        f"SELECT 0, CAST(3 AS BIGINT), 'Date range: ' || CAST(first_date AS VARCHAR) || ' to ' || CAST(last_date AS VARCHAR) FROM {h}",
+        f"SELECT 0, CAST(4 AS BIGINT), 'Airlines: ' || airlines FROM {h}",
+        const(0, 5, SEP),
+        const(1, 0, "\n-- REVENUE --"),
+        f"SELECT 1, CAST(1 AS BIGINT), 'Total revenue: INR ' || {M('revenue')} FROM {h}",
+        f"SELECT 1, CAST(2 AS BIGINT), 'Average fare per booking: INR ' || {M('mean_fare')} FROM {h}",
+        f"SELECT 1, CAST(3 AS BIGINT), 'Median fare: INR ' || {M('median_fare')} FROM {h}",
+        const(2, 0, "Revenue by airline:"),
+        rows(2, f"'  ' || value || ': INR ' || {M('revenue')}", dim("airline"), "revenue DESC, value"),
+        const(3, 0, "Revenue by cabin class:"),
+        rows(3, f"'  ' || value || ': INR ' || {M('revenue')}",
+             f"({values_dim('value', CABIN_ORDER)} LEFT JOIN {dim('cabin_class')} USING (value))", "ord"),
+        const(4, 0, "Revenue by booking source (NDC vs GDS):"),
+        rows(4, f"'  ' || value || ': INR ' || {M('revenue')}", dim("booking_source"), "value"),
+        const(5, 0, "Revenue by booking channel:"),
+        rows(5, f"'  ' || value || ': INR ' || {M('revenue')}", dim("booking_channel"), "revenue DESC, value"),
+        const(6, 0, "Top 10 routes by revenue:"),
+        rows(6, f"'  ' || value || ': INR ' || {M('revenue')}",
+             f"(SELECT * FROM {dim('route')} ORDER BY revenue DESC, value LIMIT 10)", "revenue DESC, value"),
+        const(7, 0, "\n-- CANCELLATIONS --"),
+        f"SELECT 7, CAST(1 AS BIGINT), 'Overall cancellation/refund rate: ' || {FX(2, 'cancel_rate * 100')} || '%' FROM {h}",
+        f"SELECT 7, CAST(2 AS BIGINT), 'Total cancelled/refunded: ' || {M('cancelled')} || ' of ' || {M('n')} FROM {h}",
+        const(8, 0, "Booking status breakdown:"),
+        rows(8, f"'  ' || value || ': ' || {M('bookings')} || ' (' || {FX(1, 'bookings / n * 100')} || '%)'",
+             f"({dim('booking_status')} CROSS JOIN (SELECT n FROM {h}))", "bookings DESC, value"),
+    ]
+    for b, (name, title) in enumerate([("booking_channel", "Cancellation rate by booking channel:"),
+                                       ("cabin_class", "Cancellation rate by cabin class:"),
+                                       ("trip_type", "Cancellation rate by trip type:"),
+                                       ("airline", "Cancellation rate by airline:")], start=9):
+        parts += [const(b, 0, title),
+                  rows(b, f"'  ' || value || ': ' || {FX(2, 'cancel_rate * 100')} || '%'", dim(name),
+                       "cancel_rate DESC, value")]
+    months = f"({values_dim('value', MONTHS_SHORT)} LEFT JOIN {dim('booking_month_name')} USING (value))"
+    parts += [
+        const(13, 0, "\n-- BOOKING TRENDS --"), const(13, 1, "Monthly booking volume:"),
+        rows(13, f"'  ' || value || ': ' || {M('coalesce(bookings, 0)')}", months, "ord", start=2),
+        const(14, 0, "Monthly revenue:"),
+        rows(14, f"'  ' || value || ': INR ' || {M('coalesce(revenue, 0.0)')}", months, "ord"),
+        const(15, 0, "\n-- ROUTE POPULARITY --"), const(15, 1, "Top 10 routes by booking volume:"),
+        rows(15, f"'  ' || value || ': ' || {M('bookings')} || ' bookings'",
+             f"(SELECT * FROM {dim('route')} ORDER BY bookings DESC, value LIMIT 10)", "bookings DESC, value",
+             start=2),
+        const(16, 0, "\n-- CUSTOMER BEHAVIOUR --"), const(16, 1, "New vs Repeat customer comparison:"),
+        rows(16, f"'  ' || value || ': ' || {M('bookings')} || ' bookings | Avg fare INR ' || "
+                 f"{M('round_even(avg_fare, 2)')} || ' | Cancel rate ' || {FX(1, 'round_even(cancel_rate, 2) * 100')}"
+                 f" || '% | Avg satisfaction ' || {FX(2, 'round_even(avg_satisfaction, 2)')}",
+             dim("customer_type"), "value", start=2),
+        const(17, 0, "\n-- SATISFACTION --"),
+        f"SELECT 17, CAST(1 AS BIGINT), 'Overall avg satisfaction: ' || {FX(2, 'avg_satisfaction')} || ' / 5' FROM {h}",
+        const(17, 2, "Average satisfaction by airline:"),
+        rows(17, f"'  ' || value || ': ' || {FX(2, 'avg_satisfaction')}", dim("airline"),
+             "avg_satisfaction DESC NULLS LAST, value", start=3),
+        const(18, 0, "\n-- COMPLAINTS --"),
+        f"SELECT 18, CAST(1 AS BIGINT), 'Total bookings with complaints: ' || {M('n_complaints')} || ' (' || "
+        f"{FX(1, 'n_complaints / n * 100')} || '%)' FROM {h}",
+        const(18, 2, "Complaint categories:"),
+        rows(18, f"'  ' || value || ': ' || {M('complaints')}", cdim("category"), "complaints DESC, value", start=3),
+        const(19, 0, "Complaints by airline:"),
+        rows(19, f"'  ' || value || ': ' || {M('complaints')}", cdim("airline"), "complaints DESC, value"),
+        const(20, 0, "Complaints by channel:"),
+        rows(20, f"'  ' || value || ': ' || {M('complaints')}", cdim("booking_channel"), "complaints DESC, value"),
+        const(21, 0, "\n-- CHANNEL PERFORMANCE --"), const(21, 1, "Booking channel performance summary:"),
+        rows(21, f"'  ' || value || ': ' || {M('bookings')} || ' bookings | Revenue INR ' || {M('revenue')} || "
+                 f"' | Avg fare INR ' || {M('avg_fare')} || ' | Cancel rate ' || {FX(1, 'cancel_rate * 100')} || '%'",
+             dim("booking_channel"), "value", start=2),
+        const(22, 0, "\n" + SEP),
+    ]
+    body = "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in parts)
+    hd = """
+hd AS (
+  SELECT count(*) AS n, min(booking_date) AS first_date, max(booking_date) AS last_date,
+         string_agg(DISTINCT airline, ', ' ORDER BY airline) AS airlines,
+         sum(total_fare_inr) AS revenue, avg(total_fare_inr) AS mean_fare, median(total_fare_inr) AS median_fare,
+         avg(CAST(is_cancelled AS DOUBLE)) AS cancel_rate, CAST(sum(is_cancelled) AS BIGINT) AS cancelled,
+         avg(satisfaction_score) AS avg_satisfaction, (SELECT count(*) FROM tagged) AS n_complaints
+  FROM fa
+),
+lines AS (""" + body + "\n)"
+    return with_ctes(BOOKINGS, FEATURES_APP, _TAGGED, hd, body="")
+
+
+_REPORT = _report_sql()
+sql("metrics_facts", _REPORT + "SELECT CAST(block AS INTEGER) AS block, pos, line FROM lines")
+sql("metrics_text", _REPORT + """SELECT string_agg(line, chr(10) ORDER BY block, pos) AS context,
+       count(*) AS n_lines FROM lines""")
