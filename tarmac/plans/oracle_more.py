@@ -235,3 +235,81 @@ _REPORT = _report_sql()
 sql("metrics_facts", _REPORT + "SELECT CAST(block AS INTEGER) AS block, pos, line FROM lines")
 sql("metrics_text", _REPORT + """SELECT string_agg(line, chr(10) ORDER BY block, pos) AS context,
        count(*) AS n_lines FROM lines""")
+
+
+# ----------------------------------------------------------------------------- M: model checks
+def _model_sql():
+    from ..schema import NOTEBOOK_CATEGORICAL_FEATURES
+    from .oracle import _NB_FEATURES
+
+    sql("stratified_split", on_features("""
+SELECT booking_id, is_cancelled,
+       CASE WHEN rn - 1 < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT booking_id, is_cancelled,
+             row_number() OVER (PARTITION BY is_cancelled ORDER BY md5('42:' || booking_id), booking_id) AS rn,
+             count(*) OVER (PARTITION BY is_cancelled) AS n
+      FROM fa)"""))
+
+    cols = NOTEBOOK_CATEGORICAL_FEATURES
+    firsts = ", ".join(f"coalesce(min(CAST({c} AS VARCHAR)), 'nan') AS f_{c}" for c in cols)
+    feats = ", ".join(
+        f"CASE WHEN coalesce(CAST({c} AS VARCHAR), 'nan') <> f_{c} "
+        f"THEN '{c}_' || coalesce(CAST({c} AS VARCHAR), 'nan') END" for c in cols)
+    sql("onehot_drop_first", with_ctes(BOOKINGS, CLEAN_NOTEBOOK, _NB_FEATURES, f"""
+firsts AS (SELECT {firsts} FROM fn)""", body=f"""
+SELECT booking_id,
+       array_to_string(list_sort(list_filter([{feats}], lambda x: x IS NOT NULL)), '|') AS active_features
+FROM fn CROSS JOIN firsts"""))
+
+    scored = """
+rates_ch AS (SELECT booking_channel, avg(CAST(is_cancelled AS DOUBLE)) AS ch_rate FROM fa GROUP BY booking_channel),
+rates_lb AS (SELECT lead_time_bin, avg(CAST(is_cancelled AS DOUBLE)) AS lb_rate FROM fa
+             WHERE lead_time_bin IS NOT NULL GROUP BY lead_time_bin),
+rates_all AS (SELECT avg(CAST(is_cancelled AS DOUBLE)) AS all_rate FROM fa),
+scored AS (
+  SELECT fa.*, (ch_rate + coalesce(lb_rate, all_rate)) / 2 AS score, ch_rate * 100 AS channel_cancel_pct
+  FROM fa LEFT JOIN rates_ch USING (booking_channel) LEFT JOIN rates_lb USING (lead_time_bin)
+  CROSS JOIN rates_all
+)"""
+    sql("risk_tier_reasons", with_ctes(BOOKINGS, FEATURES_APP, scored, body="""
+SELECT booking_id, round(score, 9) AS score, round(score * 100, 6) AS prob_pct,
+       CASE WHEN score * 100 >= 60 THEN '🔴 HIGH RISK' WHEN score * 100 >= 35 THEN '🟡 MEDIUM RISK'
+            ELSE '🟢 LOW RISK' END AS risk_tier,
+       CASE WHEN score * 100 >= 60 THEN '⚠️ Flag for proactive agent outreach. Consider mandatory deposit.'
+            WHEN score * 100 >= 35 THEN 'ℹ️ Monitor booking. Send automated confirmation reminder.'
+            ELSE '✅ Standard processing. No intervention required.' END AS risk_action,
+       CASE WHEN lead_time_days > 90 THEN 'High' WHEN lead_time_days > 30 THEN 'Medium' ELSE 'Low' END
+         AS lead_impact,
+       CASE WHEN total_fare_inr > 100000 THEN 'High' WHEN total_fare_inr > 30000 THEN 'Medium' ELSE 'Low' END
+         AS fare_impact,
+       CASE WHEN prior_bookings > 3 THEN 'Low (loyal customer)' WHEN prior_bookings > 0 THEN 'Medium'
+            ELSE 'High (new customer)' END AS history_impact,
+       round(channel_cancel_pct, 6) AS channel_cancel_pct
+FROM scored"""))
+
+    sql("auc_roc_curve", with_ctes(BOOKINGS, FEATURES_APP, scored, """
+per AS (SELECT round(score, 12) AS threshold, CAST(sum(is_cancelled) AS BIGINT) AS pos,
+               CAST(sum(1 - is_cancelled) AS BIGINT) AS neg FROM scored GROUP BY round(score, 12)),
+cum AS (
+  SELECT threshold, pos, neg,
+         sum(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+         sum(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+         coalesce(sum(neg) OVER (ORDER BY threshold ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS neg_below,
+         sum(pos) OVER () AS p_all, sum(neg) OVER () AS n_all
+  FROM per
+)""", body="""
+SELECT round(threshold, 9) AS threshold, pos, neg, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       round(CAST(tp AS DOUBLE) / p_all, 9) AS tpr, round(CAST(fp AS DOUBLE) / n_all, 9) AS fpr,
+       round(sum(pos * (neg_below + neg / 2.0)) OVER () / CAST(p_all * n_all AS DOUBLE), 9) AS auc
+FROM cum"""))
+
+    sql("confusion_matrix", with_ctes(BOOKINGS, FEATURES_APP, scored, body="""
+SELECT g.actual, g.predicted, coalesce(c.count, 0) AS count
+FROM (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(actual, predicted)) g
+LEFT JOIN (SELECT CAST(is_cancelled AS INTEGER) AS actual,
+                  CAST(score > (SELECT all_rate FROM rates_all) AS INTEGER) AS predicted, count(*) AS count
+           FROM scored GROUP BY ALL) c USING (actual, predicted)"""))
+
+
+_model_sql()
