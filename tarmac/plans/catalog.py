@@ -283,4 +283,4 @@ def names() -> list[str]:
 
 
 # Further query groups register themselves on import.
-from . import catalog_model, catalog_retrieval, catalog_text  # noqa: E402,F401
+from . import catalog_model, catalog_retrieval, catalog_stream, catalog_text  # noqa: E402,F401

@@ -313,3 +313,19 @@ LEFT JOIN (SELECT CAST(is_cancelled AS INTEGER) AS actual,
 
 
 _model_sql()
+
+
+def _stream_sql():
+    from ..schema import DEFAULT_ROUTING, DEFAULT_SEVERITY, ROUTING, SEVERITY
+    from .oracle import on_tagged, _DASH
+    from .sql_base import keywords_sql, lookup_sql
+    sql("stream_classify", on_tagged(f"""
+SELECT booking_id, airline, booking_channel, booking_status, customer_complaint, category,
+       {lookup_sql('category', SEVERITY, DEFAULT_SEVERITY)} AS severity,
+       {lookup_sql('category', {k: v[0] for k, v in ROUTING.items()}, DEFAULT_ROUTING[0])} AS routing_team,
+       {lookup_sql('category', {k: v[1] for k, v in ROUTING.items()}, DEFAULT_ROUTING[1])} AS routing_action,
+       {keywords_sql('lower(customer_complaint)', _DASH)} AS matched_keywords
+FROM tagged"""))
+
+
+_stream_sql()

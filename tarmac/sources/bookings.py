@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import position_in_group
-from ..schema import BOOKING_COLUMNS
+from ..schema import BOOKING_COLUMNS, BOOKING_SCHEMA
 from ..session import scratch_path
 from .tables import read_table
 
@@ -147,8 +147,8 @@ _CACHE: dict[tuple[str, str], str] = {}
 _LOCK = threading.Lock()
 
 
-def materialized_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bookings`` written once per application to the shared folder, then scanned."""
+def materialized_bookings_path(spark: SparkSession, sf_dir: str) -> str:
+    """Write ``bookings`` once per application to the shared folder; return the path."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
         path = _CACHE.get(key)
@@ -156,4 +156,9 @@ def materialized_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch_path(spark, "bookings", hashlib.md5(key[1].encode()).hexdigest()[:12])
             bookings(spark, sf_dir).write.mode("overwrite").parquet(path)
             _CACHE[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def materialized_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bookings`` written once per application to the shared folder, then scanned."""
+    return spark.read.schema(BOOKING_SCHEMA).parquet(materialized_bookings_path(spark, sf_dir))
