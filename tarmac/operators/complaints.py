@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import top_k
-from ..functions.text import (classify, classify_notebook, has_complaint, matched_keywords,
+from ..functions.text import (classify, classify_notebook, has_complaint, matched_keywords,  # noqa: F401
                               routing_action, routing_team, rules, severity)
 from ..schema import OTHER_CATEGORY, ROUTING, SEVERITY
 

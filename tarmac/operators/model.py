@@ -171,7 +171,7 @@ def preprocess_stages(categorical: list[str], numeric: list[str]):
     ohe = [f"{c}__ohe" for c in categorical]
     stages += [StringIndexer(inputCols=[f"{c}__s" for c in categorical], outputCols=idx,
                              handleInvalid="keep", stringOrderType="alphabetAsc"),
-               OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+               OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
                VectorAssembler(inputCols=["_num_scaled"] + ohe, outputCol="features")]
     return stages
 
