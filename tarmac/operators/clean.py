@@ -50,7 +50,8 @@ def clean_app(df: DataFrame) -> DataFrame:
 def clean_notebook(df: DataFrame) -> DataFrame:
     """Notebook cleaning: mode / 0 / 'Unknown' / median / 'No'.
 
-    Mode and median come from one aggregate pass over the raw table.
+    Mode and median come from one aggregate pass over the raw table; both keep a
+    value -> count map, which is bounded here (fare bases and 1-5 scores).
     """
     stats = df.agg(F.mode("fare_basis", deterministic=True).alias("_fb"),
                    F.median("satisfaction_score").alias("_sat"))

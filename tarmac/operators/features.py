@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, flag, quantile_exprs, safe_div
+from ..functions.quantiles import quantiles
 from ..schema import (BOOKING_WINDOW_BANDS, CANCELLED_STATUSES, CUSTOMER_TYPE_APP,
                       FARE_QUINTILE_LABELS, LEAD_TIME_BANDS_APP, LEAD_TIME_BANDS_NOTEBOOK,
                       LOYALTY_BANDS, ROUTE_SEP_APP, ROUTE_SEP_NOTEBOOK)
@@ -41,9 +42,12 @@ def with_group_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 def quintile_edges(df: DataFrame, value: str = "total_fare_inr", exact: bool = True) -> DataFrame:
-    """One-row frame with the 0/20/40/60/80/100 % cut points of ``value``."""
-    q = quantile_exprs(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], exact=exact)
-    return df.agg(q.alias("_edges"))
+    """One-row frame with the 0/20/40/60/80/100 % cut points of ``value`` (exact,
+    bounded memory; ``exact=False`` uses the sketch alone)."""
+    probs = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    if exact:
+        return quantiles(df, value, probs, out="_edges")
+    return df.agg(quantile_exprs(value, probs, exact=False).alias("_edges"))
 
 
 def with_fare_quintile(df: DataFrame, value: str = "total_fare_inr", out: str = "fare_quintile",

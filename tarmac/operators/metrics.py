@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import arg_max, order_dim, safe_div, share_pct, top_k
+from ..functions.quantiles import quantiles
 from ..schema import CABIN_ORDER, LEAD_TIME_BANDS_APP, MONTHS_SHORT
 
 
@@ -70,9 +71,9 @@ def avg_fare_by(fa: DataFrame, key: str = "cabin_class") -> DataFrame:
 
 
 def fare_mean_median(fa: DataFrame) -> DataFrame:
-    """Overall mean and (exact, interpolated) median fare."""
-    return fa.agg(F.avg("total_fare_inr").alias("mean_fare"),
-                  F.median("total_fare_inr").alias("median_fare"))
+    """Overall mean and (exact, interpolated, bounded-memory) median fare."""
+    med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
+    return fa.agg(F.avg("total_fare_inr").alias("mean_fare")).crossJoin(med)
 
 
 CANCEL_DIMENSIONS = ["booking_channel", "cabin_class", "trip_type", "airline"]

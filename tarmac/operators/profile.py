@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quantile_exprs
+from ..functions.quantiles import quantiles
 
 
 def _stack(one_row: DataFrame, names: list[str], fields: list[str], name_col: str = "column_name") -> DataFrame:
@@ -65,13 +66,19 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quantile_exprs(x, [0.25, 0.5, 0.75], exact).alias(f"{c}__q"),
                  F.max(x).alias(f"{c}__max")]
     one = df.agg(*aggs)
-    long = _stack(one, cols, ["count", "mean", "std", "min", "q", "max"])
-    return long.select("column_name", "count", "mean", "std", "min",
-                       F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
-                       F.col("q")[2].alias("p75"), "max")
+    long = _stack(one, cols, ["count", "mean", "std", "min", "max"])
+    # Quartiles of all columns at once: unpivot, then bounded-memory exact selection.
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], cols, "column_name", "v")
+    if exact:
+        q = quantiles(values, "v", [0.25, 0.5, 0.75], by=["column_name"])
+    else:
+        q = values.groupBy("column_name").agg(quantile_exprs("v", [0.25, 0.5, 0.75], False).alias("q"))
+    return long.join(F.broadcast(q), "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+        F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def column_profile(df: DataFrame, column: str) -> DataFrame:
@@ -120,7 +127,8 @@ def validate_total_fare(df: DataFrame) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """One-row frame: Q1, Q3, IQR and the 1.5 x IQR fences of ``column``."""
-    q = df.agg(quantile_exprs(column, [0.25, 0.75], exact).alias("_q"))
+    q = (quantiles(df, column, [0.25, 0.75], out="_q") if exact
+         else df.agg(quantile_exprs(column, [0.25, 0.75], False).alias("_q")))
     return q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")).withColumns({
         "iqr": F.col("q3") - F.col("q1"),
         "lower": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
@@ -158,7 +166,9 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, exact: b
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "column_name", "v").where(F.col("v").isNotNull())
     gk = keys + ["column_name"]
-    q = (long.groupBy(*gk).agg(quantile_exprs("v", [0.25, 0.5, 0.75], exact).alias("_q"))
+    qs = (quantiles(long, "v", [0.25, 0.5, 0.75], by=gk, out="_q") if exact
+          else long.groupBy(*gk).agg(quantile_exprs("v", [0.25, 0.5, 0.75], False).alias("_q")))
+    q = (qs
          .select(*gk, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
          .withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
@@ -216,25 +226,26 @@ def target_correlation(df: DataFrame, columns: list[str], target: str = "is_canc
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, n_boot: int = 1000, seed: int = 42,
-                   ci: float = 95.0) -> DataFrame:
+                   ci: float = 95.0, row_id: str = "booking_id") -> DataFrame:
     """Q19: group mean with a bootstrap interval (Poisson(1) weights, seeded per row).
 
-    Each row is replicated ``n_boot`` times with a Poisson weight derived from
-    hash(seed, replicate, row); weighted sums per (key, replicate) are partial-aggregated
-    before the shuffle, so the data never concentrates beyond (groups x replicates) rows.
+    Each row is replicated ``n_boot`` times (``explode(sequence)``, no join) with a
+    Poisson weight derived from hash(seed, replicate, row id): the draw depends only on
+    the row's own key, so a recomputed task after an executor loss draws the same
+    weights.  Weighted sums per (key, replicate) are partial-aggregated before the
+    shuffle, so nothing concentrates beyond (groups x replicates) rows.
     """
     x = F.col(value).cast("double")
     base = df.where(F.col(key).isNotNull() & x.isNotNull()).select(
-        key, x.alias("_v"), F.monotonically_increasing_id().alias("_row"))
-    reps = base.sparkSession.range(n_boot).withColumnRenamed("id", "_b")
+        key, x.alias("_v"), F.col(row_id).alias("_row"))
     # Poisson(1) by inversion of a per-(row, replicate) uniform draw.
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("_b"), F.col("_row"), F.col(key))) % 1_000_000_007) / 1_000_000_007.0
+    u = (F.abs(F.xxhash64(F.lit(seed), F.col("_b"), F.col("_row"))) % 1_000_000_007) / 1_000_000_007.0
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
            0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
     w = F.lit(len(cdf))
     for k in range(len(cdf) - 1, -1, -1):
         w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    weighted = (base.crossJoin(F.broadcast(reps))
+    weighted = (base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
                 .select(key, "_b", w.alias("_w"), "_v")
                 .groupBy(key, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
                 .where(F.col("_n") > 0)

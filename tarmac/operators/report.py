@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order_dim
+from ..functions.quantiles import quantiles
 from ..session import checkpoint_dir
 from ..schema import CABIN_ORDER, MONTHS_SHORT
 
@@ -79,12 +80,12 @@ def headline(fa: DataFrame, tagged: DataFrame) -> DataFrame:
                F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"),
                F.array_join(F.array_sort(F.collect_set("airline")), ", ").alias("airlines"),
                F.sum("total_fare_inr").alias("revenue"), F.avg("total_fare_inr").alias("mean_fare"),
-               F.median("total_fare_inr").alias("median_fare"),
                F.avg(F.col("is_cancelled").cast("double")).alias("cancel_rate"),
                F.sum("is_cancelled").cast("bigint").alias("cancelled"),
                F.avg("satisfaction_score").alias("avg_satisfaction"))
     c = tagged.agg(F.count(F.lit(1)).alias("n_complaints"))
-    return g.crossJoin(c)
+    med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
+    return g.crossJoin(c).crossJoin(med)
 
 
 class _Consts:
