@@ -34,19 +34,34 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     by = list(by)
     probs = [float(p) for p in probs]
     k = len(probs)
-    eps = 4.0 / accuracy
-    lo_p = [max(p - eps, 0.0) for p in probs]
-    hi_p = [min(p + eps, 1.0) for p in probs]
+    # Bracket half-widths in probability space, narrowest first.  A width w brackets
+    # the exact ranks when w * n covers the sketch error (n / accuracy) plus a few ranks;
+    # per group the narrowest sufficient width is used, and [min, max] when n is tiny.
+    widths = [4.0 / accuracy, 1e-4, 1e-3, 1e-2, 1e-1]
+    widths = sorted({w for w in widths if w >= 4.0 / accuracy})
+    asks = []
+    for w in widths:
+        asks += [max(p - w, 0.0) for p in probs] + [min(p + w, 1.0) for p in probs]
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     sk = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_ap"))
+        F.percentile_approx("_v", F.array(*[F.lit(a) for a in asks]), accuracy).alias("_ap"))
     rows = []
+    n = F.col("_n")
     for i, p in enumerate(probs):
-        lo = F.col("_mn") if lo_p[i] <= 0.0 else F.col("_ap")[i]
-        hi = F.col("_mx") if hi_p[i] >= 1.0 else F.col("_ap")[k + i]
-        h = F.lit(p) * (F.col("_n") - 1)
+        lo = F.col("_mn")
+        hi = F.col("_mx")
+        # Walk from the widest width to the narrowest so the narrowest sufficient wins.
+        for j in range(len(widths) - 1, -1, -1):
+            w = widths[j]
+            base_ix = j * 2 * k
+            ok = n * F.lit(w) >= F.lit(4.0) + n / F.lit(float(accuracy))
+            lo_j = F.col("_mn") if p - w <= 0.0 else F.col("_ap")[base_ix + i]
+            hi_j = F.col("_mx") if p + w >= 1.0 else F.col("_ap")[base_ix + k + i]
+            lo = F.when(ok, lo_j).otherwise(lo)
+            hi = F.when(ok, hi_j).otherwise(hi)
+        h = F.lit(p) * (n - 1)
         rows.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), h.alias("h"),
                              F.floor(h).alias("r0"), F.ceil(h).alias("r1")))
     # One row per (group, probability); bounded by groups x len(probs).

@@ -67,11 +67,11 @@ QUESTION_CATEGORIES = [c for c, _ in rules("dashboard")]
 @query("text_embed_topk")
 def q_text_embed_topk(spark, sf):
     corpus = retrieval.all_documents(fa(spark, sf)).select("doc_id", "text")
-    weights, norms, idf = retrieval.tfidf(corpus)
+    tf, idf, norms = retrieval.tfidf(corpus)
     questions = spark.createDataFrame(list(enumerate(QUESTION_CATEGORIES)), "query_id int, question string")
     n_docs = idf.select("_m").first()[0]
     qvec = retrieval.embed_queries(questions, idf, n_docs)
-    return retrieval.sparse_top_k(weights, norms, qvec).select("query_id", "rank", "doc_id", "score")
+    return retrieval.sparse_top_k(tf, norms, qvec).select("query_id", "rank", "doc_id", "score")
 
 
 @query("metrics_facts")

@@ -30,6 +30,7 @@ def get_session(master: str | None = None, app: str = "tarmac",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    conf["spark.driver.memory"] = "8g"   # local mode: the driver JVM is the executor
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

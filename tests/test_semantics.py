@@ -191,3 +191,24 @@ def test_has_complaint_modes(spark):
     assert got["not_no"] == [False, False, False, True, True]
     assert got["length"] == [False, False, True, True, True]
     assert got["stripped"] == [False, False, True, False, True]
+
+
+def test_bounded_quantiles_equal_exact_percentile_at_many_sizes(spark):
+    import random
+    from tarmac.functions.quantiles import quantiles
+    rnd = random.Random(7)
+    rows = []
+    for g in range(40):
+        size = rnd.choice([1, 2, 3, 5, 8, 13, 40, 101, 300])
+        tie_heavy = g % 3 == 0
+        for _ in range(size):
+            v = float(rnd.randint(0, 4)) if tie_heavy else round(rnd.uniform(-50, 50), 2)
+            rows.append((g, v))
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r.g: r.q for r in quantiles(df, "v", probs, by=["g"]).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
