@@ -24,11 +24,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 DEFAULT_ACCURACY = 100_000
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-              accuracy: int = DEFAULT_ACCURACY, out: str = "q") -> DataFrame:
+              accuracy: int = DEFAULT_ACCURACY, out: str = "q", materialize: bool = True) -> DataFrame:
     """One row per group of ``by`` with ``out`` = array of exact quantiles (NULLs skipped);
     equal to ``percentile(value, probs)``.  Groups whose values are all NULL are absent."""
     by = list(by)
@@ -42,7 +44,12 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     asks = []
     for w in widths:
         asks += [max(p - w, 0.0) for p in probs] + [min(p + w, 1.0) for p in probs]
+    # The narrow (group, value) input is read by both passes; a reliable checkpoint in
+    # the shared folder keeps the upstream plan from being computed twice.
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if materialize:  # skip when the caller already passes a materialised frame
+        checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
 
     sk = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),

@@ -243,3 +243,17 @@ def ranked_weights(spark, names: list[str], values: list[float], k: int = 15, na
     df = spark.createDataFrame(list(zip(names, [float(v) for v in values])), f"feature string, {name} double")
     w = Window.orderBy(F.abs(F.col(name)).desc(), F.col("feature"))  # one row per feature
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# FIXED VALUES: the features whose importance the dashboard looks up by name.
+LOOKUP_FEATURES = ["lead_time_days", "total_fare_inr", "fare_to_avg_route_fare", "tax_ratio", "base_fare_inr"]
+
+
+def importance_lookup(top: DataFrame, names: list[str] = LOOKUP_FEATURES) -> DataFrame:
+    """F6 + W4: each named feature's importance ('{:.4f}', or a dash when it is not in
+    the ranked table) and its rank; ``top`` is the small ranked-importance frame."""
+    spark = top.sparkSession
+    wanted = spark.createDataFrame(list(enumerate(names)), "ord int, feature string")
+    return (F.broadcast(wanted).join(top, "feature", "left")
+            .select("ord", "feature", "rank",
+                    F.coalesce(F.format_number("importance", 4), F.lit("—")).alias("importance_text")))

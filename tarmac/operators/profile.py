@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import quantile_exprs
 from ..functions.quantiles import quantiles
+from ..session import checkpoint_dir
 
 
 def _stack(one_row: DataFrame, names: list[str], fields: list[str], name_col: str = "column_name") -> DataFrame:
@@ -163,10 +164,13 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, exact: b
     The fence table has one row per (group, column).
     """
     keys = [by] if by else []
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, "column_name", "v").where(F.col("v").isNotNull())
+    checkpoint_dir(df.sparkSession)
+    # Narrow long frame, read by the quartile passes and the whisker pass: materialised
+    # once in the shared folder so the upstream plan runs once.
+    long = (df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        keys, columns, "column_name", "v").where(F.col("v").isNotNull()).checkpoint(eager=True))
     gk = keys + ["column_name"]
-    qs = (quantiles(long, "v", [0.25, 0.5, 0.75], by=gk, out="_q") if exact
+    qs = (quantiles(long, "v", [0.25, 0.5, 0.75], by=gk, out="_q", materialize=False) if exact
           else long.groupBy(*gk).agg(quantile_exprs("v", [0.25, 0.5, 0.75], False).alias("_q")))
     q = (qs
          .select(*gk, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),

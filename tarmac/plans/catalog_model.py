@@ -122,3 +122,9 @@ def q_coefficients(spark, sf):
 def q_mean_fare_bootstrap(spark, sf):
     """Q19: mean fare per cabin with a 95 % bootstrap interval (1000 Poisson replicates)."""
     return profile.bootstrap_mean(fa(spark, sf), "cabin_class", "total_fare_inr", n_boot=1000, seed=42)
+
+
+@query("feature_lookup")
+def q_feature_lookup(spark, sf):
+    """Importance text and rank of the named features in the top-15 table."""
+    return model.importance_lookup(q_feature_importance(spark, sf))

@@ -53,6 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # A machine-local folder is not shared by executors: refuse on a cluster.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3) "
+                               "for checkpoints and hand-over tables")
         conf_dir = tempfile.mkdtemp(prefix="tarmac-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
