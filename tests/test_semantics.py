@@ -212,3 +212,19 @@ def test_bounded_quantiles_equal_exact_percentile_at_many_sizes(spark):
     assert got.keys() == want.keys()
     for g in want:
         assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+
+
+def test_tfidf_numeric_and_string_keys_agree(spark):
+    docs = spark.createDataFrame(
+        [(f"d{i}", t) for i, t in enumerate(["refund late refund", "seat seat window", "late flight",
+                                              "refund the seat", "  spaced   words here ", "window"])],
+        "doc_id string, text string")
+    qs = spark.createDataFrame([(0, "refund"), (1, "seat window"), (2, "unseen words")],
+                               "query_id int, question string")
+    out = []
+    for numeric in (True, False):
+        tf, idf, norms = retrieval.tfidf(docs, numeric_ids=numeric)
+        qv = retrieval.embed_queries(qs, idf, 6)
+        out.append(sorted(tuple(r) for r in retrieval.sparse_top_k(tf, norms, qv, k=3)
+                          .select("query_id", "rank", "doc_id", "score").collect()))
+    assert out[0] == out[1] and out[0][0][:3] == (0, 1, "d0")
