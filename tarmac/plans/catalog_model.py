@@ -128,3 +128,16 @@ def q_mean_fare_bootstrap(spark, sf):
 def q_feature_lookup(spark, sf):
     """Importance text and rank of the named features in the top-15 table."""
     return model.importance_lookup(q_feature_importance(spark, sf))
+
+
+@query("lr_metrics_notebook")
+def q_lr_metrics_notebook(spark, sf):
+    """M2 + M7: the notebook's model - balanced logistic regression on its 17 categorical
+    and 10 numeric features (notebook cleaning and derived columns), same split rule."""
+    from ..schema import NOTEBOOK_NUMERIC_FEATURES
+    fn = features.features_notebook(raw(spark, sf))
+    split = model.stratified_split(fn)
+    m = model.fit_logistic(split.where(F.col("split") == "train"), categorical=NOTEBOOK_CATEGORICAL_FEATURES,
+                           numeric=NOTEBOOK_NUMERIC_FEATURES)
+    return model.evaluate(m, split.where(F.col("split") == "test"), "Logistic Regression (notebook features)",
+                          categorical=NOTEBOOK_CATEGORICAL_FEATURES, numeric=NOTEBOOK_NUMERIC_FEATURES)
