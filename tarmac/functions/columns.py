@@ -83,3 +83,20 @@ def reindex(spark_df: DataFrame, dim: DataFrame, key: str, fill: dict | None = N
 def order_dim(spark, key: str, values: Sequence[str]) -> DataFrame:
     """Fixed display order as a small DataFrame (key, ord)."""
     return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{key} string, ord int")
+
+
+def with_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add every column of each one-row frame to ``df`` as a scalar subquery.
+
+    Catalyst runs an uncorrelated scalar subquery once and inlines its value into the
+    projection, so no join (and no cross product) is planned and ``df`` keeps its
+    partitioning.  A frame that returns more than one row fails at run time, as the
+    scalar-subquery contract requires.
+    """
+    out = df
+    for i, one in enumerate(one_row):
+        packed = one.select(F.struct(*one.columns).alias("_s")).scalar()
+        tmp = f"_scalar{i}"
+        out = (out.withColumn(tmp, packed)
+               .withColumns({c: F.col(tmp)[c] for c in one.columns}).drop(tmp))
+    return out

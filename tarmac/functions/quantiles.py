@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .columns import with_scalars
 
 DEFAULT_ACCURACY = 100_000
 
@@ -74,8 +75,14 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     # One row per (group, probability); bounded by groups x len(probs).
     brackets = sk.select(*by, F.explode(F.array(*rows)).alias("_b")).select(*by, "_b.*")
 
-    joined = (base.join(F.broadcast(brackets), by, "inner") if by
-              else base.crossJoin(F.broadcast(brackets)))
+    if by:
+        # One bracket row per (group, probability): bounded by groups x len(probs).
+        joined = base.join(F.broadcast(brackets), by, "inner")
+    else:
+        # No groups: the len(probs) brackets are one scalar array, exploded per row.
+        packed = brackets.agg(F.collect_list(F.struct("i", "lo", "hi", "h", "r0", "r1")).alias("_bs"))
+        joined = (with_scalars(base, packed).select("_v", F.explode("_bs").alias("_b"))
+                  .select("_v", "_b.*"))
     inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
     # ONE aggregation: a row per candidate value (ties collapsed) plus one NULL-key row
     # per (group, probability) carrying the count of rows below the bracket.

@@ -1,8 +1,8 @@
 """Cleaning (C1-C6) and the two cleaned-table variants of the analysis.
 
-Statistics used as fill values (mode, median) are computed as one-row aggregates and
-cross-joined (broadcast, one row - a proven size bound) onto the table, so the fill stays
-inside one lazy plan; nothing is collected.
+Statistics used as fill values (mode, median) are one-row aggregates attached as scalar
+subqueries (run once, value inlined), so the fill stays inside one lazy plan with no
+join; nothing is collected.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_scalars
+
 
 def fill_with_stat(df: DataFrame, column: str, stat: str) -> DataFrame:
     """Fill NULLs of ``column`` with its mode (ties -> smallest) or median."""
@@ -20,7 +22,7 @@ def fill_with_stat(df: DataFrame, column: str, stat: str) -> DataFrame:
     else:
         raise ValueError(f"unknown statistic {stat!r}")
     one_row = df.agg(agg.alias("_fill"))
-    return (df.crossJoin(F.broadcast(one_row))
+    return (with_scalars(df, one_row)
             .withColumn(column, F.coalesce(F.col(column), F.col("_fill").cast(df.schema[column].dataType)))
             .drop("_fill"))
 
@@ -55,7 +57,7 @@ def clean_notebook(df: DataFrame) -> DataFrame:
     """
     stats = df.agg(F.mode("fare_basis", deterministic=True).alias("_fb"),
                    F.median("satisfaction_score").alias("_sat"))
-    return (df.crossJoin(F.broadcast(stats))
+    return (with_scalars(df, stats)
             .withColumns({
                 "fare_basis": F.coalesce("fare_basis", "_fb"),
                 "ancillary_revenue_inr": F.coalesce("ancillary_revenue_inr", F.lit(0.0)),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import top_k
+from ..functions.columns import top_k, with_scalars
 from ..functions.text import (classify, classify_notebook, has_complaint, matched_keywords,  # noqa: F401
                               routing_action, routing_team, rules, severity)
 from ..schema import OTHER_CATEGORY, ROUTING, SEVERITY
@@ -79,16 +79,21 @@ def complaints_by_dims(tagged: DataFrame, dims=("category", "airline", "booking_
     return agg.where(keep).select(dimension.alias("dimension"), value.alias("value"), "complaints")
 
 
-def crosstab_pct(tagged: DataFrame, column: str) -> DataFrame:
-    """Category x column counts and column percent, zero cells included."""
-    counts = (tagged.where(F.col(column).isNotNull())
-              .groupBy("category", column).agg(F.count(F.lit(1)).alias("n")))
-    cats = counts.select("category").distinct()
-    vals = counts.select(column).distinct()
-    # Both sides are distinct values of bounded vocabularies (categories <= 10).
-    grid = F.broadcast(cats).crossJoin(vals)
+def crosstab_pct(tagged: DataFrame, column: str, rule_set=None) -> DataFrame:
+    """Category x column counts and column percent, zero cells included.
+
+    One aggregate: a row per value of ``column`` with a count per category of the rule
+    set (given pivot values), unpivoted to long form.  Cells are kept for the observed
+    categories only (those with a count somewhere), as in a crosstab of the data.
+    """
+    rule_set = rule_set or rules("dashboard")
+    cats = [c for c, _ in rule_set] + [OTHER_CATEGORY]
+    wide = (tagged.where(F.col(column).isNotNull())
+            .groupBy(column).pivot("category", cats).count())
+    long = wide.unpivot(column, [F.col(f"`{c}`") for c in cats], "category", "n")
+    observed = F.max(F.col("n").isNotNull().cast("int")).over(Window.partitionBy("category")) == 1
     w = Window.partitionBy(column)
-    return (grid.join(counts, ["category", column], "left")
+    return (long.withColumn("_obs", observed).where(F.col("_obs"))
             .withColumn("complaints", F.coalesce("n", F.lit(0)).cast("bigint"))
             .withColumn("col_pct", F.col("complaints") * 100.0 / F.sum("complaints").over(w))
             .select("category", column, "complaints", "col_pct"))
@@ -115,7 +120,7 @@ def complaint_kpis(tagged: DataFrame, n_bookings: DataFrame) -> DataFrame:
         F.col("airline").alias("top_airline"))
     top_ch = top_k(counts_by(tagged, "booking_channel"), 1, "complaints", "booking_channel").select(
         F.col("booking_channel").alias("top_channel"))
-    return (total.crossJoin(n_bookings).crossJoin(top_cat).crossJoin(top_air).crossJoin(top_ch)
+    return (with_scalars(total, n_bookings, top_cat, top_air, top_ch)
             .withColumn("complaint_share_pct", F.col("total_complaints") * 100.0 / F.col("bookings"))
             .drop("bookings"))
 
@@ -152,4 +157,4 @@ def summary_input(tagged: DataFrame, n_sample: int = 30, rule_set=None) -> DataF
         lambda s: F.concat(F.lit("- "), s["customer_complaint"])), "\n").alias("sample_complaints"),
         F.count(F.lit(1)).alias("n_sampled"))
     total = tagged.agg(F.count(F.lit(1)).alias("n_complaints"))
-    return total.crossJoin(cat_lines).crossJoin(air_lines).crossJoin(sample_lines)
+    return with_scalars(total, cat_lines, air_lines, sample_lines)

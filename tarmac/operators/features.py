@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import band, flag, quantile_exprs, safe_div
+from ..functions.columns import band, flag, quantile_exprs, safe_div, with_scalars
 from ..functions.quantiles import quantiles
 from ..schema import (BOOKING_WINDOW_BANDS, CANCELLED_STATUSES, CUSTOMER_TYPE_APP,
                       FARE_QUINTILE_LABELS, LEAD_TIME_BANDS_APP, LEAD_TIME_BANDS_NOTEBOOK,
@@ -56,7 +56,7 @@ def with_fare_quintile(df: DataFrame, value: str = "total_fare_inr", out: str =
 
     Bin = 1 + number of inner edges strictly below the value (right-closed bins).
     """
-    edges = F.broadcast(quintile_edges(df, value, exact))  # exactly one row
+    edges = quintile_edges(df, value, exact)  # exactly one row: a scalar subquery
     e = F.col("_edges")
     v = F.col(value)
     ordinal = (F.lit(1) + (v > e[1]).cast("int") + (v > e[2]).cast("int")
@@ -65,7 +65,7 @@ def with_fare_quintile(df: DataFrame, value: str = "total_fare_inr", out: str =
     label_arr = F.array(*[F.lit(x) for x in labels])
     labelled = F.when(v.isNull(), F.lit(None)).otherwise(F.element_at(label_arr, ordinal))
     checked = F.when(~increasing, F.raise_error(F.lit("Bin edges must be unique: quantile cut points repeat")))
-    return (df.crossJoin(edges)
+    return (with_scalars(df, edges)
             .withColumn(out, F.coalesce(checked.cast("string"), labelled))
             .withColumn(out + "_ord", F.when(v.isNotNull(), ordinal))
             .drop("_edges"))
@@ -140,7 +140,7 @@ def what_if_rows(candidates: DataFrame, reference: DataFrame, use_route_mean: bo
                  .groupBy("route").agg(F.avg("total_fare_inr").alias("_mean_fare")))
         df = df.join(means, "route", "left")
     else:
-        df = df.crossJoin(F.broadcast(reference.agg(F.avg("total_fare_inr").alias("_mean_fare"))))
+        df = with_scalars(df, reference.agg(F.avg("total_fare_inr").alias("_mean_fare")))
     return (df.withColumns({
         "fare_per_passenger": F.when(F.col("pax_count") != 0, F.col("total_fare_inr") / F.col("pax_count"))
                                .otherwise(F.col("total_fare_inr")),

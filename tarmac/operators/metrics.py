@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import arg_max, order_dim, safe_div, share_pct, top_k
+from ..functions.columns import arg_max, order_dim, safe_div, share_pct, top_k, with_scalars
 from ..functions.quantiles import quantiles
 from ..schema import CABIN_ORDER, LEAD_TIME_BANDS_APP, MONTHS_SHORT
 
@@ -73,7 +73,7 @@ def avg_fare_by(fa: DataFrame, key: str = "cabin_class") -> DataFrame:
 def fare_mean_median(fa: DataFrame) -> DataFrame:
     """Overall mean and (exact, interpolated, bounded-memory) median fare."""
     med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
-    return fa.agg(F.avg("total_fare_inr").alias("mean_fare")).crossJoin(med)
+    return with_scalars(fa.agg(F.avg("total_fare_inr").alias("mean_fare")), med)
 
 
 CANCEL_DIMENSIONS = ["booking_channel", "cabin_class", "trip_type", "airline"]
@@ -157,30 +157,29 @@ def month_kpis(fa: DataFrame) -> DataFrame:
                 .select(F.col("booking_month_name").alias("peak_revenue_month"),
                         F.col("revenue").alias("peak_revenue")))
     avg_m = m.agg(F.avg(F.col("bookings").cast("double")).alias("avg_monthly_bookings"))
-    return peak_vol.crossJoin(peak_rev).crossJoin(avg_m)
+    return with_scalars(peak_vol, peak_rev, avg_m)
 
 
 def channel_mix_by_month(fa: DataFrame) -> DataFrame:
-    """Month x channel counts and row percent; grid of 12 months x seen channels.
+    """Month x channel counts and row percent; 12 months x seen channels.
 
+    One aggregate: a row per channel with a count per calendar month (the 12 pivot
+    values are given, so no pass is needed to find them), unpivoted back to long form.
     A month without bookings keeps NULL counts and shares (the reindexed wide table has
     an all-NaN row); a seen month missing one channel gets 0.
     """
-    spark = fa.sparkSession
     base = _nonnull(fa, "booking_month_name", "booking_channel")
-    counts = base.groupBy("booking_month_name", "booking_channel").agg(F.count(F.lit(1)).alias("n"))
-    months_seen = counts.select("booking_month_name").distinct().withColumn("_seen", F.lit(True))
-    channels = counts.select("booking_channel").distinct()
-    dim = order_dim(spark, "booking_month_name", MONTHS_SHORT)
-    # channels: one row per distinct channel (bounded by the channel vocabulary).
-    grid = F.broadcast(dim).crossJoin(F.broadcast(channels))
-    out = (grid.join(counts, ["booking_month_name", "booking_channel"], "left")
-           .join(F.broadcast(months_seen), "booking_month_name", "left")
-           .withColumn("bookings", F.when(F.col("_seen"), F.coalesce("n", F.lit(0))).cast("bigint")))
-    w = Window.partitionBy("booking_month_name")
-    return out.select(F.col("ord").alias("month_ord"), "booking_month_name", "booking_channel",
-                      "bookings",
-                      safe_div(F.col("bookings") * 100.0, F.sum("bookings").over(w)).alias("share_pct"))
+    wide = base.groupBy("booking_channel").pivot("booking_month_name", MONTHS_SHORT).count()
+    long = wide.unpivot("booking_channel", [F.col(f"`{m}`") for m in MONTHS_SHORT],
+                        "booking_month_name", "n")
+    month = Window.partitionBy("booking_month_name")
+    seen = F.max(F.col("n").isNotNull().cast("int")).over(month) == 1
+    bookings = F.when(seen, F.coalesce("n", F.lit(0))).cast("bigint")
+    month_ord = F.array_position(F.array(*[F.lit(m) for m in MONTHS_SHORT]), F.col("booking_month_name")) - 1
+    return (long.withColumn("bookings", bookings)
+            .select(month_ord.cast("int").alias("month_ord"), "booking_month_name", "booking_channel",
+                    "bookings",
+                    safe_div(F.col("bookings") * 100.0, F.sum("bookings").over(month)).alias("share_pct")))
 
 
 def customer_summary(fa: DataFrame, with_prior: bool = False) -> DataFrame:
@@ -222,8 +221,7 @@ def top_routes_volume(fa: DataFrame, k: int = 10) -> DataFrame:
 def status_share(fa: DataFrame) -> DataFrame:
     """Bookings per status and share of all bookings (percent)."""
     total = fa.agg(F.count(F.lit(1)).alias("_all"))
-    return (value_counts(fa, "booking_status").withColumnRenamed("count", "bookings")
-            .crossJoin(F.broadcast(total))
+    return (with_scalars(value_counts(fa, "booking_status").withColumnRenamed("count", "bookings"), total)
             .withColumn("share_pct", F.col("bookings") * 100.0 / F.col("_all")).drop("_all"))
 
 

@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_scalars
 from ..functions.ranking import position_in_group
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES, RISK_TIERS
 
@@ -49,7 +50,7 @@ def onehot_drop_first(df: DataFrame, columns: list[str], key: str = "booking_id"
     """Active one-hot feature names per row with the first (sorted) level of every column
     dropped; a missing value is its own level 'nan' (sorted last, as NaN is).
 
-    The first level per column comes from one aggregate (a one-row frame, broadcast);
+    The first level per column comes from one aggregate (a one-row scalar subquery);
     the encoding itself is a projection - no shuffle of the rows.
     """
     firsts = df.agg(*[F.coalesce(F.min(F.col(c).cast("string")), F.lit("nan")).alias(f"_f_{c}")
@@ -58,7 +59,7 @@ def onehot_drop_first(df: DataFrame, columns: list[str], key: str = "booking_id"
     for c in columns:
         v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
         feats.append(F.when(v != F.col(f"_f_{c}"), F.concat(F.lit(f"{c}_"), v)))
-    return (df.crossJoin(F.broadcast(firsts))
+    return (with_scalars(df, firsts)
             .select(key, F.array_join(F.array_sort(F.array_compact(F.array(*feats))), sep)
                     .alias("active_features")))
 
@@ -91,9 +92,8 @@ def rate_score(fa: DataFrame) -> DataFrame:
     ch = fa.groupBy("booking_channel").agg(F.avg(label).alias("_ch_rate"))
     lb = fa.where(F.col("lead_time_bin").isNotNull()).groupBy("lead_time_bin").agg(F.avg(label).alias("_lb_rate"))
     overall = fa.agg(F.avg(label).alias("_all_rate"))
-    return (fa.join(F.broadcast(ch), "booking_channel", "left")
-            .join(F.broadcast(lb), "lead_time_bin", "left")
-            .crossJoin(F.broadcast(overall))
+    return (with_scalars(fa.join(F.broadcast(ch), "booking_channel", "left")
+                         .join(F.broadcast(lb), "lead_time_bin", "left"), overall)
             .withColumn("score", (F.col("_ch_rate") + F.coalesce("_lb_rate", "_all_rate")) / 2)
             .withColumn("channel_cancel_pct", F.col("_ch_rate") * 100)
             .drop("_ch_rate", "_lb_rate", "_all_rate"))
@@ -157,7 +157,7 @@ def class_weights(train: DataFrame, label: str = "is_cancelled") -> DataFrame:
     """Balanced weights n / (2 n_class) as a two-row frame."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     total = counts.agg(F.sum("_nc").alias("_n"))
-    return counts.crossJoin(total).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("weight"))
+    return with_scalars(counts, total).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("weight"))
 
 
 def preprocess_stages(categorical: list[str], numeric: list[str]):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import quantile_exprs
+from ..functions.columns import quantile_exprs, with_scalars
 from ..functions.quantiles import quantiles
 from ..session import checkpoint_dir
 
@@ -89,8 +89,8 @@ def column_profile(df: DataFrame, column: str) -> DataFrame:
     top = freq.orderBy(F.col("n").desc(), F.col("value")).limit(1)
     stats = df.agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("non_null"),
                    F.countDistinct(c).alias("n_distinct"))
-    return (stats.crossJoin(top.select(F.col("value").cast("string").alias("top_value"),
-                                       F.col("n").alias("top_count")))
+    return (with_scalars(stats, top.select(F.col("value").cast("string").alias("top_value"),
+                                           F.col("n").alias("top_count")))
             .select(F.lit(column).alias("column_name"), "rows", "non_null",
                     (F.col("rows") - F.col("non_null")).alias("nulls"), "n_distinct",
                     "top_value", "top_count"))
@@ -138,18 +138,18 @@ def iqr_bounds(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, column: str = "total_fare_inr", exact: bool = True) -> DataFrame:
-    """Q14 rows: the rows outside the fences (bounds broadcast as one row)."""
-    b = F.broadcast(iqr_bounds(df, column, exact))
+    """Q14 rows: the rows outside the fences (bounds attached as scalar subqueries)."""
+    b = iqr_bounds(df, column, exact)
     x = F.col(column)
-    return df.crossJoin(b).where((x < F.col("lower")) | (x > F.col("upper")))
+    return with_scalars(df, b).where((x < F.col("lower")) | (x > F.col("upper")))
 
 
 def iqr_outlier_summary(df: DataFrame, column: str = "total_fare_inr", exact: bool = True) -> DataFrame:
     """Q14 count form: fences plus number of outliers and rows."""
-    b = F.broadcast(iqr_bounds(df, column, exact))
+    b = iqr_bounds(df, column, exact)
     x = F.col(column)
     out = (x < F.col("lower")) | (x > F.col("upper"))
-    return (df.select(column).crossJoin(b)
+    return (with_scalars(df.select(column), b)
             .groupBy("q1", "q3", "iqr", "lower", "upper")
             .agg(F.sum(F.coalesce(out, F.lit(False)).cast("bigint")).alias("n_outliers"),
                  F.count(F.lit(1)).alias("rows"))
@@ -189,7 +189,7 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, exact: b
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
     """Q16 / Q20: equal-width histogram over [min, max]; the max falls in the last bin.
 
-    Range comes from a one-row aggregate joined by broadcast; bins of all groups share it.
+    Range comes from a one-row aggregate (a scalar subquery); bins of all groups share it.
     """
     x = F.col(column).cast("double")
     rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
@@ -197,7 +197,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("_lo")) / width * bins), F.lit(bins - 1)))
     keys = [by] if by else []
-    binned = (df.where(x.isNotNull()).crossJoin(F.broadcast(rng))
+    binned = (with_scalars(df.where(x.isNotNull()), rng)
               .select(*keys, idx.cast("int").alias("bin"), "_lo", "_hi"))
     return (binned.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
             .select(*keys, "bin",

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import order_dim
+from ..functions.columns import order_dim, with_scalars
 from ..functions.quantiles import quantiles
 from ..session import checkpoint_dir
 from ..schema import CABIN_ORDER, MONTHS_SHORT
@@ -85,7 +85,7 @@ def headline(fa: DataFrame, tagged: DataFrame) -> DataFrame:
                F.avg("satisfaction_score").alias("avg_satisfaction"))
     c = tagged.agg(F.count(F.lit(1)).alias("n_complaints"))
     med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
-    return g.crossJoin(c).crossJoin(med)
+    return with_scalars(g, c, med)
 
 
 class _Consts:
@@ -173,7 +173,7 @@ def fact_lines(fa: DataFrame, tagged: DataFrame) -> DataFrame:
                  F.concat(F.lit("Total cancelled/refunded: "), money("cancelled"), F.lit(" of "), money("n"))
                  .alias("line")),
         _const(spark, 8, 0, "Booking status breakdown:"),
-        _rows(dim("booking_status").crossJoin(h.select("n")), 8,
+        _rows(with_scalars(dim("booking_status"), h.select("n")), 8,
               F.concat(F.lit("  "), v, F.lit(": "), money("bookings"), F.lit(" ("),
                        fixed(F.col("bookings") / F.col("n") * 100, 1), F.lit("%)")),
               [-F.col("bookings"), v]),

@@ -6,6 +6,7 @@ import threading
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_scalars
 from ..operators import features, model, profile
 from ..schema import NOTEBOOK_CATEGORICAL_FEATURES
 from ..session import scratch_path
@@ -45,7 +46,7 @@ def q_auc_roc_curve(spark, sf):
 def q_confusion_matrix(spark, sf):
     s = _scored(spark, sf)
     overall = s.agg(F.avg(F.col("is_cancelled").cast("double")).alias("_cut"))
-    pred = (s.crossJoin(F.broadcast(overall))
+    pred = (with_scalars(s, overall)
             .withColumn("prediction", (F.col("score") > F.col("_cut")).cast("int")))
     return model.confusion_counts(pred, "is_cancelled", "prediction")
 
@@ -87,7 +88,7 @@ def q_gbt_metrics(spark, sf):
                     F.max(F.when(F.col("model") != gbt_name, F.col("roc_auc"))).alias("_l"))
     pick = pick.select(F.when(F.col("_g") >= F.col("_l"), F.lit(gbt_name))
                        .otherwise(F.lit("Logistic Regression")).alias("_chosen"))
-    return (both.crossJoin(F.broadcast(pick))
+    return (with_scalars(both, pick)
             .withColumn("selected", F.col("model") == F.col("_chosen")).drop("_chosen"))
 
 
