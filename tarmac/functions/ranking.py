@@ -43,3 +43,29 @@ def position_in_group(df: DataFrame, key: str, order: list[str | Column], out: s
             .join(offsets, ["_slice", key])
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
             .drop("_slice", "_local", "_off"))
+
+
+def running_totals(df: DataFrame, order: Column, sums: list[str], suffix: str = "_cum",
+                   num_slices: int | None = None) -> DataFrame:
+    """Add ``<c><suffix>`` = sum of ``c`` over every row up to this one in ``order``.
+
+    Equal to ``sum(c) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)`` (order keys must
+    be distinct) without that window's single task: rows are range-partitioned on the
+    order, each slice sums its own rows, and the totals of earlier slices (a table of
+    one row per slice) give the offset.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          spark.sparkContext.defaultParallelism)
+    sliced = (df.repartitionByRange(n, order)
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
+    totals = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
+    offsets = totals.select("_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0))
+                                        .alias(f"_o_{c}") for c in sums])
+    local = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (sliced.join(F.broadcast(offsets), "_slice")   # one row per slice: bounded by n
+            .withColumns({f"{c}{suffix}": F.col(f"_o_{c}") + F.sum(c).over(local) for c in sums})
+            .drop("_slice", *[f"_o_{c}" for c in sums]))

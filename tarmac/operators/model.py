@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_scalars
-from ..functions.ranking import position_in_group
+from ..functions.ranking import position_in_group, running_totals
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES, RISK_TIERS
 
 
@@ -127,8 +127,10 @@ def roc_table(scored: DataFrame, score: str = "score", label: str = "label", dig
     """M9 curve: one row per distinct score (desc) with cumulative TP/FP, TPR, FPR and the
     tie-aware AUC (= rank-sum AUC with average ranks).
 
-    Rows are aggregated by score first (partial aggregation), so the window runs over
-    the distinct scores only; ``digits`` bins continuous scores to bound that table.
+    Rows are aggregated by score first (partial aggregation); the cumulative counts over
+    the distinct scores are range-sliced running totals, so no task holds the whole
+    curve.  Negatives below a threshold are N - FP (thresholds are distinct); class
+    totals and the AUC are scalar subqueries.  ``digits`` bins continuous scores.
     """
     s = F.col(score).cast("double")
     if digits is not None:
@@ -136,17 +138,14 @@ def roc_table(scored: DataFrame, score: str = "score", label: str = "label", dig
     per = (scored.select(s.alias("threshold"), F.col(label).cast("int").alias("_y"))
            .groupBy("threshold").agg(F.sum("_y").cast("bigint").alias("pos"),
                                      F.sum(1 - F.col("_y")).cast("bigint").alias("neg")))
-    w_all = Window.partitionBy(F.lit(1))
-    w_desc = w_all.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_below = w_all.orderBy(F.col("threshold").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    out = per.select(
-        "threshold", "pos", "neg",
-        F.sum("pos").over(w_desc).alias("tp"), F.sum("neg").over(w_desc).alias("fp"),
-        F.coalesce(F.sum("neg").over(w_below), F.lit(0)).alias("_neg_below"),
-        F.sum("pos").over(w_all).alias("_P"), F.sum("neg").over(w_all).alias("_N"))
-    auc_part = F.col("pos") * (F.col("_neg_below") + F.col("neg") / 2.0)
-    return (out.withColumn("_auc_part", auc_part)
-            .withColumn("auc", F.try_divide(F.sum("_auc_part").over(w_all), (F.col("_P") * F.col("_N")).cast("double")))
+    cum = (running_totals(per, F.col("threshold").desc(), ["pos", "neg"])
+           .withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"}))
+    totals = per.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    out = with_scalars(cum, totals).withColumn(
+        "_auc_part", F.col("pos") * ((F.col("_N") - F.col("fp")) + F.col("neg") / 2.0))
+    auc = out.agg(F.try_divide(F.sum("_auc_part"), (F.first("_P") * F.first("_N")).cast("double"))
+                  .alias("auc"))
+    return (with_scalars(out, auc)
             .withColumn("tpr", F.try_divide(F.col("tp").cast("double"), F.col("_P")))
             .withColumn("fpr", F.try_divide(F.col("fp").cast("double"), F.col("_N")))
             .select("threshold", "pos", "neg", "tp", "fp", "tpr", "fpr", "auc"))

@@ -42,3 +42,19 @@ def test_report_reads_checkpointed_aggregates_only(spark, small_dir):
 def test_topk_uses_group_limit_before_shuffle(spark, small_dir):
     plan = _plan(entry.queries()["cosine_topk"](spark, small_dir))
     assert "WindowGroupLimit" in plan
+
+
+def test_no_query_plans_a_cross_product(spark, small_dir):
+    """No registered query (models and streams aside) plans a Cartesian product or a
+    nested-loop join: one-row statistics are scalar subqueries, grids are pivots."""
+    from tarmac.plans import catalog_model, catalog_stream
+    skip = {n for n, f in entry.queries().items()
+            if f.__module__ in (catalog_model.__name__, catalog_stream.__name__)}
+    offenders = []
+    for name, fn in entry.queries().items():
+        if name in skip:
+            continue
+        plan = fn(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+            offenders.append(name)
+    assert not offenders, offenders

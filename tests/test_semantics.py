@@ -228,3 +228,17 @@ def test_tfidf_numeric_and_string_keys_agree(spark):
         out.append(sorted(tuple(r) for r in retrieval.sparse_top_k(tf, norms, qv, k=3)
                           .select("query_id", "rank", "doc_id", "score").collect()))
     assert out[0] == out[1] and out[0][0][:3] == (0, 1, "d0")
+
+
+def test_running_totals_equal_a_global_window(spark):
+    import random
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tarmac.functions.ranking import running_totals
+    rnd = random.Random(7)
+    rows = [(float(t), rnd.randint(0, 5), rnd.randint(0, 3)) for t in rnd.sample(range(10_000), 1000)]
+    df = spark.createDataFrame(rows, "t double, a int, b int")
+    got = running_totals(df, F.col("t").desc(), ["a", "b"], num_slices=7)
+    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("t", F.sum("a").over(w).alias("a_cum"), F.sum("b").over(w).alias("b_cum"))
+    assert sorted(got.select("t", "a_cum", "b_cum").collect()) == sorted(want.collect())
