@@ -87,12 +87,14 @@ def risk_reasons(df: DataFrame) -> DataFrame:
 def rate_score(fa: DataFrame) -> DataFrame:
     """A transparent formula score: mean of the historical cancellation rate of the
     booking's channel and of its lead-time band (overall rate when the band is empty).
-    Rates are per-group aggregates joined back (groups bounded by vocabularies)."""
+    Rates are per-group aggregates joined back.  The lead-band table has the 5 fixed
+    bands (broadcast); the channel table is data-derived, so AQE decides at run time
+    from its measured size (broadcast under the threshold, sort-merge beyond)."""
     label = F.col("is_cancelled").cast("double")
     ch = fa.groupBy("booking_channel").agg(F.avg(label).alias("_ch_rate"))
     lb = fa.where(F.col("lead_time_bin").isNotNull()).groupBy("lead_time_bin").agg(F.avg(label).alias("_lb_rate"))
     overall = fa.agg(F.avg(label).alias("_all_rate"))
-    return (with_scalars(fa.join(F.broadcast(ch), "booking_channel", "left")
+    return (with_scalars(fa.join(ch, "booking_channel", "left")
                          .join(F.broadcast(lb), "lead_time_bin", "left"), overall)
             .withColumn("score", (F.col("_ch_rate") + F.coalesce("_lb_rate", "_all_rate")) / 2)
             .withColumn("channel_cancel_pct", F.col("_ch_rate") * 100)
