@@ -222,12 +222,15 @@ def test_tfidf_numeric_and_string_keys_agree(spark):
     qs = spark.createDataFrame([(0, "refund"), (1, "seat window"), (2, "unseen words")],
                                "query_id int, question string")
     out = []
-    for numeric in (True, False):
-        tf, idf, norms = retrieval.tfidf(docs, numeric_ids=numeric)
+    # Whole-vocabulary broadcast and the hot/cold split (max_broadcast_terms=0, and
+    # max_hot_terms=2 so both hot and rare terms occur) must give the same scores.
+    for numeric, max_terms in ((True, 1_000_000), (False, 1_000_000), (True, 0), (False, 0)):
+        tf, idf, norms = retrieval.tfidf(docs, numeric_ids=numeric, max_hot_terms=2,
+                                         max_broadcast_terms=max_terms)
         qv = retrieval.embed_queries(qs, idf, 6)
         out.append(sorted(tuple(r) for r in retrieval.sparse_top_k(tf, norms, qv, k=3)
                           .select("query_id", "rank", "doc_id", "score").collect()))
-    assert out[0] == out[1] and out[0][0][:3] == (0, 1, "d0")
+    assert out[0] == out[1] == out[2] == out[3] and out[0][0][:3] == (0, 1, "d0")
 
 
 def test_running_totals_equal_a_global_window(spark):
