@@ -245,3 +245,20 @@ def test_running_totals_equal_a_global_window(spark):
     w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("t", F.sum("a").over(w).alias("a_cum"), F.sum("b").over(w).alias("b_cum"))
     assert sorted(got.select("t", "a_cum", "b_cum").collect()) == sorted(want.collect())
+
+
+def test_with_scalars_contract(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from tarmac.functions.columns import with_scalars
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "k int, v double")
+    stats = df.agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    got = with_scalars(df, stats).orderBy("k").collect()
+    assert [(r.k, r.m, r.n) for r in got] == [(1, 3.0, 2), (2, 3.0, 2)]
+    plan = with_scalars(df, stats)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    # An empty one-row frame gives NULLs (rows are kept); two rows break the contract.
+    empty = df.where("k > 5").select(F.col("v").alias("top"))
+    assert [r.top for r in with_scalars(df, empty).collect()] == [None, None]
+    with pytest.raises(Exception):
+        with_scalars(df, df.select(F.col("v").alias("x"))).collect()
