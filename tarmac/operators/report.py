@@ -2,9 +2,10 @@
 
 The context has ~25 blocks (revenue by airline, cancel rate by channel, monthly volume,
 ...).  Instead of one job per block, all dimension metrics come from ONE grouping-sets
-aggregation over the feature table, complaint counts from a second one over the tagged
-complaints, and the headline numbers from a third one-row aggregate.  Each block is
-then a projection of those small results, so the text costs three scans of the data.
+aggregation over the feature table (its empty grouping set gives the grand totals),
+complaint counts from a second one over the tagged complaints, and the headline row
+from their total rows plus the exact median.  Each block is then a projection of those
+small results, so the text costs two scans of the data and the median's passes.
 
 Number formats follow the dashboard: ``{:,.0f}`` money, ``{:.2f}`` rates, pandas-style
 rounding to 2 places before display where the dashboard rounds first.
@@ -39,53 +40,63 @@ def fixed(c, d: int) -> Column:
     return F.coalesce(F.format_number(c, d), F.lit("nan"))
 
 
+TOTAL = "__total__"   # dimension name of the grand-total row
+
+
+def _long_form(agg: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
+    """(dimension, value, metrics...) from a GROUPING SETS result: one row per non-NULL
+    value of each single-dimension set, plus the grand-total row (dimension TOTAL)."""
+    keep = dimension = value = None
+    total = None
+    for d in dims:
+        on = F.col(f"_g_{d}") == 0
+        c = on & F.col(d).isNotNull()
+        keep = c if keep is None else keep | c
+        dimension = F.when(on, F.lit(d)) if dimension is None else dimension.when(on, F.lit(d))
+        value = F.when(on, F.col(d)) if value is None else value.when(on, F.col(d))
+        off = F.col(f"_g_{d}") == 1
+        total = off if total is None else total & off
+    return (agg.where(keep | total)
+            .select(dimension.otherwise(F.lit(TOTAL)).alias("dimension"), value.alias("value"), *metrics))
+
+
 def dimension_metrics(fa: DataFrame, dims=tuple(DIMENSIONS)) -> DataFrame:
-    """Long (dimension, value, metrics...) table for every dimension in one aggregation."""
+    """Long (dimension, value, metrics...) table for every dimension and the grand total,
+    in one aggregation (GROUPING SETS with the empty set)."""
     dims = list(dims)
-    agg = (fa.groupingSets([[F.col(d)] for d in dims], *dims)
+    metrics = ["bookings", "revenue", "avg_fare", "cancel_rate", "avg_satisfaction", "cancelled",
+               "first_date", "last_date"]
+    agg = (fa.groupingSets([[F.col(d)] for d in dims] + [[]], *dims)
            .agg(F.count(F.lit(1)).alias("bookings"),
                 F.sum("total_fare_inr").alias("revenue"),
                 F.avg("total_fare_inr").alias("avg_fare"),
                 F.avg(F.col("is_cancelled").cast("double")).alias("cancel_rate"),
                 F.avg("satisfaction_score").alias("avg_satisfaction"),
+                F.sum("is_cancelled").cast("bigint").alias("cancelled"),
+                F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"),
                 *[F.grouping(d).alias(f"_g_{d}") for d in dims]))
-    keep = dimension = value = None
-    for d in dims:
-        on = F.col(f"_g_{d}") == 0
-        c = on & F.col(d).isNotNull()
-        keep = c if keep is None else keep | c
-        dimension = F.when(on, F.lit(d)) if dimension is None else dimension.when(on, F.lit(d))
-        value = F.when(on, F.col(d)) if value is None else value.when(on, F.col(d))
-    return agg.where(keep).select(dimension.alias("dimension"), value.alias("value"), "bookings",
-                                  "revenue", "avg_fare", "cancel_rate", "avg_satisfaction")
+    return _long_form(agg, dims, metrics)
 
 
 def complaint_metrics(tagged: DataFrame, dims=("category", "airline", "booking_channel")) -> DataFrame:
+    """Complaint counts per value of each dimension and in total, in one aggregation."""
     dims = list(dims)
-    agg = (tagged.groupingSets([[F.col(d)] for d in dims], *dims)
+    agg = (tagged.groupingSets([[F.col(d)] for d in dims] + [[]], *dims)
            .agg(F.count(F.lit(1)).alias("complaints"), *[F.grouping(d).alias(f"_g_{d}") for d in dims]))
-    keep = dimension = value = None
-    for d in dims:
-        on = F.col(f"_g_{d}") == 0
-        c = on & F.col(d).isNotNull()
-        keep = c if keep is None else keep | c
-        dimension = F.when(on, F.lit(d)) if dimension is None else dimension.when(on, F.lit(d))
-        value = F.when(on, F.col(d)) if value is None else value.when(on, F.col(d))
-    return agg.where(keep).select(dimension.alias("dimension"), value.alias("value"), "complaints")
-
-
-def headline(fa: DataFrame, tagged: DataFrame) -> DataFrame:
-    """One row of overall numbers."""
-    g = fa.agg(F.count(F.lit(1)).alias("n"),
-               F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"),
-               F.array_join(F.array_sort(F.collect_set("airline")), ", ").alias("airlines"),
-               F.sum("total_fare_inr").alias("revenue"), F.avg("total_fare_inr").alias("mean_fare"),
-               F.avg(F.col("is_cancelled").cast("double")).alias("cancel_rate"),
-               F.sum("is_cancelled").cast("bigint").alias("cancelled"),
-               F.avg("satisfaction_score").alias("avg_satisfaction"))
-    c = tagged.agg(F.count(F.lit(1)).alias("n_complaints"))
+    return _long_form(agg, dims, ["complaints"])
+
+
+def headline(dm: DataFrame, cm: DataFrame, fa: DataFrame) -> DataFrame:
+    """One row of overall numbers from the grand-total rows of the two aggregates, the
+    airline values of ``dm`` and the exact median fare (the only extra pass over rows)."""
+    g = dm.where(F.col("dimension") == TOTAL).select(
+        F.col("bookings").alias("n"), "first_date", "last_date", "revenue",
+        F.col("avg_fare").alias("mean_fare"), "cancel_rate", "cancelled", "avg_satisfaction")
+    airlines = dm.where(F.col("dimension") == "airline").agg(
+        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("airlines"))
+    c = cm.where(F.col("dimension") == TOTAL).select(F.col("complaints").alias("n_complaints"))
     med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
-    return with_scalars(g, c, med)
+    return with_scalars(g, airlines, c, med)
 
 
 class _Consts:
@@ -125,7 +136,7 @@ def fact_lines(fa: DataFrame, tagged: DataFrame) -> DataFrame:
     # folder computes each once and survives executor loss.
     dm = dimension_metrics(fa).checkpoint(eager=True)
     cm = complaint_metrics(tagged).checkpoint(eager=True)
-    h = headline(fa, tagged).checkpoint(eager=True)
+    h = headline(dm, cm, fa).checkpoint(eager=True)
 
     def dim(name):
         return dm.where(F.col("dimension") == name)
