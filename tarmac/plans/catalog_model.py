@@ -97,10 +97,14 @@ def q_score_bookings(spark, sf):
     lr, _ = fitted(spark, sf, "lr")
     gbt, _ = fitted(spark, sf, "gbt")
     base = fa(spark, sf)
-    a = model.score(lr, base, out="lr_probability").select("booking_id", "lr_probability")
-    b = model.score(gbt, base, out="gbt_probability").select("booking_id", "gbt_probability", "booking_channel",
-                                                             "lead_time_days", "total_fare_inr", "prior_bookings")
-    out = a.join(b, "booking_id").withColumn("prob_pct", F.col("gbt_probability") * 100)
+    # Both fitted pipelines are row-local projections: chained on one pass over the
+    # rows, no join (the second pipeline reuses intermediate column names, so the first
+    # one's are dropped in between).
+    a = model.score(lr, base, out="lr_probability").select(*base.columns, "lr_probability")
+    b = model.score(gbt, a, out="gbt_probability")
+    out = (b.select("booking_id", "lr_probability", "gbt_probability", "booking_channel",
+                    "lead_time_days", "total_fare_inr", "prior_bookings")
+           .withColumn("prob_pct", F.col("gbt_probability") * 100))
     tier, action = model.risk_tier(F.col("prob_pct"))
     return model.risk_reasons(out.withColumns({"risk_tier": tier, "risk_action": action}))
 

@@ -100,3 +100,18 @@ def test_bootstrap_interval_contains_mean(spark, small_dir):
     from tarmac.operators import profile
     for r in profile.bootstrap_mean(fa, "cabin_class", "total_fare_inr", n_boot=50).collect():
         assert r.ci_low <= r.mean <= r.ci_high
+
+
+def test_two_models_scored_in_one_pass(spark, small_dir):
+    """score_bookings chains both fitted pipelines on one pass; equal to a keyed join."""
+    fa = features.features_app(materialized_bookings(spark, small_dir))
+    train = model.stratified_split(fa).where("split = 'train'")
+    lr = model.fit_logistic(train, max_iter=20)
+    gbt = model.fit_gbt(train, n_trees=3)
+    first = model.score(lr, fa, out="p_lr").select(*fa.columns, "p_lr")
+    chained = model.score(gbt, first, out="p_gbt").select("booking_id", "p_lr", "p_gbt")
+    a = model.score(lr, fa, out="p_lr").select("booking_id", "p_lr")
+    b = model.score(gbt, fa, out="p_gbt").select("booking_id", "p_gbt")
+    joined = a.join(b, "booking_id")
+    assert chained.count() == fa.count()
+    assert chained.exceptAll(joined).count() == 0 and joined.exceptAll(chained).count() == 0
