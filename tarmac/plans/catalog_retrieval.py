@@ -26,8 +26,9 @@ def upserted_index(spark, sf):
     """Index of all documents, then a correction batch: booking documents re-rendered
     from the notebook-cleaned table for bookings whose satisfaction was missing."""
     index = retrieval.all_documents(fa(spark, sf))
-    missing = raw(spark, sf).where(F.col("satisfaction_score").isNull()).select("booking_id")
-    fixed = clean.clean_notebook(raw(spark, sf)).join(missing, "booking_id", "left_semi")
+    # Flag the rows before cleaning fills the score: one pass, no self-join on the id.
+    flagged = raw(spark, sf).withColumn("_sat_missing", F.col("satisfaction_score").isNull())
+    fixed = clean.clean_notebook(flagged).where(F.col("_sat_missing"))
     batch = retrieval.booking_documents(fixed)
     return retrieval.upsert(index, batch)
 
