@@ -262,3 +262,14 @@ def test_with_scalars_contract(spark):
     assert [r.top for r in with_scalars(df, empty).collect()] == [None, None]
     with pytest.raises(Exception):
         with_scalars(df, df.select(F.col("v").alias("x"))).collect()
+
+
+def test_crosstab_zero_cells_and_observed_categories(spark):
+    from tarmac.operators import complaints
+    df = spark.createDataFrame([("Baggage", "A"), ("Baggage", "A"), ("Seat Issues", "B"), ("Baggage", None)],
+                               "category string, airline string")
+    out = {(r.category, r.airline): (r.complaints, r.col_pct)
+           for r in complaints.crosstab_pct(df, "airline").collect()}
+    # Observed categories only (4 cells), zero cell kept, NULL airline dropped.
+    assert out == {("Baggage", "A"): (2, 100.0), ("Seat Issues", "A"): (0, 0.0),
+                   ("Baggage", "B"): (0, 0.0), ("Seat Issues", "B"): (1, 100.0)}
