@@ -202,7 +202,8 @@ def q_fare_outliers_iqr(spark, sf):
 
 @query("box_stats_by_cancel")
 def q_box_stats_by_cancel(spark, sf):
-    df = features.features_notebook(raw(spark, sf))
+    # Only the notebook-cleaned columns and the cancel flag are needed (no quintile pass).
+    df = clean.clean_notebook(raw(spark, sf)).withColumn("is_cancelled", features.is_cancelled())
     out = profile.box_stats(df, ["lead_time_days", "total_fare_inr", "ancillary_revenue_inr"],
                             by="is_cancelled")
     return rnd(out, {c: 9 for c in ["q1", "median", "q3", "lower_fence", "upper_fence",
