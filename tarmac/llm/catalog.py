@@ -7,11 +7,40 @@ from pyspark.sql import functions as F
 
 from .exact import exact_groups
 from .mixing import DRAWS, mix
+from .packing import pack
+from .sharding import shard
 from .simhash import simhash_groups
-from .util import table
+from .token_store import ids_crc32, store_index, write_store
+from .util import scratch_dir, table
 from .warc import archive_pages
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents", "doc_id", "text"), path,
+                tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return store_index(spark, path)
+
+
+def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"),
+                  tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return ids_crc32(pieces).select("doc_id", "start", F.col("n").alias("length"),
+                                    F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, radius=3)
 
@@ -32,6 +61,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op2_balanced_shards": op2_balanced_shards,
+    "op3_kk_packing": op3_kk_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_warc_revisits": op5_warc_revisits,
     "op7_source_mix": op7_source_mix,

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import hot_split_join, written
+from .util import hot_split_join, ship, written
 
 #: Bytes of text whose words are held at once; longer texts go piece by piece.
 PIECE = 1 << 20
@@ -82,6 +82,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """(_id, _xx, _fp) per row: ``_xx`` hashes the text, ``_fp`` is its fingerprint as a long."""
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)),

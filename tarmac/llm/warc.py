@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import hot_split_join, scratch_dir, written
+from .util import hot_split_join, scratch_dir, ship, written
 
 #: An archive file is closed and a new one begun beyond this many bytes.
 FILE_BYTES = 256 << 20
@@ -100,6 +100,8 @@ def write_archives(records: DataFrame, folder: str, url_col: str, date: str | No
     """Write ``resolve_revisits`` rows as .warc.gz files; returns the written manifest."""
     stamp = (date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")).encode()
 
+    ship(records.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
@@ -159,6 +161,8 @@ def read_archives(manifest: DataFrame, folder: str, chunk: int = 512) -> DataFra
     A task reads runs of neighbouring records, so several tasks may share a file.  The digest
     of a response is checked against its header.
     """
+    ship(manifest.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
         name, src = None, None
