@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import exact_groups
+from .embed_dedup import embedding_groups
 from .mixing import DRAWS, mix
 from .packing import pack
+from .quality import grade_documents
 from .sharding import shard
 from .simhash import simhash_groups
 from .token_store import ids_crc32, store_index, write_store
@@ -51,6 +53,17 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), threshold=0.98)
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the rated documents: 0 toxic, 1 poor, 2 good."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,14 +73,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(table(spark, sf_dir, "documents", "doc_id", "text"), ratings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_balanced_shards": op2_balanced_shards,
     "op3_kk_packing": op3_kk_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_warc_revisits": op5_warc_revisits,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 
 _DRAW = ", ".join(
@@ -75,6 +94,16 @@ _DRAW = ", ".join(
     "::BIGINT / 4294967296.0" for s in range(DRAWS // 8) for i in range(8))
 
 ORACLE = {
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)""",
     "op5_warc_revisits": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, strlen(html) AS payload_bytes, upper(sha1(html)) AS h,
