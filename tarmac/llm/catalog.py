@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import grade_documents
 from .sharding import shard
 from .simhash import simhash_groups
+from .suffix import drop_repeats
 from .token_store import ids_crc32, store_index, write_store
 from .util import scratch_dir, table
 from .warc import archive_pages
@@ -69,6 +70,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
@@ -85,6 +91,7 @@ QUERIES = {
     "op5_warc_revisits": op5_warc_revisits,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
