@@ -11,8 +11,8 @@ from .util import forget, written
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long), any direction, repeats allowed -> (node, root).
 
-    ``root`` is the smallest node reachable.  Only nodes with an edge to another node are
-    returned.  Each round joins every node with the least of its neighbours (large star:
+    ``root`` is the smallest node reachable; a root is a node too.  Only nodes with an edge
+    to another node are returned.  Each round joins every node with the least of its neighbours (large star:
     larger neighbours move to it; small star: smaller ones do), which ends after a number
     of rounds logarithmic in the size of a component.  Minima are combined before the
     shuffle, and each round is written to the shared folder.
@@ -35,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         forget(now)
         now = after
         if seen == mark:
-            return now.select(a.alias("node"), b.alias("root"))
+            roots = now.select(b.alias("node"), b.alias("root")).distinct()
+            return now.select(a.alias("node"), b.alias("root")).unionByName(roots)
         mark = seen
