@@ -14,8 +14,10 @@ Any other kind of tokenizer encodes whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct cuttings remembered per worker; beyond it the memory starts anew.
-REMEMBER = 700_000
+REMEMBER = 900_000
 #: Characters of one text, and of one batch, that are cut at once.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 23
 _TAIL = ".,;:!?"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SAFE = re.compile(r"[A-Za-z0-9] (?=[A-Za-z0-9])")
@@ -62,65 +64,92 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
         self.remember = remember
+        letters = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+        self.letters = re.compile(" " + letters if self.kind == "kept" else letters)
+        # Ids whose token begins with the blank, or ends a word.
+        vocab = self.lib.get_vocab()
+        self.mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for token, i in vocab.items():
+            self.mark[i] = token.startswith("\u0120") if self.kind == "kept" else token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.lens = np.zeros(1 << 12, np.int64)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _store(self, word: str, ids) -> int:
-        k, n = len(self.index), len(ids)
-        if k == len(self.lens):
-            self.lens, self.starts = (np.concatenate((x, np.zeros_like(x))) for x in (self.lens, self.starts))
-        while self.used + n > len(self.pool):
+        # Entry k has the ids pool[ends[k]:ends[k + 1]]; entry 0 is empty.
+        self.index: dict[str, int] = {"": 0}
+        self.ends = np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, np.uint32)
+
+    def _store(self, words: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
+        k, n = len(self.index), len(words)
+        used = int(self.ends[k])
+        while k + n + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used:self.used + n] = ids
-        self.lens[k], self.starts[k], self.index[word] = n, self.used, k
-        self.used += n
-        return k
-
-    def _ids(self, k: int) -> np.ndarray:
-        return self.pool[self.starts[k]:self.starts[k] + self.lens[k]]
-
-    def _plain(self, word: str) -> str:
-        """The form of ``word`` that has the same ids: lower case where that is dropped."""
-        return word.lower() if self.kind == "dropped" and word.isascii() else word
+        self.pool[used:used + len(ids)] = ids
+        self.ends[k + 1:k + n + 1] = used + np.cumsum(lens)
+        self.index.update(zip(words, range(k, k + n)))
+
+    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and concatenated ids of the entries at ``places``."""
+        n = len(self.index)
+        entries = pa.ListArray.from_arrays(pa.array(self.ends[:n + 1]), pa.array(self.pool[:self.ends[n]]))
+        return np.diff(self.ends)[places], entries.take(pa.array(places)).flatten().to_numpy()
+
+    def _library(self, words: list[str]) -> None:
+        """Encode ``words`` and remember them.
+
+        Words of letters only are one token group each, whose first id (blanks kept: it has
+        the blank) or last id (blanks dropped: it has the word end) shows where the word is;
+        many of them go through the library as one text.
+        """
+        plain = [w for w in words if self.letters.fullmatch(w)]
+        for at in range(0, len(plain), 2048):
+            part = plain[at:at + 2048]
+            text = ("" if self.kind == "kept" else " ").join(part)
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(self.mark[ids])
+            lens = np.diff(np.append(marks, len(ids)) if self.kind == "kept" else np.insert(marks, 0, -1))
+            if len(lens) != len(part):
+                raise AssertionError("word boundaries are not where the vocabulary has them")
+            self._store(part, lens, ids)
+        rest = [w for w in words if w not in self.index]
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            coded = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+            lens = np.fromiter(map(len, coded), np.int64, len(coded))
+            self._store(part, lens, np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum())))
 
     def _lookup(self, words: list[str]) -> np.ndarray:
         """Places of ``words`` in the memory, encoding those it lacks."""
-        get = self.index.get
-        found = [get(w, -1) for w in words]
-        new = [i for i, k in enumerate(found) if k < 0]
-        if not new:
-            return np.array(found, np.int64)
-        # A run of stops after a letter or digit is a token of its own for either kind.
-        split = {}
-        for i in new:
-            w = words[i]
-            base = w.rstrip(_TAIL)
-            if base and len(base) < len(w) and base[-1].isalnum():
-                split[i] = self._plain(base), w[len(base):]
-            else:
-                split[i] = self._plain(w), ""
-        need = [x for x in dict.fromkeys(y for base, tail in split.values()
-                                 for y in ((base, tail) if tail else (base,))) if x not in self.index]
-        for at in range(0, len(need), 4096):
-            part = need[at:at + 4096]
-            for w, ids in zip(part, self._library(part)):
-                self._store(w, ids)
-        for i, (base, tail) in split.items():
-            w = words[i]
-            k = get(w, -1)
-            if k < 0:
-                ids = self._ids(self.index[base])
-                k = self._store(w, np.concatenate((ids, self._ids(self.index[tail]))) if tail else ids)
-            found[i] = k
+        index, lower = self.index, self.kind == "dropped"
+        found = list(map(index.get, words))
+        new = [words[i] for i, k in enumerate(found) if k is None]
+        if new:
+            # A run of stops after a letter or digit is a token of its own for either kind,
+            # and where case is dropped the lower-case form has the same ids.
+            made, need = [], {}
+            for w in new:
+                base = w.rstrip(_TAIL)
+                if len(base) == len(w) or not base or not base[-1].lower().isalnum():
+                    base = w
+                tail = w[len(base):]
+                if lower and base.isascii():
+                    base = base.lower()
+                if base not in index:
+                    need[base] = None
+                if tail and tail not in index:
+                    need[tail] = None
+                if tail or base != w:
+                    made.append((w, base, tail))
+            self._library(list(need))
+            if made:
+                made = [m for m in made if m[0] not in index]
+                places = np.fromiter((index[x] for m in made for x in m[1:]), np.int64, 2 * len(made))
+                lens, ids = self._take(places)
+                self._store([m[0] for m in made], lens.reshape(-1, 2).sum(axis=1), ids)
+            late = iter(map(index.__getitem__, new))
+            found = [next(late) if k is None else k for k in found]
         return np.array(found, np.int64)
 
     def _cuttings(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -152,16 +181,21 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.kind == "whole":
-            return [np.array(x, np.uint32) for x in self._library(texts)]
+            return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         flat, counts = self._cuttings(texts)
         coded = flat.dictionary_encode()
         if len(self.index) > self.remember:
             self._forget()
-        place = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lens = self.lens[place]
-        ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[place] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.concatenate(([0], ends))[np.cumsum(counts)]
+        # Millions of small objects and no cycles: a collection would only walk them.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            places = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        finally:
+            if collecting:
+                gc.enable()
+        lens, ids = self._take(places)
+        last = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(counts)]
         return np.split(ids, last[:-1])
 
     def _segments(self, text: str) -> list[str]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import Encoder
+from .encode import SEGMENT, Encoder
 from .util import ship
 
 CAPACITY = 1024
@@ -123,9 +123,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             rows = arrow.num_rows
             at = 0
             while at < rows:
-                # Texts are encoded about two million characters at a time.
+                # Texts are encoded about SEGMENT characters at a time.
                 texts, size, first = [], 0, at
-                while at < rows and (not texts or size < 1 << 21):
+                while at < rows and (not texts or size < SEGMENT):
                     texts.append(arrow.column(1)[at].as_py())
                     size += len(texts[-1] or "")
                     at += 1

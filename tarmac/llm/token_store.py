@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .encode import Encoder
+from .encode import SEGMENT, Encoder
 from .util import ship
 
 ORC = {
@@ -49,7 +49,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
             at = 0
             while at < batch.num_rows:
                 texts, size, first = [], 0, at
-                while at < batch.num_rows and (not texts or size < 1 << 21):
+                while at < batch.num_rows and (not texts or size < SEGMENT):
                     texts.append(batch.column(1)[at].as_py())
                     size += len(texts[-1] or "")
                     at += 1
