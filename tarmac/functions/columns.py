@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
+
+#: A lookup table is broadcast up to this many rows; a larger one is left to the planner.
+LOOKUP_ROWS = 200_000
+_LOOKUPS: dict[tuple[str, int], list[tuple[DataFrame, str]]] = {}
+
+
+def checked_lookup(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A small aggregate for joining to a fact table, its size checked before the plan is made.
+
+    The aggregate is written once per session and counted from the file; up to ``limit``
+    rows it carries a broadcast hint, so the fact side is never shuffled for it.  Beyond the
+    limit the written table is returned without a hint.
+    """
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, df.semanticHash())
+    known = _LOOKUPS.setdefault(key, [])
+    path = next((p for old, p in known if old.sameSemantics(df)), None)   # the hash alone may collide
+    if path is None:
+        path = scratch_path(spark, f"lookup-{uuid.uuid4().hex[:12]}")
+        df.write.parquet(path)
+        known.append((df, path))
+    table = spark.read.parquet(path).toDF(*df.columns)    # equal plans may name columns differently
+    return F.broadcast(table) if table.count() <= (LOOKUP_ROWS if limit is None else limit) else table
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -43,10 +43,15 @@ def classify(text: Column, rule_set: Sequence[tuple[str, Sequence[str]]],
     return expr.otherwise(F.lit(other))
 
 
+def strip(c: Column) -> Column:
+    """``c`` without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def classify_notebook(text: Column, rule_set=None) -> Column:
     """Notebook variant - trimmed lower text; '', 'nan', 'no' -> 'No Complaint'."""
     rule_set = rule_set or rules("notebook")
-    t = F.trim(F.lower(F.coalesce(text.cast("string"), F.lit("nan"))))
+    t = strip(F.lower(F.coalesce(text.cast("string"), F.lit("nan"))))
     return F.when(t.isin(*NO_COMPLAINT_TEXTS), F.lit(NO_COMPLAINT)).otherwise(classify(t, rule_set))
 
 
@@ -92,7 +97,7 @@ def has_complaint(text: Column, mode: str = "length") -> Column:
     elif mode == "length":
         cond = F.length(text) > 0
     elif mode == "stripped":
-        cond = text.isNotNull() & ~F.trim(F.lower(text)).isin("nan", "none", "")
+        cond = text.isNotNull() & ~strip(F.lower(text)).isin("nan", "none", "")
     else:
         raise ValueError(f"unknown complaint mode {mode!r}")
     return F.coalesce(cond, F.lit(False))

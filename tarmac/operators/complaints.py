@@ -121,7 +121,7 @@ def complaint_kpis(tagged: DataFrame, n_bookings: DataFrame) -> DataFrame:
     top_ch = top_k(counts_by(tagged, "booking_channel"), 1, "complaints", "booking_channel").select(
         F.col("booking_channel").alias("top_channel"))
     return (with_scalars(total, n_bookings, top_cat, top_air, top_ch)
-            .withColumn("complaint_share_pct", F.col("total_complaints") * 100.0 / F.col("bookings"))
+            .withColumn("complaint_share_pct", F.try_divide(F.col("total_complaints") * 100.0, F.col("bookings")))
             .drop("bookings"))
 
 

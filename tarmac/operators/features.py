@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import band, flag, quantile_exprs, safe_div, with_scalars
+from ..functions.columns import band, checked_lookup, flag, quantile_exprs, safe_div, with_scalars
 from ..functions.quantiles import quantiles
 from ..schema import (BOOKING_WINDOW_BANDS, CANCELLED_STATUSES, CUSTOMER_TYPE_APP,
                       FARE_QUINTILE_LABELS, LEAD_TIME_BANDS_APP, LEAD_TIME_BANDS_NOTEBOOK,
@@ -29,16 +29,18 @@ def route(sep: str = ROUTE_SEP_APP):
     return F.concat(F.col("origin"), F.lit(sep), F.col("destination"))
 
 
-def with_group_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+def with_group_mean(df: DataFrame, key: str, value: str, out: str,
+                    means_from: DataFrame | None = None) -> DataFrame:
     """Mean of ``value`` per ``key`` spread back to every row.
 
-    Aggregate (partial/final, so a hot key collapses map-side) and join back: the
-    aggregate has one row per key, AQE broadcasts it when it is small at run time.
-    NULL keys get NULL, as a dropped group would.
+    Aggregate (partial/final, so a hot key collapses map-side) and join back.  The
+    aggregate has one row per key; it is written, counted and broadcast if small, so the
+    fact table is not shuffled.  ``means_from`` takes the means from other rows (training
+    rows only, say).  NULL keys get NULL, as a dropped group would.
     """
-    means = (df.where(F.col(key).isNotNull())
+    means = ((df if means_from is None else means_from).where(F.col(key).isNotNull())
              .groupBy(key).agg(F.avg(value).alias(out)))
-    return df.join(means, key, "left")
+    return df.join(checked_lookup(means), key, "left")
 
 
 def quintile_edges(df: DataFrame, value: str = "total_fare_inr", exact: bool = True) -> DataFrame:
@@ -72,9 +74,13 @@ def with_fare_quintile(df: DataFrame, value: str = "total_fare_inr", out: str =
 
 
 def features_app(bookings: DataFrame, route_mean_from: DataFrame | None = None) -> DataFrame:
-    """Dashboard feature table: dashboard cleaning + P1-P4, P7, P9-P12, P15, P20, P22."""
+    """Dashboard feature table: dashboard cleaning + P1-P4, P7, P9-P12, P15, P20, P22.
+
+    The route mean is that of ``route_mean_from`` (cleaned here too) or of all rows.
+    """
     df = clean_app(bookings).withColumn("route", route(ROUTE_SEP_APP))
-    df = with_group_mean(df, "route", "total_fare_inr", "_route_avg")
+    source = None if route_mean_from is None else clean_app(route_mean_from).withColumn("route", route(ROUTE_SEP_APP))
+    df = with_group_mean(df, "route", "total_fare_inr", "_route_avg", source)
     repeat, new = CUSTOMER_TYPE_APP
     return (df.withColumns({
         "is_cancelled": is_cancelled(),

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import with_scalars
+from ..functions.columns import checked_lookup, with_scalars
 from ..functions.ranking import position_in_group, running_totals
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES, RISK_TIERS
 
@@ -35,13 +35,19 @@ def stratified_split(df: DataFrame, label: str = "is_cancelled", key: str = "boo
                      test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` in {'train','test'}: exactly ceil(test_fraction x n_class) test rows per
     class, chosen by the order of md5('<seed>:' || key) - repeatable on any engine."""
-    keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    ranked = position_in_group(keyed, label, ["_h", key], "_pos")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    return (ranked.join(F.broadcast(sizes), label)
-            .withColumn("split", F.when(F.col("_pos") < F.ceil(F.col("_n") * test_fraction), "test")
-                        .otherwise("train"))
-            .drop("_h", "_pos", "_n"))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    # Only (label, hash, key) is sorted; the first row beyond each class's test rows is its cut.
+    narrow = df.select(F.col(label).alias("_class"), h.alias("_h"), F.col(key).alias("_key"))
+    ranked = position_in_group(narrow, "_class", ["_h", "_key"], "_pos")
+    sizes = narrow.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = (ranked.join(checked_lookup(sizes), "_class")
+            .where(F.col("_pos") == F.ceil(F.col("_n") * test_fraction))
+            .select("_class", F.struct("_h", "_key").alias("_cut")))
+    classes = checked_lookup(sizes.select("_class").join(cuts, "_class", "left"))  # one row per class
+    mine = F.struct(h.alias("_h"), F.col(key).alias("_key"))
+    test = F.col("_cut").isNull() | (mine < F.col("_cut"))
+    return (df.join(classes, F.col(label) == F.col("_class"))
+            .withColumn("split", F.when(test, "test").otherwise("train")).drop("_class", "_cut"))
 
 
 # ----------------------------------------------------------------------------- M6 one-hot
@@ -88,13 +94,13 @@ def rate_score(fa: DataFrame) -> DataFrame:
     """A transparent formula score: mean of the historical cancellation rate of the
     booking's channel and of its lead-time band (overall rate when the band is empty).
     Rates are per-group aggregates joined back.  The lead-band table has the 5 fixed
-    bands (broadcast); the channel table is data-derived, so AQE decides at run time
-    from its measured size (broadcast under the threshold, sort-merge beyond)."""
+    bands (broadcast); the channel table is data-derived, so it is written and counted
+    before it may be broadcast."""
     label = F.col("is_cancelled").cast("double")
     ch = fa.groupBy("booking_channel").agg(F.avg(label).alias("_ch_rate"))
     lb = fa.where(F.col("lead_time_bin").isNotNull()).groupBy("lead_time_bin").agg(F.avg(label).alias("_lb_rate"))
     overall = fa.agg(F.avg(label).alias("_all_rate"))
-    return (with_scalars(fa.join(ch, "booking_channel", "left")
+    return (with_scalars(fa.join(checked_lookup(ch), "booking_channel", "left")
                          .join(F.broadcast(lb), "lead_time_bin", "left"), overall)
             .withColumn("score", (F.col("_ch_rate") + F.coalesce("_lb_rate", "_all_rate")) / 2)
             .withColumn("channel_cancel_pct", F.col("_ch_rate") * 100)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import quantile_exprs, with_scalars
+from ..functions.columns import quantile_exprs, with_scalars, safe_div
 from ..functions.quantiles import quantiles
 from ..session import checkpoint_dir
 
@@ -39,7 +39,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     return (one.select("_rows", F.explode(F.array(*parts)).alias("_r"))
             .select("_r.position", "_r.column_name", "_r.dtype", "_r.non_null",
                     (F.col("_rows") - F.col("_r.non_null")).alias("nulls"),
-                    ((F.col("_rows") - F.col("_r.non_null")) * 100.0 / F.col("_rows")).alias("null_pct")))
+                    safe_div((F.col("_rows") - F.col("_r.non_null")) * 100.0, F.col("_rows")).alias("null_pct")))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def validate_lead_time(df: DataFrame) -> DataFrame:
 def validate_total_fare(df: DataFrame) -> DataFrame:
     """Q13: (base + tax) x pax equals total after rounding both to 2 places."""
     expected = (F.col("base_fare_inr") + F.col("taxes_inr")) * F.col("pax_count")
-    bad = F.coalesce(F.round(expected, 2) != F.round("total_fare_inr", 2), F.lit(True))
+    bad = F.coalesce(F.bround(expected, 2) != F.bround("total_fare_inr", 2), F.lit(True))
     return (df.agg(F.sum(bad.cast("bigint")).alias("violations"), F.count(F.lit(1)).alias("rows"))
             .withColumn("passes", F.col("violations") == 0))
 
@@ -190,6 +190,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     """Q16 / Q20: equal-width histogram over [min, max]; the max falls in the last bin.
 
     Range comes from a one-row aggregate (a scalar subquery); bins of all groups share it.
+    Every group has all ``bins`` rows, empty bins with count 0.  Without any value there
+    is no range and no row.
     """
     x = F.col(column).cast("double")
     rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
@@ -199,7 +201,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     keys = [by] if by else []
     binned = (with_scalars(df.where(x.isNotNull()), rng)
               .select(*keys, idx.cast("int").alias("bin"), "_lo", "_hi"))
-    return (binned.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
+    # One row per group and the bin counts in an array of fixed length, then one row per bin.
+    counts = binned.groupBy(*keys, "_lo", "_hi").agg(F.array(*[
+        F.count_if(F.col("bin") == i) for i in range(bins)]).alias("_c"))
+    return (counts.select(*keys, "_lo", "_hi", F.posexplode("_c").alias("bin", "count"))
             .select(*keys, "bin",
                     (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / bins).alias("bin_start"),
                     (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("bin") + 1) / bins).alias("bin_end"),

@@ -18,14 +18,14 @@ def q_booking_documents(spark, sf):
 
 @query("complaint_documents")
 def q_complaint_documents(spark, sf):
-    d = retrieval.complaint_documents(fa(spark, sf))
+    d = retrieval.complaint_documents(fa(spark, sf), metadata_chars=200)
     return d.select("doc_id", "doc_type", "text", F.to_json("metadata").alias("metadata_json"))
 
 
 def upserted_index(spark, sf):
     """Index of all documents, then a correction batch: booking documents re-rendered
     from the notebook-cleaned table for bookings whose satisfaction was missing."""
-    index = retrieval.all_documents(fa(spark, sf))
+    index = retrieval.all_documents(fa(spark, sf), metadata_chars=200)
     # Flag the rows before cleaning fills the score: one pass, no self-join on the id.
     flagged = raw(spark, sf).withColumn("_sat_missing", F.col("satisfaction_score").isNull())
     fixed = clean.clean_notebook(flagged).where(F.col("_sat_missing"))

@@ -82,14 +82,14 @@ hits AS (
   FROM scored QUALIFY rank <= 8
 )"""
 sql("cosine_topk", _TOPK + """
-SELECT query_label, query_id, rank, vec_id, label, round(1 - (1 - score), 4) AS similarity FROM hits""")
+SELECT query_label, query_id, rank, vec_id, label, round_even(score, 4) AS similarity FROM hits""")
 sql("prompt_context", _TOPK + """
 SELECT h.query_id,
        string_agg('[Record ' || CAST(h.rank AS VARCHAR) || ' | similarity='
-                  || CAST(round(1 - (1 - h.score), 4) AS VARCHAR) || ']' || chr(10) || d.text,
+                  || CAST(round_even(h.score, 4) AS VARCHAR) || ']' || chr(10) || coalesce(d.text, ''),
                   chr(10) || chr(10) ORDER BY h.rank) AS context,
        count(*) AS n_records
-FROM hits h JOIN documents d ON d.doc_id = h.vec_id
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id
 GROUP BY h.query_id""")
 
 _questions = ", ".join(f"({i}, {_sql_str(c)})" for i, (c, _) in enumerate(rules("dashboard")))

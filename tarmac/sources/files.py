@@ -22,14 +22,21 @@ MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHEMA,
              lenient_dates: bool = False) -> DataFrame:
-    """CSV with a header row -> typed DataFrame; markers -> NULL; dates parsed."""
-    text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (spark.read.schema(text_schema)
-           .option("header", True).option("mode", "FAILFAST")
+    """CSV with a header row -> typed DataFrame; markers -> NULL; dates parsed.
+
+    Columns are taken by their header name, in any order; one that the file lacks is an
+    error, further ones are ignored.  Quotes inside a quoted field are doubled, and a
+    quoted field may hold line breaks.
+    """
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
+           .option("quote", '"').option("escape", '"').option("multiLine", True)
            .option("nullValue", None).option("emptyValue", "").csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"the CSV header lacks {', '.join(missing)}")
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         c = F.when(c.isNull() | c.isin(*MISSING_MARKERS), F.lit(None)).otherwise(c)
         if isinstance(f.dataType, T.DateType):
             c = (F.try_to_date(c) if lenient_dates else F.to_date(c))

@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import checked_lookup, flag
 from ..functions.text import has_complaint, rules
 from ..operators import complaints, model
 from ..operators.clean import clean_app
@@ -25,10 +26,12 @@ TAG_COLUMNS = ["booking_id", "airline", "booking_channel", "booking_status", "cu
                "category", "severity", "routing_team", "routing_action", "matched_keywords"]
 
 
-def booking_stream(spark: SparkSession, source_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """Arriving booking files (parquet) as a stream; one file per micro-batch by default."""
-    return (spark.readStream.schema(BOOKING_SCHEMA)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+def booking_stream(spark: SparkSession, source_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Arriving booking files (parquet) as a stream; all new files per micro-batch unless limited."""
+    reader = spark.readStream.schema(BOOKING_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(source_dir)
 
 
 def tag_stream(bookings: DataFrame) -> DataFrame:
@@ -43,19 +46,20 @@ def score_stream(bookings: DataFrame, fitted: PipelineModel, reference_fa: DataF
     """M15 streaming: score arriving bookings with a fitted pipeline.
 
     Dashboard features that are row-local are derived per row; the route mean (W1) is a
-    static aggregate of the reference table joined as a stream-static join.
+    static table, written before the stream starts and joined as a stream-static join, so
+    no micro-batch aggregates the reference table again.
     """
     route_means = (reference_fa.where(F.col("route").isNotNull())
                    .groupBy("route").agg(F.avg("total_fare_inr").alias("_route_avg")))
     df = clean_app(bookings).withColumn("route", F.concat("origin", F.lit(" → "), "destination"))
-    df = (df.join(route_means, "route", "left")
+    df = (df.join(checked_lookup(route_means), "route", "left")
           .withColumns({
               "is_cancelled": is_cancelled(),
               "booking_month": F.month("booking_date"),
               "booking_dayofweek": F.weekday("booking_date"),
               "fare_per_passenger": F.try_divide("total_fare_inr", "pax_count"),
-              "is_repeat_customer": (F.col("prior_bookings") > 0).cast("int"),
-              "has_ancillary": (F.col("ancillary_revenue_inr") > 0).cast("int"),
+              "is_repeat_customer": flag(F.col("prior_bookings") > 0),
+              "has_ancillary": flag(F.col("ancillary_revenue_inr") > 0),
               "fare_to_avg_route_fare": F.try_divide("total_fare_inr", "_route_avg"),
               "tax_ratio": F.try_divide("taxes_inr", "total_fare_inr"),
           }))
