@@ -72,7 +72,7 @@ def q_text_embed_topk(spark, sf):
     questions = spark.createDataFrame(list(enumerate(QUESTION_CATEGORIES)), "query_id int, question string")
     n_docs = idf.select("_m").first()[0]
     qvec = retrieval.embed_queries(questions, idf, n_docs)
-    return retrieval.sparse_top_k(tf, norms, qvec).select("query_id", "rank", "doc_id", "score")
+    return retrieval.sparse_top_k(tf, norms, qvec, questions=questions).select("query_id", "rank", "doc_id", "score")
 
 
 @query("metrics_facts")

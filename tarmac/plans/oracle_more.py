@@ -99,21 +99,23 @@ corpus AS (
   UNION ALL
   SELECT {_COMPLAINT_DOC_COLS} FROM fa WHERE {_HAS}
 ),
-tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM corpus),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
+tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM corpus),
+tf AS (SELECT doc_id, substr(word, 1, 5) AS term, count(*) AS tf FROM tok WHERE word <> '' GROUP BY ALL),
 m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM corpus),
 idf AS (SELECT term, ln((m + 1) / (CAST(count(*) AS DOUBLE) + 1)) AS idf FROM tf, m GROUP BY term, m),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
 nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 dw AS (SELECT doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END AS weight FROM w JOIN nrm USING (doc_id)),
 qs AS (SELECT * FROM (VALUES {_questions}) AS t(query_id, question)),
-qtok AS (SELECT query_id, unnest(string_split_regex(lower(question), '\\s+')) AS term FROM qs),
-qtf AS (SELECT query_id, term, count(*) AS tf FROM qtok WHERE term <> '' GROUP BY ALL),
+qtok AS (SELECT query_id, unnest(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM qs),
+qtf AS (SELECT query_id, substr(word, 1, 5) AS term, count(*) AS tf FROM qtok WHERE word <> '' GROUP BY ALL),
 qw AS (SELECT query_id, term, tf * coalesce(idf, ln(m + 1.0)) AS w FROM qtf LEFT JOIN idf USING (term), m),
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY query_id),
 qv AS (SELECT query_id, term, w / norm AS q_weight FROM qw JOIN qn USING (query_id)),
-sc AS (SELECT query_id, doc_id, round(sum(weight * q_weight), 9) AS score
-       FROM dw JOIN qv USING (term) GROUP BY query_id, doc_id)""", body="""
+hit AS (SELECT query_id, doc_id, round(sum(weight * q_weight), 9) AS score
+        FROM dw JOIN qv USING (term) GROUP BY query_id, doc_id),
+sc AS (SELECT q.query_id, c.doc_id, coalesce(hit.score, 0.0) AS score FROM qs q CROSS JOIN corpus c
+       LEFT JOIN hit ON hit.query_id = q.query_id AND hit.doc_id = c.doc_id)""", body="""
 SELECT CAST(query_id AS INTEGER) AS query_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
        doc_id, score

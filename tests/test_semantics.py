@@ -214,7 +214,7 @@ def test_bounded_quantiles_equal_exact_percentile_at_many_sizes(spark):
         assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
 
 
-def test_tfidf_numeric_and_string_keys_agree(spark):
+def test_tfidf_paths_agree_and_every_question_gets_k(spark):
     docs = spark.createDataFrame(
         [(f"d{i}", t) for i, t in enumerate(["refund late refund", "seat seat window", "late flight",
                                               "refund the seat", "  spaced   words here ", "window"])],
@@ -224,13 +224,18 @@ def test_tfidf_numeric_and_string_keys_agree(spark):
     out = []
     # Whole-vocabulary broadcast and the hot/cold split (max_broadcast_terms=0, and
     # max_hot_terms=2 so both hot and rare terms occur) must give the same scores.
-    for numeric, max_terms in ((True, 1_000_000), (False, 1_000_000), (True, 0), (False, 0)):
-        tf, idf, norms = retrieval.tfidf(docs, numeric_ids=numeric, max_hot_terms=2,
-                                         max_broadcast_terms=max_terms)
+    for max_terms in (1_000_000, 0):
+        tf, idf, norms = retrieval.tfidf(docs, max_hot_terms=2, max_broadcast_terms=max_terms)
         qv = retrieval.embed_queries(qs, idf, 6)
-        out.append(sorted(tuple(r) for r in retrieval.sparse_top_k(tf, norms, qv, k=3)
+        out.append(sorted(tuple(r) for r in retrieval.sparse_top_k(tf, norms, qv, k=3, questions=qs)
                           .select("query_id", "rank", "doc_id", "score").collect()))
-    assert out[0] == out[1] == out[2] == out[3] and out[0][0][:3] == (0, 1, "d0")
+    assert out[0] == out[1] and out[0][0][:3] == (0, 1, "d0")
+    assert [r[:2] for r in out[0]] == [(q, k) for q in range(3) for k in (1, 2, 3)]
+
+
+def test_terms_are_stems_without_signs(spark):
+    docs = spark.createDataFrame([(1, "Ticketed. ticketing, (delayed) delay!")], "doc_id int, text string")
+    assert sorted(r.term for r in retrieval.tokens(docs, "doc_id", "text").collect()) == ["delay", "delay", "ticke", "ticke"]
 
 
 def test_running_totals_equal_a_global_window(spark):
