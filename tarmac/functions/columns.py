@@ -59,16 +59,6 @@ def band(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
     return expr
 
 
-def band_ordinal(c: str | Column, edges: Sequence[float]) -> Column:
-    """1-based index of the right-closed bin of ``c``; NULL when out of range."""
-    x = col(c)
-    expr = None
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]), start=1):
-        cond = (x > F.lit(lo)) & (x <= F.lit(hi))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def share_pct(value: str | Column, *partition: str) -> Column:
     """value / sum(value) over the partition x 100 - used after aggregation only."""
     w = Window.partitionBy(*partition) if partition else Window.partitionBy()
@@ -99,14 +89,6 @@ def arg_max(df: DataFrame, value: str, key: str) -> DataFrame:
     return top_k(df, 1, value, key)
 
 
-def reindex(spark_df: DataFrame, dim: DataFrame, key: str, fill: dict | None = None) -> DataFrame:
-    """Left join a small fixed dimension (with an ``ord`` column) onto an aggregate."""
-    out = F.broadcast(dim).join(spark_df, key, "left")
-    if fill:
-        out = out.fillna(fill)
-    return out
-
-
 def order_dim(spark, key: str, values: Sequence[str]) -> DataFrame:
     """Fixed display order as a small DataFrame (key, ord)."""
     return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{key} string, ord int")

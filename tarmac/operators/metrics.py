@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import arg_max, order_dim, safe_div, share_pct, top_k, with_scalars
+from ..functions.columns import order_dim, safe_div, share_pct, top_k, with_scalars
 from ..functions.quantiles import quantiles
 from ..schema import CABIN_ORDER, LEAD_TIME_BANDS_APP, MONTHS_SHORT
 
@@ -234,13 +234,3 @@ def date_range_airlines(fa: DataFrame) -> DataFrame:
     return fa.agg(F.min("booking_date").alias("first_booking_date"),
                   F.max("booking_date").alias("last_booking_date"),
                   F.array_join(F.array_sort(F.collect_set("airline")), ", ").alias("airlines"))
-
-
-def channel_cancel_lookup(fa: DataFrame, rows: DataFrame) -> DataFrame:
-    """Attach the channel's mean cancellation rate (percent) to scored rows."""
-    rates = (cancel_rate_by(fa, "booking_channel")
-             .select("booking_channel", (F.col("cancel_rate") * 100).alias("channel_cancel_pct")))
-    return rows.join(rates, "booking_channel", "left")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["arg_max"]

@@ -8,6 +8,7 @@ independent DuckDB plan in ``oracle.py`` can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import clean, complaints, features, metrics, profile
 from ..schema import (BOOKING_COLUMNS, CORRELATION_COLUMNS, NUMERIC_COLUMNS, PROFILED_CATEGORICALS,
                       TARGET_CORRELATION_COLUMNS)
+from ..session import scratch_path
+from ..sources import files
 from ..sources.bookings import materialized_bookings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +245,35 @@ def q_clean_app(spark, sf):
     return clean.clean_app(raw(spark, sf)).select(*BOOKING_COLUMNS)
 
 
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """Bookings written as CSV with a header, read back by name, then cleaned."""
+    path = scratch_path(spark, f"bookings-csv-{uuid.uuid4().hex[:12]}")
+    files.write_table(raw(spark, sf), path, fmt="csv")
+    return clean.clean_app(files.read_csv(spark, path)).select(*BOOKING_COLUMNS)
+
+
+@query("parsed_dates")
+def q_parsed_dates(spark, sf):
+    """Dates that arrive as text."""
+    text = raw(spark, sf).select("booking_id", *[F.col(c).cast("string").alias(c) for c in
+                                                 ("booking_date", "departure_date")])
+    return clean.parse_dates(text)
+
+
+@query("revenue_per_ancillary")
+def q_revenue_per_ancillary(spark, sf):
+    """A zero divisor counts as missing."""
+    ratio = F.col("total_fare_inr") / clean.zero_to_null("ancillary_revenue_inr")
+    return rnd(raw(spark, sf).select("booking_id", ratio.alias("fare_per_ancillary")), {"fare_per_ancillary": 6})
+
+
+@query("fare_outlier_rows")
+def q_fare_outlier_rows(spark, sf):
+    """Q14, row form: the bookings outside the fences."""
+    return profile.iqr_outliers(raw(spark, sf), "total_fare_inr").select("booking_id", "total_fare_inr")
+
+
 FEATURE_ROUNDING_APP = {"base_fare_inr": 6, "taxes_inr": 6, "ancillary_revenue_inr": 6,
                         "fare_per_passenger": 6, "fare_to_avg_route_fare": 9, "tax_ratio": 9}
 

@@ -294,6 +294,15 @@ FROM (SELECT unnest([{_tc_structs}]) AS u FROM (SELECT {_tc_aggs} FROM fa))"""))
 _cols = ", ".join(BOOKING_COLUMNS)
 sql("clean_notebook", with_ctes(BOOKINGS, CLEAN_NOTEBOOK, body=f"SELECT {_cols} FROM nb_clean"))
 sql("clean_app", on_features(f"SELECT {_cols} FROM app_clean"))
+sql("csv_round_trip", on_features(f"SELECT {_cols} FROM app_clean"))
+sql("parsed_dates", on_bookings("SELECT booking_id, booking_date, departure_date FROM bookings"))
+sql("revenue_per_ancillary", on_bookings("""
+SELECT booking_id, round(total_fare_inr / nullif(ancillary_revenue_inr, 0), 6) AS fare_per_ancillary FROM bookings"""))
+sql("fare_outlier_rows", on_bookings("""
+SELECT booking_id, total_fare_inr FROM (
+  SELECT booking_id, total_fare_inr, (SELECT quantile_cont(total_fare_inr, 0.25) FROM bookings) AS q1,
+         (SELECT quantile_cont(total_fare_inr, 0.75) FROM bookings) AS q3 FROM bookings)
+WHERE total_fare_inr < q1 - 1.5 * (q3 - q1) OR total_fare_inr > q3 + 1.5 * (q3 - q1)"""))
 
 _R = "round({}, {})".format
 sql("features_app", on_features(f"""
