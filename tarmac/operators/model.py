@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import checked_lookup, with_scalars
+from ..functions.quantiles import quantiles
 from ..functions.ranking import position_in_group, running_totals
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES, RISK_TIERS
 
@@ -167,32 +168,60 @@ def class_weights(train: DataFrame, label: str = "is_cancelled") -> DataFrame:
     return with_scalars(counts, total).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("weight"))
 
 
-def preprocess_stages(categorical: list[str], numeric: list[str]):
-    """M4 + M5 as pipeline stages ending in a 'features' vector."""
-    num_in = [f"{c}__d" for c in numeric]
-    num_imp = [f"{c}__imp" for c in numeric]
-    stages = [Imputer(inputCols=num_in, outputCols=num_imp, strategy="median"),
-              VectorAssembler(inputCols=num_imp, outputCol="_num_vec", handleInvalid="keep"),
-              StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True)]
+def preprocess_stages(train: DataFrame, categorical: list[str], numeric: list[str],
+                      category_fill: str = "constant") -> list:
+    """M4 / M5: fill, scale, index and one-hot encode ``model_input`` columns.
+
+    Numbers: the exact interpolated median of the training rows for missing values, then
+    (x - mean) / population standard deviation (1 where that is 0).  Categories: 'Unknown',
+    or with ``category_fill="mode"`` the commonest training value (ties: the first in
+    order).  The fitted numbers are literals of two SQL stages, so a saved pipeline holds them.
+    """
+    stages = []
+    if category_fill == "mode":
+        filled = []
+        for c in categorical:
+            top = (train.where(F.col(f"{c}__s").isNotNull()).groupBy(f"{c}__s").agg(F.count(F.lit(1)).alias("n"))
+                   .orderBy(F.col("n").desc(), F.col(f"{c}__s")).limit(1).collect())
+            value = top[0][0] if top else "Unknown"
+            filled.append(f"coalesce(`{c}__s`, {_sql_text(value)}) AS `{c}__f`")
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"))
+    else:
+        filled = [f"coalesce(`{c}__s`, 'Unknown') AS `{c}__f`" for c in categorical]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"))
+    names = [f"{c}__d" for c in numeric]
+    long = train.select(*names).unpivot([], names, "column_name", "v")
+    medians = {r["column_name"]: r["q"][0] for r in quantiles(long, "v", [0.5], by=["column_name"]).collect()}
+    whole = {c: F.coalesce(F.col(c), F.lit(float(medians.get(c, 0.0)))) for c in names}
+    one = train.agg(*[F.avg(x).alias(f"{c}_m") for c, x in whole.items()],
+                    *[F.stddev_pop(x).alias(f"{c}_s") for c, x in whole.items()]).first()
+    scaled = [f"(coalesce(`{c}`, {float(medians.get(c, 0.0))!r}D) - {float(one[f'{c}_m'] or 0.0)!r}D)"
+              f" / {float(one[f'{c}_s'] or 1.0)!r}D AS `{c}z`" for c in names]
+    stages += [SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
+               VectorAssembler(inputCols=[f"{c}z" for c in names], outputCol="_num_scaled", handleInvalid="keep")]
     idx = [f"{c}__idx" for c in categorical]
     ohe = [f"{c}__ohe" for c in categorical]
-    stages += [StringIndexer(inputCols=[f"{c}__s" for c in categorical], outputCols=idx,
+    stages += [StringIndexer(inputCols=[f"{c}__f" for c in categorical], outputCols=idx,
                              handleInvalid="keep", stringOrderType="alphabetAsc"),
                OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
                VectorAssembler(inputCols=["_num_scaled"] + ohe, outputCol="features")]
     return stages
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def model_input(df: DataFrame, categorical: list[str], numeric: list[str], label: str = "is_cancelled") -> DataFrame:
-    """Typed model inputs: doubles for numbers, 'Unknown' for missing categories."""
+    """Typed model inputs: doubles and strings; missing values stay null."""
     cols = {f"{c}__d": F.col(c).cast("double") for c in numeric}
-    cols.update({f"{c}__s": F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in categorical})
+    cols.update({f"{c}__s": F.col(c).cast("string") for c in categorical})
     cols["label"] = F.col(label).cast("double")
     return df.withColumns(cols)
 
 
 def fit_logistic(train: DataFrame, categorical=APP_CATEGORICAL_FEATURES, numeric=APP_NUMERIC_FEATURES,
-                 max_iter: int = 1000) -> PipelineModel:
+                 max_iter: int = 1000, category_fill: str = "constant") -> PipelineModel:
     """M7: balanced logistic regression, L2 with C = 1 (regParam = 1 / n_train)."""
     weights = class_weights(train)
     data = model_input(train.join(F.broadcast(weights), "is_cancelled"), categorical, numeric)
@@ -200,17 +229,17 @@ def fit_logistic(train: DataFrame, categorical=APP_CATEGORICAL_FEATURES, numeric
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             maxIter=max_iter, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False)
-    return Pipeline(stages=preprocess_stages(categorical, numeric) + [lr]).fit(data)
+    return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [lr]).fit(data)
 
 
 def fit_gbt(train: DataFrame, categorical=APP_CATEGORICAL_FEATURES, numeric=APP_NUMERIC_FEATURES,
             n_trees: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8,
-            seed: int = 42) -> PipelineModel:
+            seed: int = 42, category_fill: str = "constant") -> PipelineModel:
     """M8: boosted trees - 300 trees, depth 4, learning rate 0.05, row sample 0.8."""
     data = model_input(train, categorical, numeric)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=n_trees, maxDepth=depth,
                         stepSize=rate, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=preprocess_stages(categorical, numeric) + [gbt]).fit(data)
+    return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [gbt]).fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame, categorical=APP_CATEGORICAL_FEATURES,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import threading
+import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_scalars
@@ -65,7 +67,9 @@ def fitted(spark, sf, which: str):
             split = model.stratified_split(fa(spark, sf))
             train = split.where(F.col("split") == "train")
             m = model.fit_logistic(train) if which == "lr" else model.fit_gbt(train)
-            m.write().overwrite().save(scratch_path(spark, "models", which))
+            path = scratch_path(spark, "models", f"{which}-{uuid.uuid4().hex[:12]}")
+            m.write().save(path)
+            m = PipelineModel.load(path)          # all scoring is with the stored model
             _MODELS[key] = (m, split.where(F.col("split") == "test"))
         return _MODELS[key]
 
@@ -143,6 +147,6 @@ def q_lr_metrics_notebook(spark, sf):
     fn = features.features_notebook(raw(spark, sf))
     split = model.stratified_split(fn)
     m = model.fit_logistic(split.where(F.col("split") == "train"), categorical=NOTEBOOK_CATEGORICAL_FEATURES,
-                           numeric=NOTEBOOK_NUMERIC_FEATURES)
+                           numeric=NOTEBOOK_NUMERIC_FEATURES, category_fill="mode")
     return model.evaluate(m, split.where(F.col("split") == "test"), "Logistic Regression (notebook features)",
                           categorical=NOTEBOOK_CATEGORICAL_FEATURES, numeric=NOTEBOOK_NUMERIC_FEATURES)
