@@ -181,7 +181,7 @@ def test_targets_stop_at_three_times_and_reshare(spark):
 
 
 def test_shard_rows_law_and_links(docs, nothing):
-    got = shard(docs, shards=7)
+    got = shard(docs, shards=7, rounds=2)
     rows = got.collect()
     assert len(rows) == len(ROWS)
     slots = defaultdict(list)
@@ -194,12 +194,12 @@ def test_shard_rows_law_and_links(docs, nothing):
     assert sorted((key(r.doc_id), r["size"], r.text_crc32) for r in rows) == want
     links = cut_links(got, "text_crc32").first()
     assert links["cut"] == 0
-    assert shard(nothing, shards=7).count() == 0
+    assert shard(nothing, shards=7, rounds=1).count() == 0
 
 
 def test_shard_splits_a_hot_group_evenly(spark):
     rows = [(i, "same" if i < 200 else f"text {i // 2}", "", "", 0) for i in range(600)]
-    got = shard(frame(spark, rows), shards=8).collect()
+    got = shard(frame(spark, rows), shards=8, rounds=2).collect()
     counts = defaultdict(int)
     for r in got:
         counts[r.shard] += 1
