@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .util import WORD_RE, free_name, written
 
-#: Hash seeds tried per source: two SHA-256 digests of eight 32-bit draws each.
-DRAWS = 16
+#: Hash seeds tried per source: eight SHA-256 digests of eight 32-bit draws each.
+DRAWS = 64
 #: A source is repeated at most this many times.
 MAX_RATE = 3
 #: Weights by the code-point rank of the source, repeating.
@@ -62,12 +62,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE)
         F.col("_cap"), F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+def _digest(block: Column, key: Column) -> Column:
+    return F.sha2(F.concat(block.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
+
+
+def _uniform(hexes: Column, start: Column) -> Column:
+    """Eight hex digits from ``start`` as a number in [0, 1)."""
+    return F.conv(F.substr(hexes, start, F.lit(8)), 16, 10).cast("double") / 4294967296.0
+
+
 def draws(key: Column) -> Column:
-    """``DRAWS`` uniform numbers in [0, 1) from the text form of ``key``."""
-    hexes = [F.sha2(F.concat(F.lit(f"{s}:"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
-             for s in range(DRAWS // 8)]
-    return F.array(*[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296.0
-                     for h in hexes for i in range(8)])
+    """All ``DRAWS`` uniform numbers of ``key``."""
+    hexes = [_digest(F.lit(s), key) for s in range(DRAWS // 8)]
+    return F.array(*[_uniform(h, F.lit(1 + 8 * i)) for h in hexes for i in range(8)])
+
+
+def draw(key: Column, seed: Column) -> Column:
+    """The number that ``draws`` has at place ``seed``."""
+    return _uniform(_digest(F.floor(seed / 8).cast("int"), key), (1 + 8 * F.pmod(seed, F.lit(8))).cast("int"))
 
 
 def _key(source: str) -> Column:
@@ -101,7 +113,7 @@ def source_plan(sized: DataFrame) -> DataFrame:
 
 
 def _copies(id_col: str, rate: str, seed: str) -> Column:
-    extra = F.element_at(draws(F.col(id_col)), F.col(seed) + 1) < F.col(rate) - F.floor(rate)
+    extra = draw(F.col(id_col), F.col(seed)) < F.col(rate) - F.floor(rate)
     return (F.floor(rate) + extra.cast("bigint")).cast("bigint")
 
 
