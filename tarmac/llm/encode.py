@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct cuttings remembered per worker; beyond it the memory starts anew.
-REMEMBER = 900_000
+REMEMBER = 600_000
 #: Characters of one text, and of one batch, that are cut at once.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 22
 _TAIL = ".,;:!?"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SAFE = re.compile(r"[A-Za-z0-9] (?=[A-Za-z0-9])")
