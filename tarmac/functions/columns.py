@@ -16,12 +16,13 @@ LOOKUP_ROWS = 200_000
 _LOOKUPS: dict[tuple[str, int], list[tuple[DataFrame, str]]] = {}
 
 
-def checked_lookup(df: DataFrame, limit: int | None = None) -> DataFrame:
+def checked_lookup(df: DataFrame, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """A small aggregate for joining to a fact table, its size checked before the plan is made.
 
     The aggregate is written once per session and counted from the file; up to ``limit``
     rows it carries a broadcast hint, so the fact side is never shuffled for it.  Beyond the
-    limit the written table is returned without a hint.
+    limit the written table is returned without a hint.  ``keys`` says which columns are
+    unique in ``df``: a left join that nothing reads from is then removed by the optimizer.
     """
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, df.semanticHash())
@@ -32,7 +33,9 @@ def checked_lookup(df: DataFrame, limit: int | None = None) -> DataFrame:
         df.write.parquet(path)
         known.append((df, path))
     table = spark.read.parquet(path).toDF(*df.columns)    # equal plans may name columns differently
-    return F.broadcast(table) if table.count() <= (LOOKUP_ROWS if limit is None else limit) else table
+    rows = table.count()
+    table = table.dropDuplicates(keys) if keys else table
+    return F.broadcast(table) if rows <= (LOOKUP_ROWS if limit is None else limit) else table
 
 
 def col(c: str | Column) -> Column:

@@ -40,7 +40,7 @@ def with_group_mean(df: DataFrame, key: str, value: str, out: str,
     """
     means = ((df if means_from is None else means_from).where(F.col(key).isNotNull())
              .groupBy(key).agg(F.avg(value).alias(out)))
-    return df.join(checked_lookup(means), key, "left")
+    return df.join(checked_lookup(means, keys=[key]), key, "left")
 
 
 def quintile_edges(df: DataFrame, value: str = "total_fare_inr", exact: bool = True) -> DataFrame:
