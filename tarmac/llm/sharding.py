@@ -33,11 +33,17 @@ def _subs(total: int, shards: int) -> int:
     return shards * max(8, -(-total // (shards * ATOM_ROWS)))
 
 
-def propagate(atoms: DataFrame, shards: int, capacity: int, rounds: int, slices: int) -> DataFrame:
-    """``atoms`` (group columns _g1 _g2, _sub, n, label) after ``rounds`` of propagation."""
+def propagate(atoms: DataFrame, shards: int, capacity: int, rounds: int, slices: int,
+              taken: DataFrame | None = None) -> DataFrame:
+    """``atoms`` (group columns _g1 _g2, _sub, n, label) after ``rounds`` of propagation.
+
+    ``taken`` (label, load) is what other atoms already hold of each shard's capacity.
+    """
     group = Window.partitionBy("_g1", "_g2")
     for step in range(rounds):
-        loads = atoms.groupBy("label").agg(F.sum("n").alias("load"))
+        held = atoms.select("label", F.col("n").alias("load"))
+        held = held.unionByName(taken) if taken is not None else held
+        loads = held.groupBy("label").agg(F.sum("load").alias("load"))
         room = written(loads.select("label", (F.lit(capacity) - F.col("load")).alias("room")), "room")
         # A group has at most one population per shard: the window below is bounded.
         pops = (atoms.groupBy("_g1", "_g2", "label").agg(F.sum("n").alias("pop"))
@@ -87,7 +93,7 @@ def propagate(atoms: DataFrame, shards: int, capacity: int, rounds: int, slices:
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-          rounds: int = 6) -> DataFrame:
+          rounds: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, shard, slot; counts at most one apart.
 
     Documents with equal texts (null: empty) are linked.  ``size`` is the UTF-8 bytes plus 8,
@@ -107,29 +113,33 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     sub = F.pmod("_h", F.lit(subs)).cast("int")
     start = F.pmod("_h", F.lit(shards)).cast("int")     # subs is a multiple of shards
     counts = base.withColumn("_sub", sub).groupBy("_g1", "_g2", "_sub").agg(F.count(F.lit(1)).alias("n"))
-    linked = (counts.withColumn("_all", F.sum("n").over(Window.partitionBy("_g1", "_g2")))
-              .where("_all > 1").drop("_all"))
-    atoms = written(linked.withColumn("label", F.pmod("_sub", F.lit(shards)).cast("int")), "atoms")
-    atoms = propagate(atoms, shards, capacity, rounds, slices)
-    labels = atoms.select("_g1", "_g2", "_sub", "label", F.col("n").alias("_n"))
+    linked = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("_g1", "_g2"))).where("_all > 1")
+    linked = written(linked.withColumn("label", F.pmod("_sub", F.lit(shards)).cast("int")), "linked")
+    # Groups that take much of a shard find their homes first; the others move round them.
+    large = F.col("_all") * 8 >= capacity
+    first = propagate(written(linked.where(large).drop("_all"), "atoms"), shards, capacity, rounds, slices)
+    taken = first.groupBy("label").agg(F.sum("n").alias("load"))
+    then = propagate(written(linked.where(~large).drop("_all"), "atoms"), shards, capacity, rounds, slices, taken)
+    labels = (first.withColumn("_class", F.lit(0)).unionByName(then.withColumn("_class", F.lit(1)))
+              .withColumnRenamed("n", "_n"))
     placed = hot_split_join(base.withColumn("_sub", sub), labels, ["_g1", "_g2", "_sub"], "_n", total)
-    placed = placed.select("_id", "size", "text_crc32", "_g1", "_h", "_row", F.col("label").isNull().alias("_single"),
+    placed = placed.select("_id", "size", "text_crc32", "_g1", "_h", "_row", F.coalesce("_class", F.lit(2)).alias("_class"),
                            F.coalesce("label", start).alias("_to"))
     return _level(placed, shards, total).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
 def _level(placed: DataFrame, shards: int, total: int) -> DataFrame:
-    """Exact row counts: ``placed`` (_to, _single, _g1, _h, _row) with final shard and slot.
+    """Exact row counts: ``placed`` (_to, _class, _g1, _h, _row) with final shard and slot.
 
-    A shard's rows are numbered linked groups first, unlinked rows last, in slices of a
-    bounded number of rows; rows numbered beyond the shard's size go, in order, to the free
-    places of the shards that have some.
+    A shard's rows are numbered large groups first, then other linked rows, unlinked ones
+    last, in slices of a bounded number of rows; rows numbered beyond the shard's size go,
+    in order, to the free places of the shards that have some.
     """
-    # Slices by group hash keep a group's rows together; by row hash they split a hot one.
+    # Small groups stay together in slices by group; large ones and unlinked rows go by row.
     parts = max(1, -(-total // (shards * SLICE_ROWS)))
-    slice_ = F.when(F.col("_single"), F.lit(parts) + F.pmod("_h", F.lit(parts))).otherwise(
+    slice_ = F.col("_class") * parts + F.when(F.col("_class") == 2, F.pmod("_h", F.lit(parts))).otherwise(
         F.pmod("_g1", F.lit(parts)))
-    fine = F.pmod(F.shiftright("_h", 7), F.lit(8 * parts))
+    fine = F.when(F.col("_class") == 0, F.pmod(F.shiftright("_h", 7), F.lit(8 * parts))).otherwise(0)
     placed = written(placed.withColumn("_s1", slice_.cast("bigint")).withColumn("_s2", fine.cast("bigint")), "placed")
     per = placed.groupBy("_to", "_s1", "_s2").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("_to").orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
