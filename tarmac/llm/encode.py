@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .util import CACHES
+
 #: Distinct cuttings remembered per worker; beyond it the memory starts anew.
 REMEMBER = 600_000
 #: Characters of one text, and of one batch, that are cut at once.
@@ -233,3 +235,6 @@ class Encoder:
                     flush()
         flush()
         return out
+
+
+CACHES["encode"] = Encoder._here.clear

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import SEGMENT, Encoder
-from .util import ship
+from .util import ship, use_cache
 
 CAPACITY = 1024
 #: Remainders dealt together.
@@ -86,6 +86,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("encode")
         encoder = Encoder.of(tokenizer)
         serial = TaskContext.get().partitionId() << 33
         end = np.array([end_id], np.uint32)

@@ -20,14 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .util import ship, written
+from .util import CACHES, ship, use_cache, written
 
 #: Rated rows per grade that the model is fitted on, about.
-PER_GRADE = 4000
+PER_GRADE = 2000
 BITS = 18
 #: A feature must occur in this many sampled texts to get a weight.
 MIN_TEXTS = 4
@@ -37,13 +39,17 @@ MIN_ODDS = 1.5
 #: Characters of a text whose words are held at once.
 PIECE = 1 << 20
 #: Words whose features are remembered per worker; beyond it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 250_000
 
+#: Rows scored at once.
+ROWS = 1000
 #: Letters of the word parts, and of a word that parts are taken from at most; the word
 #: itself is a feature at any length.
 PART, LETTERS = 4, 64
 
-_memory: dict[str, tuple[int, tuple[int, ...]]] = {}
+_memory: dict[str, bytes] = {}
+CACHES["quality"] = _memory.clear
+_SIGN = re.compile(r"[\W_]")
 _BLANK = re.compile(r"\s")
 
 
@@ -61,12 +67,12 @@ def _number(name: str) -> int:
     return xxhash.xxh64_intdigest(name) & ((1 << BITS) - 1)
 
 
-def _word_features(word: str) -> tuple[int, tuple[int, ...]]:
-    """Signs of ``word`` that are neither letter nor digit, and its feature numbers."""
-    core = "".join(c for c in word.lower() if c.isalnum())
+def _word_features(word: str) -> bytes:
+    """The feature numbers of ``word`` as 32-bit integers."""
+    core = _SIGN.sub("", word.lower())
     names = {"w" + core, "s" + _shape(word)}
     names |= {"p" + core[i:i + PART] for i in range(min(len(core), LETTERS) - PART + 1)}
-    return len(word) - len(core), tuple(_number(x) for x in names)
+    return np.array([_number(x) for x in names], np.int32).tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -80,38 +86,39 @@ def features(text: str | None) -> np.ndarray:
         counts.update(text[at:end].split())
         at = end
     if not counts:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     if len(_memory) > REMEMBER:
         _memory.clear()
-    found: set[int] = set()
-    signs = chars = 0
+    found, signs, chars = [], 0, 0
     for w, n in counts.items():
         known = _memory.get(w)
         if known is None:
             known = _memory[w] = _word_features(w)
-        signs += n * known[0]
+        found.append(known)
         chars += n * len(w)
-        found.update(known[1])
+        if not w.isalnum():
+            signs += n * len(_SIGN.findall(w))
     total = counts.total()
     size = total.bit_length()
-    found.add(_number(f"distinct:{size}:{10 * len(counts) // total}"))
-    found.add(_number(f"commonest:{size}:{20 * max(counts.values()) // total}"))
-    found.add(_number(f"signs:{30 * signs // chars}"))
-    return np.sort(np.fromiter(found, np.int64, len(found)))
+    shares = [_number(f"distinct:{size}:{10 * len(counts) // total}"),
+              _number(f"commonest:{size}:{20 * max(counts.values()) // total}"),
+              _number(f"signs:{30 * signs // chars}")]
+    return np.unique(np.concatenate((np.frombuffer(b"".join(found), np.int32), np.array(shares, np.int32))))
 
 
 def sigmoid(x):
     return 0.5 * (1 + np.tanh(np.asarray(x) / 2))
 
 
-def _log_odds(place: np.ndarray, owner: np.ndarray, grades: np.ndarray, n: int, levels: int) -> np.ndarray:
+def _log_odds(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, levels: int) -> np.ndarray:
     """How far a feature's share of the texts of one grade is from its share of the others, in logs."""
-    most = np.zeros(n)
+    n = 1 << BITS
+    all_texts, most = np.bincount(flat, minlength=n), np.zeros(n)
     for g in range(levels):
         mine = grades == g
         if 0 < mine.sum() < len(mine):
-            a = np.bincount(place, mine[owner], minlength=n)
-            b = np.bincount(place, ~mine[owner], minlength=n)
+            a = np.bincount(flat[mine[owner]], minlength=n)
+            b = all_texts - a
             most = np.maximum(most, np.abs(np.log((a + 1) / (mine.sum() + 2) * ((~mine).sum() + 2) / (b + 1))))
     return most
 
@@ -119,14 +126,16 @@ def _log_odds(place: np.ndarray, owner: np.ndarray, grades: np.ndarray, n: int,
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, levels: int,
                 steps: int = 250, rate: float = 0.05, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (2**BITS) and ``levels - 1`` ascending thresholds by full-batch Adam."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    known, place = np.unique(flat, return_inverse=True)
-    scale = _log_odds(place, owner, grades, len(known), levels)
-    often = (np.bincount(place, minlength=len(known)) >= MIN_TEXTS) & (scale >= MIN_ODDS)
-    renumber = np.cumsum(often) - 1
-    keep = often[place]
-    col, row, known, scale = renumber[place[keep]], owner[keep], known[often], scale[often]
+    flat = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    scale = _log_odds(flat, owner, grades, levels)
+    known = np.flatnonzero((np.bincount(flat, minlength=1 << BITS) >= MIN_TEXTS) & (scale >= MIN_ODDS))
+    renumber = np.full(1 << BITS, -1, np.int32)
+    renumber[known] = np.arange(len(known))
+    col = renumber[flat]
+    keep = col >= 0
+    col, row, scale = col[keep], owner[keep], scale[known]
+    del flat, owner, keep
     total = weights.sum()
     # Thresholds as a first one and positive steps, so they stay in order.
     tail = np.array([max(weights[grades >= j].sum() / total, 1e-3) for j in range(1, levels)])
@@ -175,7 +184,8 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_i
         F.lit(g), F.lit(min(1.0, per_grade / n)))]), F.col("grade"))
     uniform = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = rated.where(uniform < share).select("_id", "grade", (1 / share).alias("weight"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id")
+    # The sample's ids are about ``levels x per_grade`` rows, whatever the input.
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id")
     one = _featured(texts).withColumn("one", F.lit(0))      # a bounded sample, see PER_GRADE
     found = one.groupBy("one").applyInPandas(_fit_group(levels), "w binary, cuts array<double>").collect()
     if not found:
@@ -187,12 +197,12 @@ def _featured(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([features(t.as_py()).tolist() for t in b.column(3)],
-                                                                 pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), b.column(2), pa.array([features(t.as_py()) for t in b.column(3)],
+                                                                 pa.list_(pa.int32()))],
                 names=["_id", "grade", "weight", "f"])
     cols = texts.select("_id", "grade", "weight", "_t")
     kind = cols.schema["_id"].dataType.simpleString()
-    return cols.mapInArrow(run, f"_id {kind}, grade int, weight double, f array<bigint>")
+    return cols.mapInArrow(run, f"_id {kind}, grade int, weight double, f array<int>")
 
 
 def _fit_group(levels: int):
@@ -204,31 +214,37 @@ def _fit_group(levels: int):
     return fit
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: Column) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: tuple[str, ...]) -> DataFrame:
     """``docs`` with ``score``, ``expected_grade`` and ``tail_probability`` (of the best grade).
 
-    The frame's other columns pass through; those three names must be free in it.
+    ``text`` names the text column, or a struct column and its field.  The frame's columns
+    pass through; those three names must be free in it.
     """
     spark = docs.sparkSession
     ship(spark)
     names = docs.columns
+    place = names.index(text[0])
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    wide = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("_text_to_score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("quality")
         w, cuts = shared.value
-        for b in batches:
-            s = np.array([float(w[features(t.as_py())].sum(dtype=np.float64)) for t in b.column(len(names))])
-            tails = sigmoid(s[:, None] - cuts[None, :])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(names)], pa.array(s, pa.float64()), pa.array(tails.sum(axis=1), pa.float64()),
-                 pa.array(tails[:, -1], pa.float64())],
-                names=[*names, "score", "expected_grade", "tail_probability"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                texts = b.column(place)
+                for field in text[1:]:
+                    texts = pc.struct_field(texts, field)
+                s = np.array([float(w[features(t.as_py())].sum(dtype=np.float64)) for t in texts])
+                tails = sigmoid(s[:, None] - cuts[None, :])
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(s, pa.float64()), pa.array(tails.sum(axis=1), pa.float64()),
+                     pa.array(tails[:, -1], pa.float64())],
+                    names=[*names, "score", "expected_grade", "tail_probability"])
 
-    from pyspark.sql import types as T
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (
         "score", "expected_grade", "tail_probability")]])
-    return wide.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def grade_documents(docs: DataFrame, ratings: DataFrame, levels: int = 3, min_tail: float = 0.5,
@@ -239,7 +255,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, levels: int = 3, min_ta
     to the best grade.  Without ratings every text has score 0.  Other columns are not read.
     """
     model = train(docs, ratings, levels, id_col, text_col, per_grade)
-    out = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), model, F.col("_t"))
+    out = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), model, ("_t",))
     return out.select(F.col("_id").alias(id_col), "score", "expected_grade", "tail_probability",
                       (F.col("tail_probability") >= min_tail).alias("kept"))
 
@@ -249,5 +265,5 @@ def keep_good(docs: DataFrame, ratings: DataFrame, levels: int = 3, min_tail: fl
     """The rows of ``docs``, all columns, whose tail probability is at least ``min_tail``."""
     model = train(docs, ratings, levels, id_col, text_col, per_grade)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return (score(packed, model, F.col(f"_doc.`{text_col}`"))
+    return (score(packed, model, ("_doc", text_col))
             .where(F.col("tail_probability") >= min_tail).select("_doc.*"))

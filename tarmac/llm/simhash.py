@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import hot_split_join, ship, written
+from .util import hot_split_join, ship, use_cache, written
 
 #: Bytes of text whose words are held at once; longer texts go piece by piece.
 PIECE = 1 << 20
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("")
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)),
                               np.uint64, batch.num_rows)

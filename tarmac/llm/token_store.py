@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import SEGMENT, Encoder
-from .util import ship
+from .util import ship, use_cache
 
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -43,6 +43,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("encode")
         encoder, row = Encoder.of(tokenizer), 0
         end = np.array([end_id], np.uint32)
         for batch in batches:

@@ -43,6 +43,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Clearing functions of what a Python worker remembers between tasks, by operator.
+CACHES: dict = {}
+
+
+def use_cache(name: str) -> None:
+    """Called where a task starts: what a reused worker remembers for other operators goes."""
+    for other, clear in CACHES.items():
+        if other != name:
+            clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A driver table by its Parquet path, with a narrow column list."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

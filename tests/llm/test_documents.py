@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarmac.llm import catalog, packing, suffix
@@ -220,7 +221,7 @@ def test_token_store(spark, docs, nothing):
         at += r.n_tokens
     known = [r.doc_id for r in got if r.doc_id is not None]
     assert known == sorted(known) and [r.doc_id for r in got][:2] == [None, None]
-    assert read_store(spark, path, read_store(spark, path)["doc_id"] == 304).count() == 1
+    assert read_store(spark, path, F.col("doc_id") == 304).count() == 1
     empty = scratch_dir(spark, "t-store")
     write_store(nothing, empty, catalog.tokenizer_file("word_bpe_49k.json"))
     assert store_index(spark, empty).count() == 0
