@@ -5,10 +5,11 @@ Linked documents share a group (here: the text).  The state is one label (shard)
 atom stands for the same documents all along, so the rounds move pre-aggregated counts,
 and a group of a third of all rows is spread over many atoms of bounded size.
 
-A round joins every atom with its group's population per shard (its neighbours), lets it
-ask to move to the shard where most of them can be together, and grants the requests of
-each pair of shards, largest gain first, up to a quota: what moves the other way, plus
-the target's free room.  No shard's linked documents can thus outgrow its capacity.
+A group starts as one piece, spread over the shards.  In a round every piece without a home
+asks to move to a shard that can hold it whole: where most of it is (its neighbours), else
+one drawn in proportion to the room.  A shard grants the largest requests first, up to its
+room.  A piece that no shard can hold any more is cut at the largest room.  Rounds go on until
+nothing is left that fits; no shard's linked documents outgrow its capacity.
 
 Unlinked documents have no neighbours; they fill the shards up.  The last step makes the
 law exact: each shard keeps its first documents, linked ones first, up to its size
@@ -17,6 +18,8 @@ law exact: each shard keeps its first documents, linked ones first, up to its si
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .util import forget, hot_split_join, written
 ATOM_ROWS = 50_000
 #: Rows one window task numbers, about.
 SLICE_ROWS = 200_000
+#: Rounds of one propagation at most; reaching it is reported.
+MOST_ROUNDS = 200
 
 
 def _subs(total: int, shards: int) -> int:
@@ -33,63 +38,86 @@ def _subs(total: int, shards: int) -> int:
     return shards * max(8, -(-total // (shards * ATOM_ROWS)))
 
 
-def propagate(atoms: DataFrame, shards: int, capacity: int, rounds: int, slices: int,
-              taken: DataFrame | None = None) -> DataFrame:
-    """``atoms`` (group columns _g1 _g2, _sub, n, label) after ``rounds`` of propagation.
+def propagate(atoms: DataFrame, shards: int, capacity: int, rounds: int, taken: DataFrame | None = None,
+              largest_first: bool = False, most: int = MOST_ROUNDS) -> DataFrame:
+    """``atoms`` (group columns _g1 _g2, _sub, n, label) that found a home, with its label.
 
-    ``taken`` (label, load) is what other atoms already hold of each shard's capacity.
+    ``taken`` (label, load) is what other atoms already hold of each shard's capacity.  Rounds
+    go on until every piece has a home or what is left fits nowhere; ``rounds`` of them in a row
+    without a grant, or ``most`` in all, end it too, the latter with a warning.  With
+    ``largest_first`` only pieces at least half as large as the largest one ask.
     """
-    group = Window.partitionBy("_g1", "_g2")
-    for step in range(rounds):
-        held = atoms.select("label", F.col("n").alias("load"))
-        held = held.unionByName(taken) if taken is not None else held
-        loads = held.groupBy("label").agg(F.sum("load").alias("load"))
-        room = written(loads.select("label", (F.lit(capacity) - F.col("load")).alias("room")), "room")
-        # A group has at most one population per shard: the window below is bounded.
-        pops = (atoms.groupBy("_g1", "_g2", "label").agg(F.sum("n").alias("pop"))
-                .join(F.broadcast(room), "label")          # one row per shard
-                .withColumn("size", F.sum("pop").over(group)))
-        reach = F.least(F.col("size"), F.col("pop") + F.greatest("room", F.lit(0)))
-        tie = F.xxhash64("_g1", "_g2", "label")
-        rank = F.row_number().over(group.orderBy(reach.desc(), F.col("pop").desc(), tie))
-        # A group above the capacity gets as many homes as it needs.
-        homes = F.ceil(F.col("size") / F.lit(capacity))
-        pops = pops.withColumn("rank", rank)
-        targets = (pops.groupBy("_g1", "_g2").agg(
-            F.max(homes).alias("k"), F.sort_array(F.collect_list(F.when(
-                F.col("rank") <= homes, F.struct("rank", "label", "pop")))).alias("homes")))
-        asked = (atoms.join(targets, ["_g1", "_g2"])
-                 .withColumn("at_home", F.exists("homes", lambda h: h["label"] == F.col("label")))
-                 .withColumn("home", F.element_at("homes", (F.pmod(F.xxhash64("_sub", F.lit(step)),
-                                                                   F.size("homes")) + 1).cast("int"))))
-        moves = (asked.where(~F.col("at_home"))
-                 .select("_g1", "_g2", "_sub", "n", "label", F.col("home.label").alias("to"),
-                         F.col("home.pop").alias("gain"))
-                 .withColumn("_slice", F.pmod(F.xxhash64("_g1", "_sub"), F.lit(slices))))
-        moves = written(moves, "moves")
-        # One row per pair of shards and slice.
-        flow = moves.groupBy("label", "to", "_slice").agg(F.sum("n").alias("x"))
-        pair = flow.groupBy("label", "to").agg(F.sum("x").alias("x_pair"))
-        back = pair.select(F.col("label").alias("to"), F.col("to").alias("label"), F.col("x_pair").alias("x_back"))
-        into = pair.groupBy("to").agg(F.sum("x_pair").alias("x_in"))
-        quota = (pair.join(back, ["label", "to"], "left").join(into, "to")
-                 .join(room.select(F.col("label").alias("to"), "room"), "to", "left")
-                 .withColumn("swap", F.least("x_pair", F.coalesce("x_back", F.lit(0))))
-                 .withColumn("free", F.greatest(F.coalesce("room", F.lit(capacity)), F.lit(0))
-                             * F.col("x_pair") / F.col("x_in"))
-                 .select("label", "to", "x_pair", (F.col("swap") + F.col("free")).alias("quota")))
-        share = flow.join(quota, ["label", "to"]).select(
-            "label", "to", "_slice", (F.col("quota") * F.col("x") / F.col("x_pair")).alias("quota"))
-        first = (Window.partitionBy("label", "to", "_slice").orderBy(F.col("gain").desc(), "_g1", "_g2", "_sub")
+    key = ["_g1", "_g2", "_part"]
+    room = [capacity] * shards
+    for r in taken.collect() if taken is not None else []:       # one row per shard
+        room[r["label"]] -= r["load"]
+    left = written(atoms.withColumn("_part", F.lit(0).cast("bigint")), "atoms")
+    homes, idle = [], 0
+    for step in range(most):
+        best = max(room)
+        # At most one population per shard: the map is bounded.
+        pops = (left.groupBy(*key, "label").agg(F.sum("n").alias("pop"), F.count(F.lit(1)).alias("atoms"),
+                                                F.max("n").alias("top"))
+                .groupBy(*key).agg(F.sum("pop").alias("size"), F.sum("atoms").alias("atoms"), F.max("top").alias("top"),
+                                   F.map_from_entries(F.collect_list(F.struct("label", "pop"))).alias("pops")))
+        pieces = written(pops, "pieces")
+        seen = pieces.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("size") <= best, F.col("size"))).alias("top"),
+                          F.sum(((F.col("size") > best) & (F.col("atoms") > 1)).cast("int")).alias("wide")).first()
+        if best <= 0 or (seen["top"] is None and not seen["wide"]) or idle >= rounds:
+            break
+        # Of the shards it fits into, a piece asks for the one with most of it, then for one
+        # drawn by a hash in proportion to the room: the requests spread.
+        places = F.array(*[F.struct(F.lit(i).alias("to"), F.lit(x).cast("bigint").alias("room"))
+                           for i, x in enumerate(room) if x > 0])
+
+        def wish(p):
+            draw = (F.pmod(F.xxhash64("_g1", "_g2", "_part", p["to"], F.lit(step)), F.lit(1 << 30)) + 1) / float(1 << 30)
+            return F.struct(F.coalesce(F.try_element_at("pops", p["to"]), F.lit(0)).alias("pop"),
+                            (F.log(draw) / p["room"]).alias("draw"), p["to"].alias("to"))
+
+        least = (seen["top"] or 0) / 2 if largest_first else 0
+        fits = F.filter(places, lambda p: p["room"] >= F.col("size"))
+        asked = (pieces.where((F.col("size") <= best) & (F.col("size") >= least))
+                 .select(*key, "size", F.array_max(F.transform(fits, wish)).alias("wish"))
+                 .select(*key, "size", F.col("wish.to").alias("to"), F.col("wish.pop").alias("pop")))
+        asked = written(asked, "asked")
+        sums = {r["to"]: (r["x"], r["c"]) for r in asked.groupBy("to").agg(
+            F.sum("size").alias("x"), F.count(F.lit(1)).alias("c")).collect()}      # one row per shard
+        # One slice after a round without a grant: its first request always fits.
+        slices = 1 if idle else max([1, *[-(-c // SLICE_ROWS) for _, c in sums.values()]])
+        asked = asked.withColumn("_slice", F.pmod(F.xxhash64("_g1", "_part"), F.lit(slices)))
+        rate = F.element_at(F.array(*[F.lit(x / sums[i][0] if i in sums else 0.0) for i, x in enumerate(room)]),
+                            F.col("to") + 1)
+        full = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in room]), F.col("to") + 1)
+        quota = asked.groupBy("to", "_slice").agg(F.sum("size").alias("x")).select(
+            "to", "_slice", (F.floor(F.col("x") * rate) if slices > 1 else full).alias("quota"))
+        first = (Window.partitionBy("to", "_slice").orderBy(F.col("size").desc(), F.col("pop").desc(), *key)
                  .rowsBetween(Window.unboundedPreceding, 0))
-        granted = (moves.withColumn("run", F.sum("n").over(first)).join(share, ["label", "to", "_slice"])
-                   .where(F.col("run") <= F.col("quota")).select("_g1", "_g2", "_sub", "to"))
-        after = written(atoms.join(granted, ["_g1", "_g2", "_sub"], "left")
-                        .withColumn("label", F.coalesce("to", "label")).drop("to"), "atoms")
-        for old in (atoms, moves, room):
+        granted = written(asked.withColumn("run", F.sum("size").over(first)).join(F.broadcast(quota), ["to", "_slice"])
+                          .where(F.col("run") <= F.col("quota")).select(*key, "to", "size"), "granted")
+        loads = granted.groupBy("to").agg(F.sum("size").alias("load")).collect()
+        for r in loads:
+            room[r["to"]] -= r["load"]
+        idle = 0 if loads or seen["wide"] else idle + 1
+        state = pieces.select(*key, "size", "atoms", "top").join(granted.drop("size"), key, "left")
+        state = left.join(state, key)
+        homes.append(written(state.where("to is not null").select("_g1", "_g2", "_sub", "n", F.col("to").alias("label")),
+                             "homes"))
+        # What fits nowhere is cut into pieces of the largest room; a single atom stays as it is.
+        run = F.sum("n").over(Window.partitionBy(*key).orderBy("_sub").rowsBetween(Window.unboundedPreceding, 0))
+        cut = F.floor((run - 1) / F.greatest(F.lit(best) - F.col("top"), F.lit(1)))
+        wide = state.where((F.col("size") > best) & (F.col("atoms") > 1)).withColumn("_part", F.xxhash64("_part", cut))
+        rest = state.where((F.col("size") <= best) & F.col("to").isNull()).unionByName(wide)
+        rest = written(rest.select("_g1", "_g2", "_sub", "n", "label", "_part"), "atoms")
+        for old in (left, pieces, asked, granted):
             forget(old)
-        atoms = after
-    return atoms
+        left = rest
+    else:
+        logging.getLogger(__name__).warning("%d atoms without a home after %d rounds", left.count(), most)
+    out = atoms.select("_g1", "_g2", "_sub", "n", "label").limit(0)
+    for h in homes:
+        out = out.unionByName(h)
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
@@ -98,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     Documents with equal texts (null: empty) are linked.  ``size`` is the UTF-8 bytes plus 8,
     ``slot`` numbers a shard's rows from 0.  Null and repeated ids are rows like any other;
-    other columns are not read; an empty table gives no rows.
+    other columns are not read; an empty table gives no rows.  ``rounds``: see ``propagate``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -109,17 +137,16 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     total = base.count()
     capacity = max(1, total // shards)
     subs = _subs(total, shards)
-    slices = max(1, -(-total // (shards * shards * SLICE_ROWS)))
     sub = F.pmod("_h", F.lit(subs)).cast("int")
     start = F.pmod("_h", F.lit(shards)).cast("int")     # subs is a multiple of shards
     counts = base.withColumn("_sub", sub).groupBy("_g1", "_g2", "_sub").agg(F.count(F.lit(1)).alias("n"))
     linked = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("_g1", "_g2"))).where("_all > 1")
     linked = written(linked.withColumn("label", F.pmod("_sub", F.lit(shards)).cast("int")), "linked")
-    # Groups that take much of a shard find their homes first; the others move round them.
+    # Groups that take much of a shard find their homes first; the others use the room left.
     large = F.col("_all") * 8 >= capacity
-    first = propagate(written(linked.where(large).drop("_all"), "atoms"), shards, capacity, rounds, slices)
+    first = written(propagate(linked.where(large).drop("_all"), shards, capacity, rounds, largest_first=True), "homes")
     taken = first.groupBy("label").agg(F.sum("n").alias("load"))
-    then = propagate(written(linked.where(~large).drop("_all"), "atoms"), shards, capacity, rounds, slices, taken)
+    then = propagate(linked.where(~large).drop("_all"), shards, capacity, rounds, taken)
     labels = (first.withColumn("_class", F.lit(0)).unionByName(then.withColumn("_class", F.lit(1)))
               .withColumnRenamed("n", "_n"))
     placed = hot_split_join(base.withColumn("_sub", sub), labels, ["_g1", "_g2", "_sub"], "_n", total)

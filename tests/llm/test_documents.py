@@ -209,6 +209,15 @@ def test_shard_splits_a_hot_group_evenly(spark):
     assert len({r.shard for r in got if r.text_crc32 == hot}) <= 5      # 200 rows need three shards
 
 
+@pytest.mark.parametrize("size,share", [(60, 0.6), (60, 1.0), (30, 0.8), (30, 1.0), (20, 1.0), (4, 1.0)])
+def test_groups_that_fit_are_not_cut(spark, size, share):
+    total = 8 * 120                                                     # 8 shards of 120 rows
+    rows = [(i, f"group {i // size}" if i < share * total else f"text {i}", "", "", 0) for i in range(total)]
+    got = shard(frame(spark, rows), shards=8)
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [120] * 8
+    assert cut_links(got, "text_crc32").first()["cut"] == 0
+
+
 def test_token_store(spark, docs, nothing):
     path = scratch_dir(spark, "t-store")
     write_store(docs, path, catalog.tokenizer_file("word_bpe_49k.json"), end_id=1)
