@@ -65,16 +65,25 @@ def q_prompt_context(spark, sf):
 QUESTION_CATEGORIES = [c for c, _ in rules("dashboard")]
 
 
-@query("text_embed_topk")
-def q_text_embed_topk(spark, sf):
+def _category_hits(spark, sf, stem):
     corpus = retrieval.all_documents(fa(spark, sf)).select("doc_id", "text")
-    tf, idf, norms = retrieval.tfidf(corpus)
+    tf, idf, norms = retrieval.tfidf(corpus, stem=stem)
     questions = spark.createDataFrame(list(enumerate(QUESTION_CATEGORIES)), "query_id int, question string")
     n_docs = idf.select("_m").first()[0]
-    qvec = retrieval.embed_queries(questions, idf, n_docs)
+    qvec = retrieval.embed_queries(questions, idf, n_docs, stem=stem)
     return retrieval.sparse_top_k(tf, norms, qvec, questions=questions).select("query_id", "rank", "doc_id", "score")
 
 
+@query("text_embed_topk")
+def q_text_embed_topk(spark, sf):
+    return _category_hits(spark, sf, retrieval.prefix_stem)
+
+
+@query("text_embed_topk_stems")
+def q_text_embed_topk_stems(spark, sf):
+    return _category_hits(spark, sf, retrieval.suffix_stem)
+
+
 @query("metrics_facts")
 def q_metrics_facts(spark, sf):
     from ..operators import complaints, report

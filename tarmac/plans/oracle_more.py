@@ -93,14 +93,15 @@ FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id
 GROUP BY h.query_id""")
 
 _questions = ", ".join(f"({i}, {_sql_str(c)})" for i, (c, _) in enumerate(rules("dashboard")))
-sql("text_embed_topk", with_ctes(BOOKINGS, FEATURES_APP, f"""
+def _text_sql(term: str) -> str:
+    return with_ctes(BOOKINGS, FEATURES_APP, f"""
 corpus AS (
   SELECT {_BOOKING_DOC_COLS} FROM fa
   UNION ALL
   SELECT {_COMPLAINT_DOC_COLS} FROM fa WHERE {_HAS}
 ),
 tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM corpus),
-tf AS (SELECT doc_id, substr(word, 1, 5) AS term, count(*) AS tf FROM tok WHERE word <> '' GROUP BY ALL),
+tf AS (SELECT doc_id, {term} AS term, count(*) AS tf FROM tok WHERE word <> '' GROUP BY ALL),
 m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM corpus),
 idf AS (SELECT term, ln((m + 1) / (CAST(count(*) AS DOUBLE) + 1)) AS idf FROM tf, m GROUP BY term, m),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
@@ -108,7 +109,7 @@ nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 dw AS (SELECT doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END AS weight FROM w JOIN nrm USING (doc_id)),
 qs AS (SELECT * FROM (VALUES {_questions}) AS t(query_id, question)),
 qtok AS (SELECT query_id, unnest(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM qs),
-qtf AS (SELECT query_id, substr(word, 1, 5) AS term, count(*) AS tf FROM qtok WHERE word <> '' GROUP BY ALL),
+qtf AS (SELECT query_id, {term} AS term, count(*) AS tf FROM qtok WHERE word <> '' GROUP BY ALL),
 qw AS (SELECT query_id, term, tf * coalesce(idf, ln(m + 1.0)) AS w FROM qtf LEFT JOIN idf USING (term), m),
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY query_id),
 qv AS (SELECT query_id, term, w / norm AS q_weight FROM qw JOIN qn USING (query_id)),
@@ -119,7 +120,14 @@ sc AS (SELECT q.query_id, c.doc_id, coalesce(hit.score, 0.0) AS score FROM qs q
 SELECT CAST(query_id AS INTEGER) AS query_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
        doc_id, score
-FROM sc QUALIFY rank <= 8"""))
+FROM sc QUALIFY rank <= 8""")
+
+
+_SUFFIX = r"'^(\p{L}{3,}?)(?:ations?|ings?|ed)$|^(\p{L}{2,}[^s\p{N}])s$'"
+_STEM_TERM = (rf"CASE WHEN regexp_matches(word, {_SUFFIX}) THEN regexp_replace(regexp_replace(word, {_SUFFIX}, '\1\2'), "
+              r"'(l)l$|(p)p$|(t)t$', '\1\2\3') ELSE word END")
+sql("text_embed_topk", _text_sql("substr(word, 1, 5)"))
+sql("text_embed_topk_stems", _text_sql(_STEM_TERM))
 
 
 # ----------------------------------------------------------------------------- R6 report

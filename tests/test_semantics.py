@@ -278,3 +278,11 @@ def test_crosstab_zero_cells_and_observed_categories(spark):
     # Observed categories only (4 cells), zero cell kept, NULL airline dropped.
     assert out == {("Baggage", "A"): (2, 100.0), ("Seat Issues", "A"): (0, 0.0),
                    ("Baggage", "B"): (0, 0.0), ("Seat Issues", "B"): (1, 100.0)}
+
+
+def test_stems_merge_inflections_but_no_numbers_and_no_other_words(spark):
+    from tarmac.operators import retrieval
+    text = "ticketed ticketing delay delayed cancelled cancel customs customer 1000001 1000002 class"
+    got = retrieval.tokens(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", retrieval.suffix_stem)
+    assert [r.term for r in got.collect()] == ["ticket", "ticket", "delay", "delay", "cancel", "cancel", "custom",
+                                               "customer", "1000001", "1000002", "class"]
