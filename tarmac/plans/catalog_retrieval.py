@@ -62,6 +62,43 @@ def q_prompt_context(spark, sf):
     return retrieval.prompt_context(hits, texts)
 
 
+def _search_queries(emb):
+    """The search's query set: every row whose id is divisible by SEARCH_EVERY."""
+    return emb.where(F.col("vec_id") % SEARCH_EVERY == 0).select(
+        F.col("label").alias("query_label"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+SEARCH_EVERY = 20
+
+
+@query("cosine_search")
+def q_cosine_search(spark, sf):
+    emb = _embeddings(spark, sf)
+    hits = retrieval.top_k_cosine(emb, _search_queries(emb))
+    return hits.select("query_label", "query_id", "rank", "vec_id", "label", "similarity")
+
+
+@query("prompt_context_search")
+def q_prompt_context_search(spark, sf):
+    emb = _embeddings(spark, sf)
+    hits = retrieval.top_k_cosine(emb, _search_queries(emb))
+    texts = read_table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    return retrieval.prompt_context(hits, texts)
+
+
+@query("text_search")
+def q_text_search(spark, sf):
+    """Every turn of the conversations divisible by SEARCH_EVERY against all turns."""
+    turns = read_table(spark, sf, "conversations", "conv_id", "turn", "text").select(
+        "conv_id", F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    tf, idf, norms = retrieval.tfidf(turns)
+    questions = turns.where(F.col("conv_id") % SEARCH_EVERY == 0).select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    n_docs = turns.count()
+    qvec = retrieval.embed_queries(questions, idf, n_docs)
+    return retrieval.sparse_top_k(tf, norms, qvec, questions=questions).select("query_id", "rank", "doc_id", "score")
+
+
 QUESTION_CATEGORIES = [c for c, _ in rules("dashboard")]
 
 

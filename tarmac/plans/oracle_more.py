@@ -92,6 +92,29 @@ SELECT h.query_id,
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id
 GROUP BY h.query_id""")
 
+_SEARCH = f"""
+WITH q AS (
+  SELECT label AS query_label, vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id % 20 = 0
+),
+scored AS (
+  SELECT q.query_label, q.query_id, e.vec_id, e.label, {_DOT} AS score
+  FROM embeddings e CROSS JOIN q
+),
+hits AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored QUALIFY rank <= 8
+)"""
+sql("cosine_search", _SEARCH + """
+SELECT query_label, query_id, rank, vec_id, label, round_even(score, 4) AS similarity FROM hits""")
+sql("prompt_context_search", _SEARCH + """
+SELECT h.query_id,
+       string_agg('[Record ' || CAST(h.rank AS VARCHAR) || ' | similarity='
+                  || CAST(round_even(h.score, 4) AS VARCHAR) || ']' || chr(10) || coalesce(d.text, ''),
+                  chr(10) || chr(10) ORDER BY h.rank) AS context,
+       count(*) AS n_records
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id
+GROUP BY h.query_id""")
+
 _questions = ", ".join(f"({i}, {_sql_str(c)})" for i, (c, _) in enumerate(rules("dashboard")))
 def _text_sql(term: str) -> str:
     return with_ctes(BOOKINGS, FEATURES_APP, f"""
@@ -128,6 +151,22 @@ _STEM_TERM = (rf"CASE WHEN regexp_matches(word, {_SUFFIX}) THEN regexp_replace(r
               r"'(l)l$|(p)p$|(t)t$', '\1\2\3') ELSE word END")
 sql("text_embed_topk", _text_sql("substr(word, 1, 5)"))
 sql("text_embed_topk_stems", _text_sql(_STEM_TERM))
+sql("text_search", f"""
+WITH corpus AS (SELECT conv_id, conv_id || '-' || turn AS doc_id, coalesce(text, '') AS text FROM conversations),
+tok AS (SELECT conv_id, doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM corpus),
+tf AS (SELECT conv_id, doc_id, {_STEM_TERM} AS term, count(*) AS tf FROM tok WHERE word <> '' GROUP BY ALL),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM corpus),
+idf AS (SELECT term, ln((m + 1) / (CAST(count(*) AS DOUBLE) + 1)) AS idf FROM tf, m GROUP BY term, m),
+w AS (SELECT conv_id, doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+dw AS (SELECT conv_id, doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END AS weight FROM w JOIN nrm USING (doc_id)),
+hit AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.weight * q.weight), 9) AS score
+        FROM dw d JOIN dw q USING (term) WHERE q.conv_id % 20 = 0 GROUP BY ALL)
+SELECT q.doc_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY q.doc_id ORDER BY coalesce(hit.score, 0.0) DESC, c.doc_id) AS INTEGER) AS rank,
+       c.doc_id, coalesce(hit.score, 0.0) AS score
+FROM corpus q CROSS JOIN corpus c LEFT JOIN hit ON hit.query_id = q.doc_id AND hit.doc_id = c.doc_id
+WHERE q.conv_id % 20 = 0 QUALIFY rank <= 8""")
 
 
 # ----------------------------------------------------------------------------- R6 report

@@ -286,3 +286,22 @@ def test_stems_merge_inflections_but_no_numbers_and_no_other_words(spark):
     got = retrieval.tokens(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", retrieval.suffix_stem)
     assert [r.term for r in got.collect()] == ["ticket", "ticket", "delay", "delay", "cancel", "cancel", "custom",
                                                "customer", "1000001", "1000002", "class"]
+
+
+def test_searches_ask_for_every_id_divisible_by_20_and_chunks_change_nothing(spark, small_dir):
+    from pyspark.sql import functions as F
+    from tarmac.operators import retrieval
+    from tarmac.plans import catalog, catalog_retrieval as plans
+    emb = plans._embeddings(spark, small_dir)
+    want = {r[0] for r in emb.where(F.col("vec_id") % 20 == 0).select("vec_id").collect()}
+    one = catalog.REGISTRY["cosine_search"](spark, small_dir).select("query_id", "rank", "vec_id").collect()
+    assert {r.query_id for r in one} == want and len(one) == 8 * len(want)
+    many = retrieval.top_k_cosine(emb, plans._search_queries(emb), max_broadcast=7)
+    assert sorted(map(tuple, many.select("query_id", "rank", "vec_id").collect())) == sorted(map(tuple, one))
+    docs = spark.createDataFrame([(f"d{i}", f"word{i % 5} word{i % 3} other") for i in range(40)], "doc_id string, text string")
+    tf, idf, norms = retrieval.tfidf(docs)
+    asked = docs.selectExpr("doc_id AS query_id", "text AS question")
+    qvec = retrieval.embed_queries(asked, idf, 40)
+    whole, cut = [sorted(map(tuple, retrieval.sparse_top_k(tf, norms, qvec, questions=asked, max_broadcast_terms=n)
+                             .select("query_id", "rank", "doc_id", "score").collect())) for n in (1000, 30)]
+    assert whole == cut and len(whole) == 320
