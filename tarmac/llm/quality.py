@@ -43,9 +43,12 @@ REMEMBER = 250_000
 
 #: Rows scored at once.
 ROWS = 1000
-#: Letters of the word parts, and of a word that parts are taken from at most; the word
-#: itself is a feature at any length.
+#: Letters of the word parts, and of a word whose features are remembered at most.
 PART, LETTERS = 4, 64
+#: Letters of a word whose parts are held as strings at once.
+STRETCH = 1 << 16
+#: Bytes of feature numbers after which repeated ones are dropped.
+HELD = 1 << 23
 
 _memory: dict[str, bytes] = {}
 CACHES["quality"] = _memory.clear
@@ -53,14 +56,18 @@ _SIGN = re.compile(r"[\W_]")
 _BLANK = re.compile(r"\s")
 
 
-def _shape(word: str) -> str:
-    """Letter shape: runs of upper case, lower case and digits as one sign, others as they are."""
-    out = ""
-    for c in word[:LETTERS]:
-        s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if s != out[-1:]:
-            out += s
-    return out
+def _shape_number(word: str) -> int:
+    """Of the letter shape: runs of upper case, lower case and digits as one sign, others as they are."""
+    digest, last = xxhash.xxh64("s"), ""
+    for at in range(0, len(word), STRETCH):
+        out = ""
+        for c in word[at:at + STRETCH]:
+            s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+            if s != last:
+                out += s
+                last = s
+        digest.update(out)
+    return digest.intdigest() & ((1 << BITS) - 1)
 
 
 def _number(name: str) -> int:
@@ -68,11 +75,13 @@ def _number(name: str) -> int:
 
 
 def _word_features(word: str) -> bytes:
-    """The feature numbers of ``word`` as 32-bit integers."""
+    """The feature numbers of ``word``, all of it, as 32-bit integers."""
     core = _SIGN.sub("", word.lower())
-    names = {"w" + core, "s" + _shape(word)}
-    names |= {"p" + core[i:i + PART] for i in range(min(len(core), LETTERS) - PART + 1)}
-    return np.array([_number(x) for x in names], np.int32).tobytes()
+    found = {_number("w" + core), _shape_number(word)}
+    for at in range(0, len(core) - PART + 1, STRETCH):
+        end = min(at + STRETCH, len(core) - PART + 1)
+        found.update(map(_number, {"p" + core[i:i + PART] for i in range(at, end)}))
+    return np.fromiter(found, np.int32, len(found)).tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -89,12 +98,18 @@ def features(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int32)
     if len(_memory) > REMEMBER:
         _memory.clear()
-    found, signs, chars = [], 0, 0
+    found, held, signs, chars = [], 0, 0, 0
     for w, n in counts.items():
         known = _memory.get(w)
         if known is None:
-            known = _memory[w] = _word_features(w)
+            known = _word_features(w)
+            if len(w) <= LETTERS:
+                _memory[w] = known
         found.append(known)
+        held += len(known)
+        if held > HELD:
+            found = [np.unique(np.frombuffer(b"".join(found), np.int32)).tobytes()]
+            held = len(found[0])
         chars += n * len(w)
         if not w.isalnum():
             signs += n * len(_SIGN.findall(w))

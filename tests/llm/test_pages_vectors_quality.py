@@ -176,6 +176,18 @@ def test_features_of_a_long_text_do_not_depend_on_the_pieces(monkeypatch):
     assert (quality.features(text) == whole).all()
 
 
+def test_features_cover_the_whole_of_a_long_word(monkeypatch):
+    clean, bad = "温和的文字" * 40, "恶劣言语"
+    numbers = set(quality.features(clean + bad).tolist())
+    assert {quality._number("p" + bad), quality._number("p字恶劣言")} <= numbers
+    whole = quality.features(("Ab1-" * 50 + clean + bad) * 3 + " x " + "y" * 90)
+    for name in ("STRETCH", "HELD"):
+        monkeypatch.setattr(quality, name, 7)
+        assert quality.features(("Ab1-" * 50 + clean + bad) * 3 + " x " + "y" * 90).tolist() == whole.tolist()
+    assert not [w for w in quality._memory if len(w) > quality.LETTERS]
+    assert quality._shape_number("A" * 70 + "1") != quality._shape_number("A" * 70)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rows, grades = rated(300)
     good = [r for r, (_, g) in zip(rows, grades) if g == 2]
