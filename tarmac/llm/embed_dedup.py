@@ -33,6 +33,8 @@ MAX_CELLS = 8192
 SAMPLE = 48
 #: Vectors of a block.
 BLOCK = 1024
+#: Products with centres a task holds at once.
+PRODUCTS = 1 << 21
 
 
 def unit(rows: list) -> np.ndarray:
@@ -46,8 +48,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
         return x
     rng = np.random.default_rng(seed)
     centres = x[np.sort(rng.choice(len(x), k, replace=False))]
+    step = max(1, PRODUCTS // k)
     for _ in range(rounds):
-        near = np.argmax(x @ centres.T, axis=1)
+        near = np.concatenate([np.argmax(x[at:at + step] @ centres.T, axis=1) for at in range(0, len(x), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -94,6 +97,20 @@ def _centres(reps: DataFrame, cell: int, max_cells: int) -> dict:
     return {(r["label"], r["dim"]): np.array(r["c"]).reshape(-1, r["dim"]) for r in fitted.collect()}
 
 
+def _cells(v: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, guest) of the unit vectors ``v`` in their own cells and as guests in others."""
+    dots = v @ c.T
+    own = np.argmax(dots, axis=1)
+    # |c - c'|, for the centres met here only; never too small, whatever the rounding.
+    met, back = np.unique(own, return_inverse=True)
+    gap = np.sqrt(np.maximum(2 - 2 * (c[met] @ c.T), 0) + 1e-12)
+    may = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap[back] + 1e-9
+    may &= np.arange(len(c))[None, :] < own[:, None]
+    extra, where = np.nonzero(may)
+    return (np.concatenate((np.arange(len(v)), extra)), np.concatenate((own, where)),
+            np.concatenate((np.zeros(len(v), bool), np.ones(len(extra), bool))))
+
+
 def _assign(reps: DataFrame, centres: dict, threshold: float) -> DataFrame:
     """Every representative in its own cell, and as a guest in cells of smaller number."""
     spark = reps.sparkSession
@@ -102,28 +119,20 @@ def _assign(reps: DataFrame, centres: dict, threshold: float) -> DataFrame:
     kind = reps.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = {k: np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 512 else None
-                for k, c in shared.value.items()}
         for batch in batches:
             d = batch.to_pandas()
             for (label, dim), part in d.groupby(["label", "dim"], sort=True):
                 c = shared.value.get((label, dim))
-                if c is None:
-                    cells, rows, guest = np.zeros(len(part), int), np.arange(len(part)), np.zeros(len(part), bool)
-                else:
-                    dots = unit(part["v"].tolist()) @ c.T
-                    own = np.argmax(dots, axis=1)
-                    gap = gaps[label, dim]
-                    gap = gap[own] if gap is not None else np.linalg.norm(c[own][:, None, :] - c[None, :, :], axis=2)
-                    may = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap + 1e-9
-                    may &= np.arange(len(c))[None, :] < own[:, None]
-                    extra, where = np.nonzero(may)
-                    rows = np.concatenate((np.arange(len(part)), extra))
-                    cells = np.concatenate((own, where))
-                    guest = np.concatenate((np.zeros(len(part), bool), np.ones(len(extra), bool)))
-                out = part.iloc[rows][["label", "dim", "gid", "copies", "v"]]
-                yield pa.RecordBatch.from_pandas(out.assign(cell=cells.astype(np.int32), guest=guest),
-                                                 schema=schema, preserve_index=False)
+                step = len(part) if c is None else max(1, PRODUCTS // len(c))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at:at + step]
+                    if c is None:
+                        rows, cells, guest = np.arange(len(some)), np.zeros(len(some), int), np.zeros(len(some), bool)
+                    else:
+                        rows, cells, guest = _cells(unit(some["v"].tolist()), c, reach)
+                    out = some.iloc[rows][["label", "dim", "gid", "copies", "v"]]
+                    yield pa.RecordBatch.from_pandas(out.assign(cell=cells.astype(np.int32), guest=guest),
+                                                     schema=schema, preserve_index=False)
 
     inner = reps.select("label", "dim", "gid", "copies", "v")
     schema = pa.schema([("label", _arrow(kind)), ("dim", pa.int32()), ("gid", pa.int64()), ("copies", pa.int64()),

@@ -132,6 +132,43 @@ def rated(n=420, seed=4):
     return rows, grades
 
 
+def test_more_than_512_centres_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1300, 8))
+    base[650:] = base[:650] + 0.08 * rng.normal(size=(650, 8))
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(base)]
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"),
+                           cell=2, max_cells=650, block=64).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 1000 and {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_many_centres_need_little_memory_and_lose_no_guest():
+    import tracemalloc
+    from tarmac.llm import embed_dedup as e
+    rng = np.random.default_rng(5)
+    x = e.unit(list(rng.normal(size=(48 * 700, 16))))
+    tracemalloc.start()
+    c = e.spherical_kmeans(x, 700, rounds=2)
+    assert tracemalloc.get_traced_memory()[1] < 60e6              # all products at once: 188 MB
+    tracemalloc.stop()
+    c = np.concatenate((c, e.unit(list(c[:50] + 1e-8 * rng.normal(size=(50, 16))))))      # centres next to others
+    v, reach = x[:400], np.sqrt(2 - 2 * 0.98)
+    tracemalloc.start()
+    rows, cells, guest = e._cells(v, c, reach)
+    assert tracemalloc.get_traced_memory()[1] < 25e6              # rows x centres x dim: 38 MB
+    tracemalloc.stop()
+    dots = v @ c.T
+    own = dots.argmax(axis=1)
+    gap = np.linalg.norm(c[own][:, None] - c[None], axis=2)
+    need = (dots[np.arange(400), own][:, None] - dots <= reach * gap) & (np.arange(len(c)) < own[:, None])
+    got = np.zeros_like(need)
+    got[rows[guest], cells[guest]] = True
+    assert need.sum() > 400 and not (need & ~got).any() and got.sum() < 1.01 * need.sum() + 5
+    assert (rows[~guest] == np.arange(400)).all() and (cells[~guest] == own).all()
+
+
 def test_classifier_on_held_out_texts(spark):
     rows, grades = rated()
     docs = frame(spark, rows, clash=True)
