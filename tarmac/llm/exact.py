@@ -1,11 +1,10 @@
-"""Operator 9, exact dedup: tree-merge of sorted digest runs.
-
-Every partition turns its rows into one sorted run of (digest, best identifier, rows).
-Runs are then merged in binomial rounds: a round joins ``2**bits`` neighbouring runs.
-They exchange their entries by digest range, so the merged run lies, sorted by digest,
-in as many ranges as there are tasks and is never gathered in one of them.  After a
-round a run holds each digest once; a digest therefore has at most ``2**bits`` entries
-in any merge, however many rows share the text.
+"""Operator 9, exact dedup: digest runs merged in binomial rounds by aggregation.
+
+Every partition is one run of (digest, best identifier, rows).  A round joins ``2**bits``
+neighbouring runs: a Spark aggregation on (run, digest range, digest).  No run is written
+sorted and no reader merges runs entry by entry; the range follows from the digest and
+changes no result.  After a round a run holds each digest once; a digest therefore has at
+most ``2**bits`` entries per run in the next one, however many rows share the text.
 
 An entry is verified at every level: the merge key is the SHA-256 together with the byte
 length and an independent 64-bit hash, so two texts merge only if all three agree.
