@@ -21,15 +21,16 @@ MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHEMA,
-             lenient_dates: bool = False) -> DataFrame:
+             lenient_dates: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV with a header row -> typed DataFrame; markers -> NULL; dates parsed.
 
     Columns are taken by their header name, in any order; one that the file lacks is an
     error, further ones are ignored.  Quotes inside a quoted field are doubled, and a
-    quoted field may hold line breaks.
+    quoted field may hold line breaks; a file is then read by one task.  With ``multi_line``
+    False, for files without such breaks, a large file is split among many tasks.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
-           .option("quote", '"').option("escape", '"').option("multiLine", True)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", None).option("emptyValue", "").csv(path))
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:

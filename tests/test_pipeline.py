@@ -115,3 +115,21 @@ def test_two_models_scored_in_one_pass(spark, small_dir):
     joined = a.join(b, "booking_id")
     assert chained.count() == fa.count()
     assert chained.exceptAll(joined).count() == 0 and joined.exceptAll(chained).count() == 0
+
+
+def test_one_csv_file_is_split_among_tasks_without_line_breaks_in_quotes(spark, tmp_path):
+    from pyspark.sql import types as T
+    path = tmp_path / "rows.csv"
+    path.write_text('a,b\n' + "".join(f'{i},"text, {i}"\n' for i in range(20_000)))
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "65536")
+        spark.conf.set(keys[1], "0")
+        df = files.read_csv(spark, str(path), schema, multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, df.collect())) == [(i, f"text, {i}") for i in range(20_000)]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
