@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import audit
 from .exact import exact_groups
 from .embed_dedup import embedding_groups
 from .mixing import DRAWS, mix
 from .packing import pack
 from .quality import grade_documents
+from .quality_rules import BASE_GRAM, COVER_LIMITS, LINE_LIMIT, repetition
+from .resample import resample
 from .sharding import shard
 from .simhash import simhash_groups
 from .suffix import drop_repeats
@@ -83,6 +86,20 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(table(spark, sf_dir, "documents", "doc_id", "text"), ratings(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "dup_line_chars", *[f"chars_{n}" for n in COVER_LIMITS])
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_balanced_shards": op2_balanced_shards,
@@ -94,13 +111,74 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _DRAW = ", ".join(
     f"('0x' || substr(sha256('{s}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), {1 + 8 * i}, 8))"
     "::BIGINT / 4294967296.0" for s in range(DRAWS // 8) for i in range(8))
 
+_LENGTHS = sorted({BASE_GRAM, *COVER_LIMITS})
+_LEADS = ", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(1, max(_LENGTHS)))
+_GRAMS = " UNION ALL ".join(
+    f"SELECT r, {n} AS n, i, concat_ws(' ', word, {', '.join(f'w{j}' for j in range(1, n))}) AS gram "
+    f"FROM a WHERE w{n - 1} IS NOT NULL" for n in _LENGTHS)
+_COVER = ", ".join(f"max(CASE WHEN n = {n} THEN c ELSE 0 END) AS chars_{n}" for n in COVER_LIMITS)
+_OVER = " OR ".join(f"100 * chars_{n} > {limit} * word_chars" for n, limit in COVER_LIMITS.items())
+_CHARS = ", ".join(f"coalesce(chars_{n}, 0)::BIGINT AS chars_{n}" for n in COVER_LIMITS)
+
 ORACLE = {
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS ln FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY lang),
+e AS (SELECT c.* FROM c JOIN k USING (lang, term)),
+g AS (SELECT x.lang, x.source, coalesce(y.total, 0)::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN (SELECT lang, source, sum(n) AS total FROM e GROUP BY ALL) y
+        USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(e.n, 0) AS n, k.ln, l.lt, l.v,
+        1 + (1000000000::HUGEINT * (coalesce(e.n, 0) + 2)) // (g.total + 2 * l.v) AS p
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN e USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+q AS (SELECT *, 1 + (1000000000::HUGEINT * (ln + 2)) // (lt + 2 * v) AS q FROM p WHERE n > 0),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM q WHERE p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, k::INT AS rank FROM ranked
+WHERE part = 'pair' OR k <= 10""",
+    "op13_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+s AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+a AS (SELECT r, i, word, {_LEADS} FROM s WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS ({_GRAMS}),
+u AS (SELECT r, n, unnest(places) AS i FROM (SELECT r, n, gram, list(i) AS places FROM g GROUP BY ALL
+      HAVING count(*) > 1)),
+v AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM u),
+x AS (SELECT r, n, count(*) AS words, sum(length(word)) AS c FROM v JOIN s USING (r, i) GROUP BY ALL),
+y AS (SELECT r, max(CASE WHEN n = {BASE_GRAM} THEN words ELSE 0 END) AS repeats, {_COVER} FROM x GROUP BY r),
+lines AS (SELECT r, line, count(*) - 1 AS again FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+z AS (SELECT r, sum(again) AS dup, sum(again * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS c
+      FROM lines GROUP BY r),
+b AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words,
+        length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols FROM d JOIN w USING (r)),
+m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(z.dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(repeats, 0)::BIGINT AS n_repeat_words, coalesce(z.c, 0)::BIGINT AS dup_line_chars, {_CHARS}
+      FROM b LEFT JOIN y USING (r) LEFT JOIN z USING (r)),
+o AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT (base_failed OR {_OVER} OR 100 * dup_line_chars > {LINE_LIMIT} * word_chars) AS kept FROM o""",
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),
