@@ -252,7 +252,11 @@ def score(model: PipelineModel, df: DataFrame, categorical=APP_CATEGORICAL_FEATU
 def evaluate(model: PipelineModel, test: DataFrame, name: str, categorical=APP_CATEGORICAL_FEATURES,
              numeric=APP_NUMERIC_FEATURES) -> DataFrame:
     """M9 + M14: one metrics row for a fitted model on the test rows."""
-    pred = score(model, test, categorical, numeric)
+    return metrics_row(score(model, test, categorical, numeric), name)
+
+
+def metrics_row(pred: DataFrame, name: str) -> DataFrame:
+    """M9 + M14 of scored rows (``label``, ``prediction``, ``probability_1``)."""
     auc = BinaryClassificationEvaluator(rawPredictionCol="probability_1", labelCol="label",
                                         metricName="areaUnderROC", numBins=0).evaluate(pred)
     return (classification_metrics(pred)

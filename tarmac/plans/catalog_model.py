@@ -9,8 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_scalars
-from ..operators import features, model, profile
-from ..schema import NOTEBOOK_CATEGORICAL_FEATURES
+from ..operators import boosting, features, model, profile
+from ..schema import NOTEBOOK_CATEGORICAL_FEATURES, NOTEBOOK_NUMERIC_FEATURES
 from ..session import scratch_path
 from .catalog import fa, query, raw, rnd
 
@@ -143,10 +143,59 @@ def q_feature_lookup(spark, sf):
 def q_lr_metrics_notebook(spark, sf):
     """M2 + M7: the notebook's model - balanced logistic regression on its 17 categorical
     and 10 numeric features (notebook cleaning and derived columns), same split rule."""
-    from ..schema import NOTEBOOK_NUMERIC_FEATURES
     fn = features.features_notebook(raw(spark, sf))
     split = model.stratified_split(fn)
     m = model.fit_logistic(split.where(F.col("split") == "train"), categorical=NOTEBOOK_CATEGORICAL_FEATURES,
                            numeric=NOTEBOOK_NUMERIC_FEATURES, category_fill="mode")
     return model.evaluate(m, split.where(F.col("split") == "test"), "Logistic Regression (notebook features)",
                           categorical=NOTEBOOK_CATEGORICAL_FEATURES, numeric=NOTEBOOK_NUMERIC_FEATURES)
+
+
+# ----------------------------------------------------------------------------- second-order trees
+def boosted(spark, sf, which: str):
+    """The dashboard's or the notebook's boosted trees, fitted once, stored and read back."""
+    key = (spark.sparkContext.applicationId, sf, which)
+    with _LOCK:
+        if key not in _MODELS:
+            if which == "newton":
+                split = model.stratified_split(fa(spark, sf))
+                m = boosting.fit_newton(split.where(F.col("split") == "train"), n_trees=300, depth=4, rate=0.05,
+                                        subsample=0.8)
+            else:
+                split = model.stratified_split(features.features_notebook(raw(spark, sf)))
+                m = boosting.fit_newton(split.where(F.col("split") == "train"), NOTEBOOK_CATEGORICAL_FEATURES,
+                                        NOTEBOOK_NUMERIC_FEATURES, category_fill="mode")
+            path = scratch_path(spark, "models", f"{which}-{uuid.uuid4().hex[:12]}")
+            m.save(spark, path)
+            m = boosting.BoostedModel.load(spark, path)
+            _MODELS[key] = (m, split.where(F.col("split") == "test"))
+        return _MODELS[key]
+
+
+@query("newton_metrics")
+def q_newton_metrics(spark, sf):
+    """M8 + M9: second-order trees with the dashboard's parameters, on the held-out rows."""
+    m, test = boosted(spark, sf, "newton")
+    return model.metrics_row(m.score(test), "Second-order trees")
+
+
+@query("newton_metrics_notebook")
+def q_newton_metrics_notebook(spark, sf):
+    """M2 + M8: the library's default parameters on the notebook's features."""
+    m, test = boosted(spark, sf, "newton-notebook")
+    return model.metrics_row(m.score(test), "Second-order trees (notebook features)")
+
+
+@query("newton_importance")
+def q_newton_importance(spark, sf):
+    """Mean gain of every feature's splits, all adding up to 1, the first 15."""
+    return boosted(spark, sf, "newton")[0].importance(spark)
+
+
+@query("newton_scores")
+def q_newton_scores(spark, sf):
+    """M15 + M16: every booking's probability, tier and action by the second-order trees."""
+    m, _ = boosted(spark, sf, "newton")
+    scored = m.score(fa(spark, sf)).withColumn("prob_pct", F.col("probability_1") * 100)
+    tier, action = model.risk_tier(F.col("prob_pct"))
+    return scored.select("booking_id", "probability_1", "prob_pct", tier.alias("risk_tier"), action.alias("risk_action"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import rules
-from ..operators import clean, retrieval
+from ..operators import clean, embedding, retrieval
+from ..operators.cell_search import cell_top_k
+from ..operators.vector_store import VectorStore, store_completeness
+from ..session import scratch_path
 from ..sources.tables import read_table
 from .catalog import fa, query, raw
 
@@ -22,25 +28,71 @@ def q_complaint_documents(spark, sf):
     return d.select("doc_id", "doc_type", "text", F.to_json("metadata").alias("metadata_json"))
 
 
-def upserted_index(spark, sf):
-    """Index of all documents, then a correction batch: booking documents re-rendered
-    from the notebook-cleaned table for bookings whose satisfaction was missing."""
-    index = retrieval.all_documents(fa(spark, sf), metadata_chars=200)
+def _corrections(spark, sf):
+    """A correction batch: booking documents re-rendered from the notebook-cleaned table for
+    bookings whose satisfaction was missing."""
     # Flag the rows before cleaning fills the score: one pass, no self-join on the id.
     flagged = raw(spark, sf).withColumn("_sat_missing", F.col("satisfaction_score").isNull())
-    fixed = clean.clean_notebook(flagged).where(F.col("_sat_missing"))
-    batch = retrieval.booking_documents(fixed)
-    return retrieval.upsert(index, batch)
+    return retrieval.booking_documents(clean.clean_notebook(flagged).where(F.col("_sat_missing")))
+
+
+def _index(spark, sf):
+    return retrieval.all_documents(fa(spark, sf), metadata_chars=200)
 
 
 @query("upsert_documents")
 def q_upsert_documents(spark, sf):
-    return upserted_index(spark, sf).select("doc_id", "doc_type", "text")
+    return retrieval.upsert(_index(spark, sf), _corrections(spark, sf)).select("doc_id", "doc_type", "text")
+
+
+_STORES: dict = {}
+_LOCK = threading.Lock()
+
+
+def store(spark, sf) -> VectorStore:
+    """The stored index of all documents with the corrections merged in; made once per
+    session and data, as a persistent index is."""
+    key = (spark.sparkContext.applicationId, sf)
+    with _LOCK:
+        if key not in _STORES:
+            made = VectorStore(spark, scratch_path(spark, f"index-{uuid.uuid4().hex[:12]}"), buckets=32)
+            made.upsert(_index(spark, sf))
+            made.upsert(_corrections(spark, sf))
+            _STORES[key] = made
+        return _STORES[key]
+
+
+def vector_digest(vector: str):
+    """One number per vector: its components weighted by their place."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4)
+
+
+@query("stored_documents")
+def q_stored_documents(spark, sf):
+    """S4 + R3: what is read back from the store: text and vector of every document."""
+    return store(spark, sf).read().select(
+        "doc_id", "doc_type", "text", F.size("metadata").alias("n_metadata"), F.size("vector").alias("dim"),
+        vector_digest("vector").alias("vector_digest"))
 
 
 @query("index_completeness")
 def q_index_completeness(spark, sf):
-    return retrieval.index_completeness(fa(spark, sf), upserted_index(spark, sf))
+    return store_completeness(fa(spark, sf), store(spark, sf))
+
+
+@query("conversation_search")
+def q_conversation_search(spark, sf):
+    """R3 + R4: the turns of every conversation divisible by SEARCH_EVERY against all turns,
+    as dense vectors, by cells with an exact stop."""
+    turns = read_table(spark, sf, "conversations", "conv_id", "turn", "text").select(
+        "conv_id", F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    vectors = embedding.embed(turns, embedding.fit_space(turns)).select("conv_id", "doc_id", "vector")
+    asked = vectors.where(F.col("conv_id") % SEARCH_EVERY == 0).select(
+        F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    hits = cell_top_k(vectors.select("doc_id", "vector"), asked, key="doc_id", vector="vector",
+                      query_key="query_id", query_vec="query_vector")
+    return hits.select("query_id", "rank", "doc_id", F.bround("score", 4).alias("similarity"))
 
 
 def _embeddings(spark, sf):
@@ -71,19 +123,25 @@ def _search_queries(emb):
 SEARCH_EVERY = 20
 
 
+def _cell_hits(spark, sf):
+    emb = _embeddings(spark, sf)
+    asked = _search_queries(emb)
+    hits = cell_top_k(emb.select("vec_id", "embedding"), asked)
+    return hits.withColumn("similarity", F.bround("score", 4))
+
+
 @query("cosine_search")
 def q_cosine_search(spark, sf):
-    emb = _embeddings(spark, sf)
-    hits = retrieval.top_k_cosine(emb, _search_queries(emb))
-    return hits.select("query_label", "query_id", "rank", "vec_id", "label", "similarity")
+    labels = _embeddings(spark, sf).select("vec_id", "label")
+    asked = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    return (_cell_hits(spark, sf).join(labels, "vec_id").join(asked, "query_id")
+            .select("query_label", "query_id", "rank", "vec_id", "label", "similarity"))
 
 
 @query("prompt_context_search")
 def q_prompt_context_search(spark, sf):
-    emb = _embeddings(spark, sf)
-    hits = retrieval.top_k_cosine(emb, _search_queries(emb))
     texts = read_table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
-    return retrieval.prompt_context(hits, texts)
+    return retrieval.prompt_context(_cell_hits(spark, sf), texts)
 
 
 @query("text_search")
@@ -113,7 +171,7 @@ def _category_hits(spark, sf, stem):
 
 @query("text_embed_topk")
 def q_text_embed_topk(spark, sf):
-    return _category_hits(spark, sf, retrieval.prefix_stem)
+    return _category_hits(spark, sf, retrieval.suffix_stem)
 
 
 @query("text_embed_topk_stems")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import rules
+from ..operators.embedding import DIM, FEATURES
 from .oracle import sql
 from .sql_base import (BOOKINGS, CLEAN_NOTEBOOK, FEATURES_APP, _sql_str, on_features, with_ctes)
 
@@ -149,8 +150,48 @@ FROM sc QUALIFY rank <= 8""")
 _SUFFIX = r"'^(\p{L}{3,}?)(?:ations?|ings?|ed)$|^(\p{L}{2,}[^s\p{N}])s$'"
 _STEM_TERM = (rf"CASE WHEN regexp_matches(word, {_SUFFIX}) THEN regexp_replace(regexp_replace(word, {_SUFFIX}, '\1\2'), "
               r"'(l)l$|(p)p$|(t)t$', '\1\2\3') ELSE word END")
-sql("text_embed_topk", _text_sql("substr(word, 1, 5)"))
+sql("text_embed_topk", _text_sql(_STEM_TERM))
 sql("text_embed_topk_stems", _text_sql(_STEM_TERM))
+
+def _hashed(corpora: str, key: str, spaces: str) -> str:
+    """CTEs ``vec``: (key, slot, v) by signed hashing.  ``corpora`` has (space, key, text) rows to count
+    document frequencies on, ``spaces`` (key, space, text) rows to embed."""
+    return rf"""
+cw AS (SELECT space, {key}, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM {corpora}),
+cf AS (SELECT DISTINCT space, {key}, ('0x' || substr(md5({_STEM_TERM}), 1, 5))::BIGINT % {FEATURES} AS feature
+       FROM cw WHERE word <> ''),
+cn AS (SELECT space, CAST(count(*) AS DOUBLE) AS m FROM {corpora} GROUP BY space),
+ci AS (SELECT space, feature, ln((m + 1) / (CAST(count(*) AS DOUBLE) + 1)) AS idf FROM cf JOIN cn USING (space)
+       GROUP BY space, feature, m),
+ew AS (SELECT space, {key}, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM {spaces}),
+eh AS (SELECT space, {key}, md5({_STEM_TERM}) AS h FROM ew WHERE word <> ''),
+es AS (SELECT {key}, ('0x' || substr(h, 6, 4))::BIGINT % {DIM} AS slot,
+         sum((1 - 2 * (('0x' || substr(h, 10, 1))::BIGINT % 2)) * idf) AS v
+       FROM eh JOIN ci ON ci.space = eh.space AND feature = ('0x' || substr(h, 1, 5))::BIGINT % {FEATURES}
+       GROUP BY ALL),
+en AS (SELECT {key}, sqrt(sum(v * v)) AS norm FROM es GROUP BY {key}),
+vec AS (SELECT {key}, slot, CAST(CAST(round(v / norm, 6) AS FLOAT) AS DOUBLE) AS v FROM es JOIN en USING ({key}) WHERE norm > 0)"""
+
+
+sql("stored_documents", with_ctes(BOOKINGS, FEATURES_APP, CLEAN_NOTEBOOK, _INDEX, """
+corpora AS (SELECT 1 AS space, doc_id, text FROM idx UNION ALL SELECT 2, doc_id, text FROM upserted),
+spaces AS (SELECT u.doc_id, u.text, CASE WHEN b.doc_id IS NULL THEN 1 ELSE 2 END AS space
+           FROM upserted u LEFT JOIN batch b USING (doc_id))""", _hashed("corpora", "doc_id", "spaces"), f"""
+dig AS (SELECT doc_id, sum(v * (slot + 1)) AS d FROM vec GROUP BY doc_id)""", body=f"""
+SELECT doc_id, doc_type, text, CASE WHEN doc_type = 'booking' THEN 9 ELSE 6 END AS n_metadata,
+       {DIM} AS dim, round(coalesce(d, 0.0), 4) AS vector_digest
+FROM upserted LEFT JOIN dig USING (doc_id)"""))
+sql("conversation_search", f"""
+WITH turns AS (SELECT conv_id, conv_id || '-' || turn AS doc_id, coalesce(text, '') AS text FROM conversations),
+corpora AS (SELECT 1 AS space, doc_id, text FROM turns),
+{_hashed("corpora", "doc_id", "corpora")},
+dots AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.v * d.v) AS s FROM vec q JOIN vec d USING (slot)
+         WHERE q.doc_id IN (SELECT doc_id FROM turns WHERE conv_id % 20 = 0) GROUP BY ALL),
+scored AS (SELECT q.doc_id AS query_id, c.doc_id, coalesce(s, 0.0) AS score FROM turns q CROSS JOIN turns c
+           LEFT JOIN dots ON dots.query_id = q.doc_id AND dots.doc_id = c.doc_id WHERE q.conv_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, round_even(score, 4) AS similarity
+FROM scored QUALIFY rank <= 8""")
 sql("text_search", f"""
 WITH corpus AS (SELECT conv_id, conv_id || '-' || turn AS doc_id, coalesce(text, '') AS text FROM conversations),
 tok AS (SELECT conv_id, doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM corpus),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,33 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the checkpoint folder, namespaced by application id."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", spark.sparkContext.applicationId, *parts)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (``addPyFile``), once per application.
+
+    Functions that run in Python workers name this package's modules; on a cluster the
+    workers would not find them otherwise.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}_py.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file by Spark's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
