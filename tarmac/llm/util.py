@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path, ship  # noqa: F401  (the operators import them from here)
 
 #: Words are runs of anything but blank and the five ASCII control blanks.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -18,31 +16,6 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: At most this many keys may ride along as "hot" in a broadcast (see ``hot_split_join``).
 HOT_KEYS = 10_000
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (``addPyFile``), once per application.
-
-    Python workers import the operators' modules; on a cluster they would not find them
-    otherwise.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}_py.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(package):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 #: Clearing functions of what a Python worker remembers between tasks, by operator.
 CACHES: dict = {}
 
@@ -81,11 +54,6 @@ def forget(df: DataFrame) -> None:
         remove_path(df.sparkSession, path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def free_name(taken: list[str], base: str) -> str:
     """``base``, prolonged until no column of ``taken`` has the name (case-insensitively)."""
     low = {c.lower() for c in taken}
