@@ -80,6 +80,7 @@ def test_margins_equal_a_brute_force_booster(spark, planted, monkeypatch, depth,
 def test_a_fit_does_not_depend_on_partitions_and_survives_storing(spark, planted, monkeypatch, tmp_path):
     a = boosting.fit_newton(planted, CATS, NUMS, n_trees=6, depth=3)
     monkeypatch.setattr(boosting, "TASK_ROWS", 37)
+    monkeypatch.setattr(boosting, "WIDE", 2)
     b = boosting.fit_newton(planted.repartition(7, "x"), CATS, NUMS, n_trees=6, depth=3)
     for one, other in ((a.trees.column, b.trees.column), (a.trees.cut, b.trees.cut), (a.trees.value, b.trees.value)):
         assert np.array_equal(one, other)
