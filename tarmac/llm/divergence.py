@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .util import hot_split_join, ship, written
 #: Terms of a block and sources of a tile.
 BLOCK, TILE = 4096, 64
 #: Counted terms a map task holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Bytes of text whose words are held at once.
 PIECE = 1 << 20
 #: Probabilities are integers of this unit.
@@ -130,16 +131,14 @@ def block_columns(counts: np.ndarray, totals: list[int], vocabulary: int) -> lis
 def _block_pairs(tile: int, key: tuple, table: pa.Table) -> pa.Table:
     """Partial sums of all pairs of sources of one block and pair of tiles."""
     tile_a, tile_b = key[2].as_py(), key[3].as_py()
-    rows = table.to_pydict()
-    heads = sorted((i, s, t) for i, s, t, p in zip(rows["idx"], rows["source"], rows["total"], rows["pos"])
-                   if p is None)
-    place = {i: k for k, (i, _, _) in enumerate(heads)}
-    length = rows["terms"][0]
+    head = table.filter(pc.is_null(table.column("pos"))).sort_by("idx")
+    body = table.filter(pc.is_valid(table.column("pos")))
+    heads = list(zip(*(head.column(c).to_pylist() for c in ("idx", "source", "total"))))
+    length = table.column("terms")[0].as_py()
     counts = np.zeros((len(heads), length), np.int64)
-    for i, p, n in zip(rows["idx"], rows["pos"], rows["n"]):
-        if p is not None:
-            counts[place[i], p] = n
-    columns = block_columns(counts, [t for _, _, t in heads], rows["vocabulary"][0])
+    idx, pos, n = (body.column(c).to_numpy() for c in ("idx", "pos", "n"))
+    counts[np.searchsorted(head.column("idx").to_numpy(), idx), pos] = n
+    columns = block_columns(counts, [t for _, _, t in heads], table.column("vocabulary")[0].as_py())
     out = {"lang": [], "a": [], "b": [], "value": []}
     for x, (i, source, _) in enumerate(heads):
         for y in range(x + 1, len(heads)):
