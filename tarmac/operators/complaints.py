@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import top_k, with_scalars
-from ..functions.text import (classify, classify_notebook, has_complaint, matched_keywords,  # noqa: F401
+from ..functions.text import (category_of, classify_notebook, found, has_complaint, keywords_of,  # noqa: F401
                               routing_action, routing_team, rules, severity)
 from ..schema import OTHER_CATEGORY, ROUTING, SEVERITY
 
@@ -20,16 +20,17 @@ def tag(df: DataFrame, text: str = "customer_complaint", rule_set=None,
         with_details: bool = True) -> DataFrame:
     """T1 + T3 + T4 + T5: category, severity, routing and matched keywords per row."""
     rule_set = rule_set or rules("dashboard")
-    cat = classify(F.col(text), rule_set)
-    out = df.withColumn("category", cat)
+    # The text is scanned once; category and keywords are read from the pieces found.
+    pieces = F.col("_pieces")
+    out = df.withColumn("_pieces", found(F.col(text), rule_set)).withColumn("category", category_of(pieces, rule_set))
     if with_details:
         out = out.withColumns({
             "severity": severity(F.col("category")),
             "routing_team": routing_team(F.col("category")),
             "routing_action": routing_action(F.col("category")),
-            "matched_keywords": matched_keywords(F.col(text), rule_set),
+            "matched_keywords": keywords_of(pieces, rule_set),
         })
-    return out
+    return out.drop("_pieces")
 
 
 def complaints_app(fa: DataFrame, rule_set=None, with_details: bool = False) -> DataFrame:
