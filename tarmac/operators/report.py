@@ -43,7 +43,7 @@ def fixed(c, d: int) -> Column:
 TOTAL = "__total__"   # dimension name of the grand-total row
 
 
-def _long_form(agg: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
+def long_form(agg: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
     """(dimension, value, metrics...) from a GROUPING SETS result: one row per non-NULL
     value of each single-dimension set, plus the grand-total row (dimension TOTAL)."""
     keep = dimension = value = None
@@ -75,7 +75,7 @@ def dimension_metrics(fa: DataFrame, dims=tuple(DIMENSIONS)) -> DataFrame:
                 F.sum("is_cancelled").cast("bigint").alias("cancelled"),
                 F.min("booking_date").alias("first_date"), F.max("booking_date").alias("last_date"),
                 *[F.grouping(d).alias(f"_g_{d}") for d in dims]))
-    return _long_form(agg, dims, metrics)
+    return long_form(agg, dims, metrics)
 
 
 def complaint_metrics(tagged: DataFrame, dims=("category", "airline", "booking_channel")) -> DataFrame:
@@ -83,19 +83,18 @@ def complaint_metrics(tagged: DataFrame, dims=("category", "airline", "booking_c
     dims = list(dims)
     agg = (tagged.groupingSets([[F.col(d)] for d in dims] + [[]], *dims)
            .agg(F.count(F.lit(1)).alias("complaints"), *[F.grouping(d).alias(f"_g_{d}") for d in dims]))
-    return _long_form(agg, dims, ["complaints"])
+    return long_form(agg, dims, ["complaints"])
 
 
-def headline(dm: DataFrame, cm: DataFrame, fa: DataFrame) -> DataFrame:
+def headline(dm: DataFrame, cm: DataFrame, med: DataFrame) -> DataFrame:
     """One row of overall numbers from the grand-total rows of the two aggregates, the
-    airline values of ``dm`` and the exact median fare (the only extra pass over rows)."""
+    airline values of ``dm`` and the exact median fare (one row, ``median_fare``)."""
     g = dm.where(F.col("dimension") == TOTAL).select(
         F.col("bookings").alias("n"), "first_date", "last_date", "revenue",
         F.col("avg_fare").alias("mean_fare"), "cancel_rate", "cancelled", "avg_satisfaction")
     airlines = dm.where(F.col("dimension") == "airline").agg(
         F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("airlines"))
     c = cm.where(F.col("dimension") == TOTAL).select(F.col("complaints").alias("n_complaints"))
-    med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
     return with_scalars(g, airlines, c, med)
 
 
@@ -127,16 +126,22 @@ def _rows(df: DataFrame, block: int, line: Column, order: list[Column], start: i
 
 def fact_lines(fa: DataFrame, tagged: DataFrame) -> DataFrame:
     """(block, pos, line) for the whole context; order by block, pos to read it."""
-    spark = fa.sparkSession
+    med = quantiles(fa, "total_fare_inr", [0.5]).select(F.col("q")[0].alias("median_fare"))
+    return lines_of(dimension_metrics(fa), complaint_metrics(tagged), med)
+
+
+def lines_of(dm: DataFrame, cm: DataFrame, median: DataFrame) -> DataFrame:
+    """The context's lines from the two aggregates and the median, scanned or stored."""
+    spark = dm.sparkSession
     checkpoint_dir(spark)
     _const = _Consts()
     # The three aggregates are tiny (rows bounded by the vocabularies) but are read by
     # ~25 blocks with different filters; Catalyst would push each block's filter below
     # the aggregate and rescan the table per block.  A reliable checkpoint in the shared
     # folder computes each once and survives executor loss.
-    dm = dimension_metrics(fa).checkpoint(eager=True)
-    cm = complaint_metrics(tagged).checkpoint(eager=True)
-    h = headline(dm, cm, fa).checkpoint(eager=True)
+    dm = dm.checkpoint(eager=True)
+    cm = cm.checkpoint(eager=True)
+    h = headline(dm, cm, median).checkpoint(eager=True)
 
     def dim(name):
         return dm.where(F.col("dimension") == name)

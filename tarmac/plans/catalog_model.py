@@ -133,6 +133,12 @@ def q_mean_fare_bootstrap(spark, sf):
     return profile.bootstrap_mean(fa(spark, sf), "cabin_class", "total_fare_inr", n_boot=1000, seed=42)
 
 
+@query("mean_fare_little_bootstraps")
+def q_mean_fare_little_bootstraps(spark, sf):
+    """Q19 without rows x replicates: the same interval by a bag of little bootstraps."""
+    return profile.little_bootstraps(fa(spark, sf), "cabin_class", "total_fare_inr")
+
+
 @query("feature_lookup")
 def q_feature_lookup(spark, sf):
     """Importance text and rank of the named features in the top-15 table."""

@@ -190,3 +190,29 @@ def q_metrics_facts(spark, sf):
 def q_metrics_text(spark, sf):
     from ..operators import report
     return report.context_text(q_metrics_facts(spark, sf))
+
+
+@query("metrics_facts_stored")
+def q_metrics_facts_stored(spark, sf):
+    """R6 from the stored day states: no scan of the bookings after the states are written."""
+    from ..operators import complaints, report
+    from ..operators.states import DayStates
+    f = fa(spark, sf)
+    states = DayStates(spark, scratch_path(spark, f"day-states-{uuid.uuid4().hex[:12]}"))
+    states.add(f, complaints.complaints_app(f))
+    return report.lines_of(states.dimension_metrics(), states.complaint_metrics(), states.median_fare())
+
+
+@query("column_sketches")
+def q_column_sketches(spark, sf):
+    """Q6 by mergeable states of fixed size."""
+    from ..operators.states import column_sketches
+    from ..schema import PROFILED_CATEGORICALS
+    return column_sketches(raw(spark, sf), PROFILED_CATEGORICALS)
+
+
+@query("value_counts_with_null")
+def q_value_counts_with_null(spark, sf):
+    """Q8: payment methods with the missing ones counted."""
+    from ..operators.metrics import value_counts
+    return value_counts(raw(spark, sf), "payment_method", dropna=False)

@@ -207,6 +207,15 @@ FROM (SELECT count(*) AS rows, count(airline) AS non_null, count(DISTINCT airlin
      (SELECT airline AS value, count(*) AS n FROM bookings WHERE airline IS NOT NULL
       GROUP BY airline ORDER BY n DESC, value LIMIT 1) t"""))
 
+sql("value_counts_with_null", on_bookings("SELECT payment_method, count(*) AS count FROM bookings GROUP BY ALL"))
+
+# Columns of few values: the sketches hold them all, so their answer is exact.
+sql("column_sketches", on_bookings("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, s.rows, s.nulls, s.d AS approx_distinct, t.value AS top_value, t.n AS top_low, t.n AS top_high
+FROM (SELECT count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS d FROM bookings) s,
+     (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM bookings WHERE {c} IS NOT NULL GROUP BY {c}
+      ORDER BY n DESC, value LIMIT 1) t""" for c in PROFILED_CATEGORICALS)))
+
 sql("value_counts_all", on_bookings("\nUNION ALL\n".join(f"""
 SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count
 FROM bookings WHERE {c} IS NOT NULL GROUP BY {c}""" for c in PROFILED_CATEGORICALS)))

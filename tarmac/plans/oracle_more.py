@@ -323,6 +323,7 @@ lines AS (""" + body + "\n)"
 
 _REPORT = _report_sql()
 sql("metrics_facts", _REPORT + "SELECT CAST(block AS INTEGER) AS block, pos, line FROM lines")
+sql("metrics_facts_stored", _REPORT + "SELECT CAST(block AS INTEGER) AS block, pos, line FROM lines")
 sql("metrics_text", _REPORT + """SELECT string_agg(line, chr(10) ORDER BY block, pos) AS context,
        count(*) AS n_lines FROM lines""")
 
