@@ -2,14 +2,16 @@
 
 * ``DayStates`` (R6 and the aggregate queries): for every day and value of a dimension the
   additive parts of the metrics (counts and sums), with a distinct-count sketch and a
-  quantile sketch on the day's total row, and the day's fares as (fare, count) pairs.  Adding a day reads that
-  day's rows and rewrites that day's partition; every report is a sum over the stored rows.
+  quantile sketch on the day's total row, and the day's fares as (fare, count) pairs.  The
+  states lie in one partition a month.  Adding a day reads that day's bookings and the
+  states of its month, and rewrites that partition; every report is a sum over the states.
 * ``column_sketches`` (Q6): distinct counts by HyperLogLog and the commonest values by
   Misra-Gries counters, both combined from per-task states of fixed size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import running_totals
-from ..session import ship
+from ..session import scratch_path, ship
 from .report import DIMENSIONS, TOTAL, long_form
 
 DAY = "day"
@@ -44,14 +46,26 @@ class DayStates:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _write(self, df: DataFrame, name: str) -> None:
-        # Only the days in ``df`` are replaced, so adding a day again changes nothing.
-        (df.repartition(DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(DAY).parquet(f"{self.path}/{name}"))
+        """Put the states in, instead of those of the same days; only their months are rewritten."""
+        path = f"{self.path}/{name}"
+        df = df.withColumn("month", F.date_format(DAY, "yyyy-MM"))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            aside = scratch_path(self.spark, f"states-{uuid.uuid4().hex[:12]}")
+            df.write.parquet(aside)
+            df = self.spark.read.parquet(aside)
+            days = F.broadcast(df.select(F.col(DAY).alias("_d"), F.col("month").alias("_m")).distinct())   # the calendar
+            months = days.select("_m").distinct()
+            old = self.spark.read.schema(df.schema).parquet(path)
+            old = old.join(months, F.col("month").eqNullSafe(F.col("_m")), "left_semi")
+            df = df.unionByName(old.join(days, F.col(DAY).eqNullSafe(F.col("_d")), "left_anti"))
+        (df.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month").parquet(path))
 
     def add(self, fa: DataFrame, tagged: DataFrame, date: str = "booking_date") -> None:
         """Add (or replace) the days of ``fa`` and of its tagged complaints; reads nothing else.
 
-        A row without a date belongs to the day null, kept as a partition of its own.
+        A row without a date belongs to the day null, in a partition of its own.
         """
         day = F.col(date).cast("date")
         rows, told = fa.withColumn(DAY, day), tagged.withColumn(DAY, day)
