@@ -9,7 +9,8 @@ same as for the whole text:
   non-blank characters, so the text is cut before such a blank;
 * word tokenizers (blanks dropped): nothing reaches across a blank at all.
 
-Any other kind of tokenizer encodes whole texts.
+Any other kind of tokenizer encodes whole texts, and so does each kind a text that holds the
+string of a token added to the vocabulary, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import gc
 import json
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,14 @@ class Encoder:
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True     # their strings in a text are ordinary text
+        # A text that holds an added token's string is left to the library whole.
+        added = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = "|".join(added)
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
         self.remember = remember
         letters = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-        self.letters = re.compile(" " + letters if self.kind == "kept" else letters)
+        self.letters = f"^ {letters}$" if self.kind == "kept" else f"^{letters}$"
         # Ids whose token begins with the blank, or ends a word.
         vocab = self.lib.get_vocab()
         self.mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -105,7 +108,9 @@ class Encoder:
         the blank) or last id (blanks dropped: it has the word end) shows where the word is;
         many of them go through the library as one text.
         """
-        plain = [w for w in words if self.letters.fullmatch(w)]
+        array = pa.array(words, pa.large_string())
+        whole = pc.match_substring_regex(array, self.letters).to_numpy(zero_copy_only=False)
+        plain = [words[i] for i in np.flatnonzero(whole).tolist()]
         for at in range(0, len(plain), 2048):
             part = plain[at:at + 2048]
             text = ("" if self.kind == "kept" else " ").join(part)
@@ -124,35 +129,41 @@ class Encoder:
 
     def _lookup(self, words: list[str]) -> np.ndarray:
         """Places of ``words`` in the memory, encoding those it lacks."""
-        index, lower = self.index, self.kind == "dropped"
-        found = list(map(index.get, words))
-        new = [words[i] for i, k in enumerate(found) if k is None]
-        if new:
-            # A run of stops after a letter or digit is a token of its own for either kind,
-            # and where case is dropped the lower-case form has the same ids.
-            made, need = [], {}
-            for w in new:
-                base = w.rstrip(_TAIL)
-                if len(base) == len(w) or not base or not base[-1].lower().isalnum():
-                    base = w
-                tail = w[len(base):]
-                if lower and base.isascii():
-                    base = base.lower()
-                if base not in index:
-                    need[base] = None
-                if tail and tail not in index:
-                    need[tail] = None
-                if tail or base != w:
-                    made.append((w, base, tail))
-            self._library(list(need))
-            if made:
-                made = [m for m in made if m[0] not in index]
-                places = np.fromiter((index[x] for m in made for x in m[1:]), np.int64, 2 * len(made))
-                lens, ids = self._take(places)
-                self._store([m[0] for m in made], lens.reshape(-1, 2).sum(axis=1), ids)
-            late = iter(map(index.__getitem__, new))
-            found = [next(late) if k is None else k for k in found]
-        return np.array(found, np.int64)
+        index = self.index
+        found = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(found < 0)
+        if not len(lacking):
+            return found
+        new = [words[i] for i in lacking.tolist()]
+        bases, tails = self._parts(new)
+        self._library([w for w in dict.fromkeys(chain(bases, tails)) if w not in index])
+        made = [m for m in zip(new, bases, tails) if m[0] not in index]
+        if made:
+            places = np.fromiter((index[x] for m in made for x in m[1:]), np.int64, 2 * len(made))
+            lens, ids = self._take(places)
+            self._store([m[0] for m in made], lens.reshape(-1, 2).sum(axis=1), ids)
+        found[lacking] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+        return found
+
+    def _parts(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Every word as a base and a tail whose ids follow each other.
+
+        A run of stops after a letter or digit is a token of its own for either kind, and
+        where case is dropped the lower-case form of an ASCII word has the same ids.
+        """
+        array = pa.array(words, pa.large_string())
+        stem = pc.utf8_rtrim(array, characters=_TAIL)
+        bases, tails = list(words), [""] * len(words)
+        for i in np.flatnonzero(pc.not_equal(array, stem).to_numpy(zero_copy_only=False)).tolist():
+            word = words[i]
+            base = word.rstrip(_TAIL)
+            if base and base[-1].lower().isalnum():
+                bases[i], tails[i] = base, word[len(base):]
+        if self.kind == "dropped":
+            array = pa.array(bases, pa.large_string())
+            low = pc.if_else(pc.string_is_ascii(array), pc.ascii_lower(array), array)
+            bases = low.to_numpy(zero_copy_only=False).tolist()
+        return bases, tails
 
     def _cuttings(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All cuttings of ``texts`` in order, and how many each text has."""
@@ -182,8 +193,6 @@ class Encoder:
         return pa.concat_arrays(pieces), counts
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.kind == "whole":
-            return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         flat, counts = self._cuttings(texts)
         coded = flat.dictionary_encode()
         if len(self.index) > self.remember:
@@ -192,7 +201,8 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            places = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            places = self._lookup(words)[coded.indices.to_numpy()]
         finally:
             if collecting:
                 gc.enable()
@@ -211,9 +221,17 @@ class Encoder:
         out.append(text[at:])
         return out
 
+    def _whole(self, texts: list[str]) -> np.ndarray:
+        """Which texts the library must see whole."""
+        if self.kind == "whole" or not self.added:
+            return np.full(len(texts), self.kind == "whole")
+        found = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.added, ignore_case=True)
+        return found.to_numpy(zero_copy_only=False)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of every text (null: none) as unsigned 32-bit numbers."""
-        out: list[np.ndarray] = []
+        texts = [t or "" for t in texts]
+        out: list[np.ndarray] = [None] * len(texts)
         batch: list[str] = []
         owners: list[int] = []
         held = 0
@@ -225,9 +243,11 @@ class Encoder:
                     out[i] = ids if out[i] is None else np.concatenate((out[i], ids))
             batch, owners, held = [], [], 0
 
-        for i, text in enumerate(texts):
-            out.append(None)
-            for part in self._segments(text or ""):
+        for i, whole in enumerate(self._whole(texts).tolist()):
+            if whole:
+                out[i] = np.array(self.lib.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                continue
+            for part in self._segments(texts[i]):
                 batch.append(part)
                 owners.append(i)
                 held += len(part)
