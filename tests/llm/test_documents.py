@@ -39,7 +39,6 @@ def key(x):
 
 def ids_of(name, text, end):
     lib = Tokenizer.from_file(catalog.tokenizer_file(name))
-    lib.encode_special_tokens = True
     return lib.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -266,6 +265,8 @@ def test_pack(docs, nothing):
         assert at <= 256
     total = sum(len(r.ids) for r in back)
     assert total == sum(len(ids_of("byte_bpe_50k.json", t, 0)) for _, t, *_ in ROWS)
+    short = packing.pack(docs, tokenizer, capacity=256, block=16, tail=8, digest=True).collect()
+    assert sorted(map(str, short)) == sorted(map(str, pieces))
     assert packing.pack(nothing, tokenizer).count() == 0
 
 
@@ -327,3 +328,61 @@ def test_long_texts_are_cut_into_overlapping_buffers(monkeypatch):
             shift = off[p] - s[p]
             starts.update((int(x + shift), w) for w in range(int(a + shift), int(b + shift) + 1))
     assert starts == {(p, w) for p, a, b in whole for w in range(a, b + 1)}
+
+
+AWKWARD = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "<|startoftext|> x", "<|ENDOFTEXT|>, no",
+           "", " ", "  two  blanks ", "tab\tand\nline \r\n", "Stops... here!? (no); x.", "don't I'll WE'RE", "123 45a a45 ½ ²",
+           "ünïcode Äpfel 中文 字 🎉🎉 é", " nbsp em \x85nel", "a  b", "x" * 300, "İstanbul ΣΑΣ ﬁ"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys_also_with_added_token_strings(name):
+    from tarmac.llm.encode import Encoder
+    path = catalog.tokenizer_file(name)
+    lib = Tokenizer.from_file(path)
+    texts = AWKWARD + [t for _, t, *_ in ROWS] + [" ".join(AWKWARD)]
+    got = Encoder(path).encode(texts)
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_a_tokenizer_that_merges_over_blanks_sees_whole_texts(monkeypatch, tmp_path):
+    from tokenizers import models
+    from tarmac.llm import encode
+    lib = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a ": 3, "a b": 4}, merges=[("a", " "), ("a ", "b")]))
+    lib.save(str(tmp_path / "t.json"))
+    monkeypatch.setattr(encode, "SEGMENT", 4)
+    text = "aaaa b" * 5 + "a"
+    assert encode.Encoder(str(tmp_path / "t.json")).encode([text])[0].tolist() == lib.encode(text).ids
+
+
+def test_the_store_has_bloom_filters_row_indexes_and_prunes(spark):
+    """Footers and streams of the ORC files, and what a filtered read leaves out."""
+    import glob
+    from pyarrow import orc
+    path = scratch_dir(spark, "t-orc")
+    rows = [(i, f"text number {i} " * 5, None, None, None) for i in range(0, 9000, 3)]
+    write_store(frame(spark, rows), path, catalog.tokenizer_file("word_bpe_49k.json"))
+    files = sorted(glob.glob(path.replace("file:", "") + "/*.orc"))
+    assert len(files) > 1
+    last = -1
+    for f in files:
+        table = orc.ORCFile(f)
+        assert table.compression == "ZSTD" and table.row_index_stride == 1000
+        ids = table.read(columns=["doc_id"]).column(0).to_pylist()
+        assert ids == sorted(ids) and ids[0] > last                  # a file holds a range of its own
+        last = ids[-1]
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(
+        spark._jvm.org.apache.hadoop.fs.Path(files[0]),
+        spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    stripe = reader.getFileTail().getFooter().getStripes(0)
+    assert stripe.getIndexLength() > 0 and str(reader.getWriterVersion()) != ""
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0)) if hasattr(reader.rows(), "readStripeFooter") else None
+    if footer is not None:
+        kinds = {str(s.getKind()) for s in footer.getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+        assert all(str(c.getKind()).startswith("DIRECT") for c in footer.getColumnsList())
+    plan = read_store(spark, path, F.col("doc_id") == 4500)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4500)]" in plan
+    assert read_store(spark, path, F.col("doc_id") == 4500).count() == 1
+    assert read_store(spark, path, F.col("doc_id") == 4501).count() == 0      # between two ids of a file
