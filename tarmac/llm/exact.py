@@ -1,23 +1,28 @@
-"""Operator 9, exact dedup: digest runs merged in binomial rounds by aggregation.
+"""Operator 9, exact dedup: tree-merge of sorted digest runs in binomial rounds.
 
-Every partition is one run of (digest, best identifier, rows).  A round joins ``2**bits``
-neighbouring runs: a Spark aggregation on (run, digest range, digest).  No run is written
-sorted and no reader merges runs entry by entry; the range follows from the digest and
-changes no result.  After a round a run holds each digest once; a digest therefore has at
-most ``2**bits`` entries per run in the next one, however many rows share the text.
+Every partition sorts its digests into a run that has each digest once, with the best
+identifier and the number of rows.  In a round ``2**bits`` neighbouring runs become one:
+their entries are exchanged by digest range, so a task gets the same range of all runs of
+one merge, brought into digest order, and a streaming pass merges equal neighbours, keeping
+the best identifier.  The outcome is again a sorted run, cut into ranges.  A digest has at
+most ``2**bits`` entries in a merge, however many rows share the text.
 
-An entry is verified at every level: the merge key is the SHA-256 together with the byte
-length and an independent 64-bit hash, so two texts merge only if all three agree.
+An entry is verified at every level: two entries are equal only if the SHA-256, the byte
+length and an independent 64-bit hash all agree.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import hot_split_join, written
+from .util import hot_split_join, ship, without_rows, written
 
 KEY = ["_sha", "_len", "_xx"]
 
@@ -37,29 +42,67 @@ def digest_groups(rows: DataFrame, bits: int = 4, keep: str = "max") -> DataFram
     """
     n_runs = max(1, rows.rdd.getNumPartitions())
     tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    best = F.max if keep == "max" else F.min
-    if keep == "max":
-        rank = F.struct(F.col("_id"), (-F.col("_row")).alias("r"))
-    else:
-        rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_row").alias("r"))
-    # Level 0: each partition's own run; copies inside it are merged before any shuffle.
-    level = (rows.select(*KEY, rank.alias("_best"), F.lit(1).cast("bigint").alias("_n"))
-             .withColumn("_run", F.spark_partition_id()))
-    # The first two bytes of a SHA-256 are uniform: equal ranges are equal shares.
-    head = F.conv(F.hex(F.substring("_sha", 1, 2)), 16, 10).cast("int")
+    level = first_runs(rows, keep)
     for r in range(max(1, math.ceil(math.log2(n_runs) / bits))):
         runs_left = max(1, math.ceil(n_runs / 2 ** (bits * (r + 1))))
-        ranges = max(1, tasks // runs_left)
-        level = (level.withColumn("_run", F.shiftright("_run", bits))
-                 .withColumn("_range", F.floor(head * ranges / 65536).cast("int"))
-                 .groupBy("_run", "_range", *KEY)
-                 .agg(best("_best").alias("_best"), F.sum("_n").alias("_n"))
-                 .drop("_range"))
-    row = -F.col("_best.r") if keep == "max" else F.col("_best.r")
-    return level.select(*KEY, F.col("_best._id").alias("keep_id"), row.alias("keep_row"),
+        level = merge_runs(level, bits, max(1, tasks // runs_left), tasks, keep)
+    return level.select(*KEY, F.col("_id").alias("keep_id"), F.col("_row").alias("keep_row"),
                         F.col("_n").alias("group_size"))
 
 
+def _order(keep: str) -> list[Column]:
+    """Digest order; of equal digests the best entry first."""
+    best = F.col("_id").desc_nulls_last() if keep == "max" else F.col("_id").asc_nulls_last()
+    return [*[F.col(k) for k in KEY], best, F.col("_row")]
+
+
+def first_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """Level 0: each partition's digests as one sorted run (KEY, _id, _row, _n, _run)."""
+    entries = rows.select(*KEY, "_id", "_row", F.lit(1).cast("bigint").alias("_n"),
+                          F.spark_partition_id().alias("_run"), F.lit(0).alias("_range"))
+    return _merged(entries.sortWithinPartitions(*_order(keep)))
+
+
+def merge_runs(level: DataFrame, bits: int, ranges: int, tasks: int, keep: str) -> DataFrame:
+    """One round: ``2**bits`` neighbouring runs each become one sorted run of ``ranges`` ranges."""
+    # The first two bytes of a SHA-256 are uniform: equal ranges are equal shares.
+    head = F.conv(F.hex(F.substring("_sha", 1, 2)), 16, 10).cast("int")
+    dealt = (level.withColumn("_run", F.shiftright("_run", bits))
+             .withColumn("_range", F.floor(head * ranges / 65536).cast("int"))
+             .repartition(tasks, "_run", "_range"))
+    return _merged(dealt.sortWithinPartitions("_run", "_range", *_order(keep)))
+
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """Sorted entries with equal neighbours merged, in one streaming pass per partition."""
+    ship(entries.sparkSession)
+    same = ["_run", "_range", *KEY]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None                                   # the last entry: the next batch may go on with it
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            differ = np.zeros(n - 1, bool)
+            for c in same:
+                column = batch.column(c)
+                differ |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = differ
+            starts = np.flatnonzero(new)
+            counts = np.add.reduceat(batch.column("_n").to_numpy(), starts)
+            best = batch.take(pa.array(starts)).set_column(
+                batch.schema.get_field_index("_n"), batch.schema.field("_n"), pa.array(counts))
+            held = best.slice(best.num_rows - 1)
+            yield best.slice(0, best.num_rows - 1)
+        if held is not None:
+            yield held
+    return entries.mapInArrow(merge, entries.schema)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  keep: str = "max") -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
@@ -87,18 +130,14 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs``, all columns, with one row left of every group of equal texts.
 
     Texts are compared as in ``exact_groups``; which of fully equal (identifier, text) rows
-    stays is not defined, as their texts and identifiers are the same.
+    stays is not defined, as their texts and identifiers are the same.  All is decided on the
+    digests; the documents themselves are only filtered (``util.without_rows``).
     """
-    names = docs.columns
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"),
-                       F.col(id_col).alias("_id"), *digests(text_col))
-    base = wide.select("_id", *KEY, F.lit(0).cast("bigint").alias("_row"))
-    groups = written(digest_groups(base, keep=keep).where("group_size > 1")
-                     .drop("keep_row"), "digest-groups")
-    copies = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    joined = hot_split_join(wide, groups, KEY, "group_size", copies)
-    single = joined.where(F.col("group_size").isNull()).select("_doc")
-    best = (joined.where(F.col("_id").eqNullSafe(F.col("keep_id"))
-                         & F.col("group_size").isNotNull())
-            .dropDuplicates(KEY).select("_doc"))
-    return single.unionByName(best).select("_doc.*")
+    base = written(docs.select(F.col(id_col).alias("_id"), *digests(text_col), F.lit(0).cast("bigint").alias("_row")),
+                   "digests")
+    groups = written(digest_groups(base, keep=keep).where("group_size > 1").drop("keep_row"), "digest-groups")
+    members = hot_split_join(base, groups, KEY, "group_size", base.count()).where(F.col("group_size").isNotNull())
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    gone = (members.groupBy("_id", "_xx", stays.alias("again")).agg(F.count(F.lit(1)).alias("_same"))
+            .where(~F.col("again") | (F.col("_same") > 1)))
+    return without_rows(docs, id_col, text_col, gone)

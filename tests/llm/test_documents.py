@@ -386,3 +386,33 @@ def test_the_store_has_bloom_filters_row_indexes_and_prunes(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4500)]" in plan
     assert read_store(spark, path, F.col("doc_id") == 4500).count() == 1
     assert read_store(spark, path, F.col("doc_id") == 4501).count() == 0      # between two ids of a file
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_every_level_is_sorted_distinct_runs_with_the_best_identifier(spark, keep):
+    from tarmac.llm.exact import KEY, digests, first_runs, merge_runs
+    rng = __import__("random").Random(4)
+    rows = [(rng.choice([None, *range(300)]), f"text {rng.choice([1, 1, 1, rng.randint(0, 60)])}", None, None, None)
+            for _ in range(900)]
+    df = frame(spark, rows).repartition(9).select(F.col("doc_id").alias("_id"), *digests("text"),
+                                                  F.monotonically_increasing_id().alias("_row"))
+    df = spark.createDataFrame(df.collect(), df.schema).repartition(9, "_row")
+    pick = max if keep == "max" else min
+    level = first_runs(df, keep)
+    for step in range(4):
+        if step:
+            level = merge_runs(level, 1, 2, 4, keep)
+        got = level.withColumn("_p", F.spark_partition_id()).collect()
+        runs = defaultdict(list)
+        for r in got:
+            runs[r["_p"], r["_run"], r["_range"]].append(tuple(r[k] for k in KEY))
+        assert all(k == sorted(set(k)) for k in runs.values())
+        seen = {(r["_run"], *(r[k] for k in KEY)) for r in got}
+        assert len(seen) == len(got) and sum(r["_n"] for r in got) == len(rows)
+    assert len({r["_run"] for r in got}) == 2
+    ids = defaultdict(list)
+    for i, t, *_ in rows:
+        ids[hashlib.sha256(t.encode()).digest()].append(i)
+    last = merge_runs(level, 1, 2, 4, keep).collect()
+    assert {bytes(r["_sha"]): r["_id"] for r in last} == {
+        k: pick((i for i in v if i is not None), default=None) for k, v in ids.items()}
