@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,8 +29,11 @@ from .util import hot_split_join, ship, written
 #: MAX_CELLS x dimension numbers, the only thing that is broadcast.
 CELL = 2048
 MAX_CELLS = 8192
-#: Sampled vectors per cell that the centres are fitted on.
-SAMPLE = 48
+#: A label of more than FEW vectors has cells, FEW of them at least where it has FEW times as many
+#: (and there are not so many labels that this is over MAX_CELLS).
+FEW = 8
+#: Sampled vectors per cell that the centres are fitted on, and rounds of the fit.
+SAMPLE, ROUNDS = 48, 5
 #: Vectors of a block.
 BLOCK = 1024
 #: Products with centres a task holds at once.
@@ -38,24 +41,15 @@ PRODUCTS = 1 << 21
 
 
 def unit(rows: list) -> np.ndarray:
+    """The rows at length 1; scaled by a power of two first, so that no square overflows or vanishes."""
     x = np.array(rows, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """``k`` unit centres of the unit rows of ``x`` (all rows, if there are not more)."""
-    if len(x) <= k:
-        return x
-    rng = np.random.default_rng(seed)
-    centres = x[np.sort(rng.choice(len(x), k, replace=False))]
-    step = max(1, PRODUCTS // k)
-    for _ in range(rounds):
-        near = np.concatenate([np.argmax(x[at:at + step] @ centres.T, axis=1) for at in range(0, len(x), step)])
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
-    return centres
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, PRODUCTS // len(centres))
+    return np.concatenate([np.argmax(x[at:at + step] @ centres.T, axis=1) for at in range(0, len(x), step)])
 
 
 def _representatives(vecs: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
@@ -77,24 +71,62 @@ def _representatives(vecs: DataFrame, id_col: str, vec_col: str, label_col: str)
 
 
 def _centres(reps: DataFrame, cell: int, max_cells: int) -> dict:
-    """(label, dim) -> centres, for those with more vectors than a cell should have."""
+    """(label, dim) -> centres, by spherical k-means on a sample of every label with some vectors.
+
+    The first centres are the sampled vectors of the least hashes; a round adds up, in every
+    task, the vectors nearest to each centre, and only these sums, a row per centre and
+    task, are brought together.
+    """
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, labels = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     goal = max(cell, -(-total // max_cells))
-    large = (sizes.where(F.col("n") > goal).withColumn("k", F.ceil(F.col("n") / goal).cast("int"))
+    few = min(FEW, max_cells // max(1, labels))
+    k = F.greatest(F.ceil(F.col("n") / goal), F.least(F.lit(few), F.ceil(F.col("n") / FEW))).cast("int")
+    split = (sizes.withColumn("k", k).where("k > 1")
              .withColumn("rate", F.least(F.lit(1.0), F.col("k") * SAMPLE / F.col("n"))))
-    kind = reps.schema["label"].dataType.simpleString()
-    sample = (reps.join(F.broadcast(large.drop("n")), ["label", "dim"])     # max_cells rows at most
+    sample = (reps.join(F.broadcast(split.drop("n")), ["label", "dim"])     # max_cells rows at most
               .where(F.pmod(F.xxhash64("gid"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
               .select("label", "dim", "k", "gid", "v"))
+    sample = written(sample, "kmeans-sample")
+    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("gid", F.lit(1)), "gid")
+    first = sample.withColumn("cell", F.row_number().over(order) - 1).where(F.col("cell") < F.col("k"))
+    centres: dict = {}
+    for r in first.select("label", "dim", "cell", "v").orderBy("label", "dim", "cell").collect():
+        centres.setdefault((r["label"], r["dim"]), []).append(r["v"])          # 2 max_cells rows at most
+    centres = {key: unit(c) for key, c in centres.items()}
+    for _ in range(ROUNDS if centres else 0):
+        for r in _moved(sample, centres).collect():                            # a row per centre
+            total_v = np.array(r["s"])
+            if total_v.any():
+                centres[r["label"], r["dim"]][r["cell"]] = unit([total_v])[0]
+    return centres
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("gid")
-        c = spherical_kmeans(unit(part["v"].tolist()), int(part["k"].iloc[0]))
-        return pd.DataFrame({"label": part["label"].iloc[0], "dim": part["dim"].iloc[0], "c": [c.ravel()]})
 
-    fitted = sample.groupBy("label", "dim").applyInPandas(fit, f"label {kind}, dim int, c array<double>")
-    return {(r["label"], r["dim"]): np.array(r["c"]).reshape(-1, r["dim"]) for r in fitted.collect()}
+def _moved(sample: DataFrame, centres: dict) -> DataFrame:
+    """The sum of the sampled unit vectors nearest to each centre (label, dim, cell, s)."""
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast(centres)
+    kind = sample.schema["label"].dataType.simpleString()
+    shape = f"label {kind}, dim int, cell int, s array<double>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for key, part in batch.to_pandas().groupby(["label", "dim"], sort=True):
+                c = shared.value[key]
+                x = unit(part["v"].tolist())
+                np.add.at(sums.setdefault(key, np.zeros_like(c)), nearest(x, c), x)
+        rows = [(label, dim, i, row) for (label, dim), s in sums.items() for i, row in enumerate(s) if row.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((_arrow(kind), pa.int32(), pa.int32(),
+                                                                     pa.list_(pa.float64())))],
+            names=["label", "dim", "cell", "s"])
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        s = np.sum(table.column("s").to_pylist(), axis=0)
+        return pa.table([pa.array([k.as_py()], t) for k, t in zip(key, (_arrow(kind), pa.int32(), pa.int32()))]
+                        + [pa.array([s], pa.list_(pa.float64()))], names=["label", "dim", "cell", "s"])
+    return (sample.mapInArrow(add, shape).groupBy("label", "dim", "cell").applyInArrow(total, shape))
 
 
 def _cells(v: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -144,17 +144,42 @@ def test_more_than_512_centres_equal_brute_force(spark):
     assert want.sum() > 1000 and {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_norms_out_of_range_and_the_threshold_itself(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1.0, 1.0], 1), (4, [1e-200, 1e-200], 1), (5, [5e-324, 5e-324], 1),
+            (6, [1e-200, 0.0], 2), (7, [1e300, 0.0], 2), (8, [-1e300, 0.0], 2), (9, [0.8, 0.6], 3), (10, [1.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(df, threshold=0.8).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (1, 9), 10: (1, 9)}
+
+
+def test_labels_of_some_vectors_have_cells_and_the_fit_moves_centres(spark):
+    from tarmac.llm import embed_dedup as e
+    vecs = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label")
+    _, reps = e._representatives(vecs, "vec_id", "embedding", "label")
+    centres = e._centres(reps, e.CELL, e.MAX_CELLS)
+    sizes = {r["label"]: r["count"] for r in reps.groupBy("label").count().collect()}
+    assert {k[0]: len(c) for k, c in centres.items()} == {l: min(8, -(-n // 8)) for l, n in sizes.items() if n > 8}
+    own = {r["label"]: [] for r in reps.select("label").distinct().collect()}
+    for r in reps.select("label", "v").collect():
+        own[r["label"]].append(r["v"])
+    for (label, _), c in centres.items():
+        x = e.unit(own[label])
+        fitted, start = (x @ c.T).max(axis=1).mean(), (x @ x[:len(c)].T).max(axis=1).mean()
+        assert np.allclose(np.linalg.norm(c, axis=1), 1) and fitted > start - 0.05
+
+
 def test_many_centres_need_little_memory_and_lose_no_guest():
     import tracemalloc
     from tarmac.llm import embed_dedup as e
     rng = np.random.default_rng(5)
     x = e.unit(list(rng.normal(size=(48 * 700, 16))))
     tracemalloc.start()
-    c = e.spherical_kmeans(x, 700, rounds=2)
+    c = x[:700].copy()
+    e.nearest(x, c)
     assert tracemalloc.get_traced_memory()[1] < 60e6              # all products at once: 188 MB
     tracemalloc.stop()
     c = np.concatenate((c, e.unit(list(c[:50] + 1e-8 * rng.normal(size=(50, 16))))))      # centres next to others
-    v, reach = x[:400], np.sqrt(2 - 2 * 0.98)
+    v, reach = x[1000:1400], np.sqrt(2 - 2 * 0.98)
     tracemalloc.start()
     rows, cells, guest = e._cells(v, c, reach)
     assert tracemalloc.get_traced_memory()[1] < 25e6              # rows x centres x dim: 38 MB
