@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import SEGMENT, Encoder
-from .util import ship, use_cache
+from .util import ship, use_cache, written
 
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -34,8 +34,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                 text_col: str = "text") -> None:
     """Encode ``docs`` and write (doc_id, row, ids) files at ``path``, in ascending id order.
 
-    A null or empty text is the end id alone.  Null ids come first; rows with one id are
-    ordered by text hash, then as read.  ``row`` numbers a file's rows.  Other columns are
+    A null or empty text is the end id alone.  Null ids come first; rows with one id stand
+    as they are read.  ``row`` numbers a file's rows.  Other columns are
     not read; an empty table gives a store without rows.
     """
     spark = docs.sparkSession
@@ -63,10 +63,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                 row += len(ids)
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
-                        F.xxhash64(F.col(text_col)).alias("_x"), F.monotonically_increasing_id().alias("_k"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_x"), F.col("_k")]
+                        F.monotonically_increasing_id().alias("_k"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_k")]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The text hash and read position in the key let a repeated id span several files.
+    # The read position in the key lets a repeated id span several files; no text is read to
+    # find the ranges.
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "_t")
     (dealt.mapInArrow(run, f"doc_id {kind}, row bigint, ids array<int>")
      .write.options(**ORC).orc(path))
@@ -104,9 +105,9 @@ def store_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all rows before), n_tokens, ids_crc32 of every stored row.
 
     ``start`` adds the totals of the files before, one number per file, to a running sum
-    within the file.
+    within the file.  The ids are read once, into a narrow written table.
     """
-    rows = ids_crc32(read_store(spark, path))
+    rows = written(ids_crc32(read_store(spark, path)), "store-index")
     files = rows.groupBy("file").agg(F.sum("n").alias("_t"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
