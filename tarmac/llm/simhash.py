@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import hot_split_join, ship, use_cache, written
+from .util import hot_split_join, ship, use_cache, without_rows, written
 
 #: Bytes of text whose words are held at once; longer texts go piece by piece.
 PIECE = 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
+#: Fingerprints whose balls one task emits.
+EMITTED = 2000
 
 
 def _pieces(data: bytes) -> Iterator[list[bytes]]:
@@ -92,7 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
                 names=["_id", "_xx", "_fp"])
-    narrow = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_xx"),
+    narrow = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_xx"),
                          F.col(text_col).alias("_t"))
     kind = narrow.schema["_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"_id {kind}, _xx bigint, _fp bigint")
@@ -132,6 +134,8 @@ def ball_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     if radius != 3:
         raise ValueError("the ball variants are laid out for a radius of 3 bits")
     fp = F.col("fp")
+    # A fingerprint emits hundreds of variants: few of them to a task, however small their table.
+    fps = fps.repartition(max(1, -(-fps.count() // EMITTED)), "fp")
     pairs = [(1 << i) | (1 << j) for half in (0, 32)
              for i in range(half, half + 32) for j in range(i + 1, half + 32)]
     ones = _masks(range(64))
@@ -195,15 +199,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with that same id differ by text hash, and the smallest stays; of rows equal in both
     one stays.  A component whose ids are all null keeps one row.
     """
-    names = docs.columns
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    _, best = _components(prints, radius)
-    kept = written(best.select(F.col("_best._id").alias("_id"), F.col("_best._xx").alias("_xx"),
-                               F.col("_best._same").alias("_same")), "kept")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"),
-                       F.col(id_col).alias("_did"), F.xxhash64(F.col(text_col)).alias("_dxx"))
-    same = wide["_did"].eqNullSafe(kept["_id"]) & (wide["_dxx"] == kept["_xx"])
-    joined = wide.join(kept, same)
-    once = joined.where("_same = 1").select("_doc")
-    repeated = joined.where("_same > 1").dropDuplicates(["_did", "_dxx"]).select("_doc")
-    return once.unionByName(repeated).select("_doc.*")
+    per_fp, best = _components(prints, radius)
+    shared = per_fp.where(F.col("_root").isNotNull() | (F.col("_n") > 1))
+    best = best.select("_root", F.col("_best._id").alias("_bid"), F.col("_best._xx").alias("_bxx"),
+                       F.lit(True).alias("_found"))
+    classes = written(shared.withColumn("_root", F.coalesce("_root", "_fp")).join(best, "_root")
+                      .select("_fp", "_bid", "_bxx", "_found", "_n"), "classes")
+    rows = hot_split_join(prints, classes, ["_fp"], "_n", prints.count()).where("_found")
+    stays = F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_xx") == F.col("_bxx"))
+    gone = (rows.groupBy("_id", "_xx", stays.alias("again")).agg(F.count(F.lit(1)).alias("_same"))
+            .where(~F.col("again") | (F.col("_same") > 1)))
+    return without_rows(docs, id_col, text_col, gone)
