@@ -16,7 +16,7 @@ from .resample import resample
 from .sharding import shard
 from .simhash import simhash_groups
 from .suffix import drop_repeats
-from .token_store import ids_crc32, store_index, write_store
+from .token_store import store_index, write_store
 from .util import scratch_dir, table
 from .warc import archive_pages
 
@@ -42,8 +42,8 @@ def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"),
-                  tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0)
-    return ids_crc32(pieces).select("doc_id", "start", F.col("n").alias("length"),
+                  tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0, digest=True)
+    return pieces.select("doc_id", "start", F.col("n").alias("length"),
                                     F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

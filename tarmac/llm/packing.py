@@ -15,6 +15,7 @@ with the same result.  A long document's full windows leave the task as they are
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +75,13 @@ def deal(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, end_id: int = 0, block: int = BLOCK, tail: int = TAIL) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = 0, block: int = BLOCK, tail: int = TAIL,
+         digest: bool = False) -> DataFrame:
     """One row per piece: id, start, doc_tokens, sequence_id, offset, ids (array of int).
 
+    With ``digest`` a piece's length ``n`` and the crc32 ``crc`` of its ids (little-endian unsigned
+    32-bit integers) stand for the ids, made in the same pass: no second worker reads them.
+
     Each id of a document, ``end_id`` at its end included, is in exactly one piece.  A null
     or empty text is the end id alone.  Rows are packed as they are, repeated or not; a null
     document id stays null.  Sequence ids are unique, not gapless.  Other columns are not
@@ -109,13 +114,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def batch() -> pa.RecordBatch:
             nonlocal out, held
             doc, start, total, seq, at, ids = zip(*out)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = pa.array(np.concatenate(ids).view(np.int32))
+            lens = [len(x) for x in ids]
+            if digest:
+                last = [pa.array(lens, pa.int64()),
+                        pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in ids], pa.int64())]
+            else:
+                ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+                last = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32)))]
             made = pa.RecordBatch.from_arrays(
                 [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array(total, pa.int64()),
-                 pa.array(seq, pa.int64()), pa.array(at, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), flat)],
-                names=["_id", "start", "doc_tokens", "sequence_id", "offset", "ids"])
+                 pa.array(seq, pa.int64()), pa.array(at, pa.int64()), *last],
+                names=["_id", "start", "doc_tokens", "sequence_id", "offset", *(["n", "crc"] if digest else ["ids"])])
             out, held = [], 0
             return made
 
@@ -156,5 +165,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     cols = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     out = cols.mapInArrow(run, f"_id {kind.simpleString()}, start bigint, doc_tokens bigint, "
-                               "sequence_id bigint, offset bigint, ids array<int>")
+                               "sequence_id bigint, offset bigint, "
+                               + ("n bigint, crc bigint" if digest else "ids array<int>"))
     return out.withColumnRenamed("_id", id_col)
