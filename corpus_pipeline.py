@@ -15,7 +15,6 @@ from tarmac.llm.mixing import emit_mix
 from tarmac.llm.packing import pack
 from tarmac.llm.quality import keep_good
 from tarmac.llm.simhash import drop_near_copies
-from tarmac.llm.token_store import ids_crc32
 from tarmac.llm.util import table, written
 
 
@@ -41,9 +40,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one row per piece of a sequence of at most 1,024 tokens."""
-    pieces = pack(docs, tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0)
-    return ids_crc32(pieces).select("doc_id", "start", F.col("n").alias("length"), F.col("crc").alias("ids_crc32"),
-                                    "doc_tokens", "sequence_id", "offset")
+    pieces = pack(docs, tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=0, digest=True)
+    return pieces.select("doc_id", "start", F.col("n").alias("length"), F.col("crc").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
