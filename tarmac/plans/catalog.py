@@ -268,6 +268,12 @@ def q_revenue_per_ancillary(spark, sf):
     return rnd(raw(spark, sf).select("booking_id", ratio.alias("fare_per_ancillary")), {"fare_per_ancillary": 6})
 
 
+@query("base_fare_outlier_rows")
+def q_base_fare_outlier_rows(spark, sf):
+    """Q14, row form, on a column that has rows outside the fences."""
+    return profile.iqr_outliers(raw(spark, sf), "base_fare_inr").select("booking_id", "base_fare_inr")
+
+
 @query("fare_outlier_rows")
 def q_fare_outlier_rows(spark, sf):
     """Q14, row form: the bookings outside the fences."""

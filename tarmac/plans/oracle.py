@@ -307,6 +307,10 @@ sql("csv_round_trip", on_features(f"SELECT {_cols} FROM app_clean"))
 sql("parsed_dates", on_bookings("SELECT booking_id, booking_date, departure_date FROM bookings"))
 sql("revenue_per_ancillary", on_bookings("""
 SELECT booking_id, round(total_fare_inr / nullif(ancillary_revenue_inr, 0), 6) AS fare_per_ancillary FROM bookings"""))
+sql("base_fare_outlier_rows", on_bookings("""
+SELECT booking_id, base_fare_inr FROM bookings, (SELECT quantile_cont(base_fare_inr, 0.25) AS q1,
+    quantile_cont(base_fare_inr, 0.75) AS q3 FROM bookings)
+WHERE base_fare_inr < q1 - 1.5 * (q3 - q1) OR base_fare_inr > q3 + 1.5 * (q3 - q1)"""))
 sql("fare_outlier_rows", on_bookings("""
 SELECT booking_id, total_fare_inr FROM (
   SELECT booking_id, total_fare_inr, (SELECT quantile_cont(total_fare_inr, 0.25) FROM bookings) AS q1,
