@@ -3,8 +3,9 @@
 * ``DayStates`` (R6 and the aggregate queries): for every day and value of a dimension the
   additive parts of the metrics (counts and sums), with a distinct-count sketch and a
   quantile sketch on the day's total row, and the day's fares as (fare, count) pairs.  The
-  states lie in one partition a month.  Adding a day reads that day's bookings and the
-  states of its month, and rewrites that partition; every report is a sum over the states.
+  states lie in one partition a month (or another period).  Adding a day reads that day's
+  bookings and the states of its period, and rewrites that partition; every report is a sum
+  over the states.
 * ``column_sketches`` (Q6): distinct counts by HyperLogLog and the commonest values by
   Misra-Gries counters, both combined from per-task states of fixed size.
 """
@@ -42,25 +43,25 @@ def _day_sets(df: DataFrame, dims: list[str], aggs: list) -> DataFrame:
 class DayStates:
     """The stored states below ``path``: tables ``metrics``, ``complaints`` and ``fares`` by day."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, period: str = "yyyy-MM"):
+        self.spark, self.path, self.period = spark, path.rstrip("/"), period
 
     def _write(self, df: DataFrame, name: str) -> None:
-        """Put the states in, instead of those of the same days; only their months are rewritten."""
+        """Put the states in, instead of those of the same days; only their periods are rewritten."""
         path = f"{self.path}/{name}"
-        df = df.withColumn("month", F.date_format(DAY, "yyyy-MM"))
+        df = df.withColumn("period", F.date_format(DAY, self.period))
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             aside = scratch_path(self.spark, f"states-{uuid.uuid4().hex[:12]}")
             df.write.parquet(aside)
             df = self.spark.read.parquet(aside)
-            days = F.broadcast(df.select(F.col(DAY).alias("_d"), F.col("month").alias("_m")).distinct())   # the calendar
-            months = days.select("_m").distinct()
+            days = F.broadcast(df.select(F.col(DAY).alias("_d"), F.col("period").alias("_m")).distinct())   # the calendar
+            periods = days.select("_m").distinct()
             old = self.spark.read.schema(df.schema).parquet(path)
-            old = old.join(months, F.col("month").eqNullSafe(F.col("_m")), "left_semi")
+            old = old.join(periods, F.col("period").eqNullSafe(F.col("_m")), "left_semi")
             df = df.unionByName(old.join(days, F.col(DAY).eqNullSafe(F.col("_d")), "left_anti"))
-        (df.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month").parquet(path))
+        (df.repartition("period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("period").parquet(path))
 
     def add(self, fa: DataFrame, tagged: DataFrame, date: str = "booking_date") -> None:
         """Add (or replace) the days of ``fa`` and of its tagged complaints; reads nothing else.

@@ -198,7 +198,7 @@ def q_metrics_facts_stored(spark, sf):
     from ..operators import complaints, report
     from ..operators.states import DayStates
     f = fa(spark, sf)
-    states = DayStates(spark, scratch_path(spark, f"day-states-{uuid.uuid4().hex[:12]}"))
+    states = DayStates(spark, scratch_path(spark, f"day-states-{uuid.uuid4().hex[:12]}"), period="yyyy")
     states.add(f, complaints.complaints_app(f))
     return report.lines_of(states.dimension_metrics(), states.complaint_metrics(), states.median_fare())
 

@@ -40,7 +40,7 @@ def test_days_merge_to_the_scan_and_a_day_can_be_replaced(spark, bookings, tmp_p
 
 
 def test_sketches_of_the_states_are_within_their_bounds(spark, bookings, tmp_path):
-    states = DayStates(spark, str(tmp_path / "s"))
+    states = DayStates(spark, str(tmp_path / "s"), period="yyyy")
     states.add(bookings, complaints.complaints_app(bookings))
     got = states.approximate().first()
     fares = np.sort([r[0] for r in bookings.select("total_fare_inr").where("total_fare_inr is not null").collect()])
