@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import model
+from tarmac.operators import model, vector_store
 
 
 def test_split_sorts_the_rows_around_the_cut_only(spark, monkeypatch):
@@ -28,3 +28,26 @@ def test_split_sorts_the_rows_around_the_cut_only(spark, monkeypatch):
     hot = df.withColumn("booking_id", F.lit("one"))
     assert {r.split for r in model.stratified_split(hot).collect()} == {"train"}
     assert model.stratified_split(df.limit(0)).count() == 0
+
+
+def test_upsert_moves_only_the_rows_it_replaces(spark, tmp_path, monkeypatch):
+    seen = []
+    among = vector_store._maybe_among
+
+    def watched(keys, key, n):
+        seen.append(n)
+        return among(keys, key, n)
+    monkeypatch.setattr(vector_store, "_maybe_among", watched)
+    store = vector_store.VectorStore(spark, str(tmp_path / "s"), buckets=4)
+    rows = spark.range(4000).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    store.upsert(rows)
+    twice = rows.where("doc_id in ('d1', 'd2')").withColumn("text", F.lit("again"))
+    none = spark.createDataFrame([(None, "none"), (None, "none")], "doc_id string, text string")
+    store.upsert(twice.unionByName(twice).unionByName(none))
+    got = store.read()
+    assert got.count() == 4001 and got.where("text = 'again'").count() == 2 and store.space().docs == 4001
+    assert seen == [3]
+    known = vector_store._maybe_among(rows.where("doc_id < 'd2'"), "doc_id", 1200)
+    marked = rows.select("doc_id", known.alias("maybe"))
+    assert marked.where("doc_id < 'd2' and not maybe").count() == 0
+    assert marked.where("doc_id >= 'd2' and maybe").count() < 600
