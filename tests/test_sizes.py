@@ -1,11 +1,12 @@
 """What moves and what is kept when tables grow: the work of a query, not its results only."""
 
+import collections
 import hashlib
 import math
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import model, vector_store
+from tarmac.operators import model, retrieval, vector_store
 
 
 def test_split_sorts_the_rows_around_the_cut_only(spark, monkeypatch):
@@ -51,3 +52,34 @@ def test_upsert_moves_only_the_rows_it_replaces(spark, tmp_path, monkeypatch):
     marked = rows.select("doc_id", known.alias("maybe"))
     assert marked.where("doc_id < 'd2' and not maybe").count() == 0
     assert marked.where("doc_id >= 'd2' and maybe").count() < 600
+
+
+def test_text_index_is_a_row_per_document_and_pairs_stay_in_the_task(spark):
+    texts = [(f"d{i:03}", "all same words" + " rare" * (i % 7) + f" n{i % 40}") for i in range(200)]
+    texts += [("d001", "all twice"), ("d001", None), ("none", None), (None, "all rare")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    index, idf, norms = retrieval.tfidf(docs)
+    assert index.count() == 202 and norms.count() == 202 and index.agg(F.sum("copies")).first()[0] == 204
+    asked = docs.where("doc_id < 'd050'").distinct().dropDuplicates(["doc_id"]).selectExpr("doc_id query_id", "text question")
+    qvec = retrieval.embed_queries(asked, idf, 204)
+    part = retrieval._chunk_scores(index, norms.select("_dkey", "norm"), qvec, 3, "doc_id", "query_id").groupBy("query_id")
+    assert part.count().agg(F.max("count")).first()[0] <= 60                  # of 200 that share a word, 3 a task
+
+    tf = {}
+    for d, t in texts:
+        c = tf.setdefault(d, collections.Counter())
+        c.update(w for w in (t or "").split())
+    df = collections.Counter(w for c in tf.values() for w in c)
+    weight = {w: math.log(205 / (n + 1)) for w, n in df.items()}
+    norm = {d: math.sqrt(sum((n * weight[w]) ** 2 for w, n in c.items())) for d, c in tf.items()}
+    copies = collections.Counter(d for d, _ in texts)
+    want = set()
+    for q in asked.collect():
+        c = collections.Counter((q.question or "").split())
+        qn = math.sqrt(sum((n * weight[w]) ** 2 for w, n in c.items()))
+        score = {d: round(copies[d] * sum(n * weight[w] ** 2 * tf[d][w] for w, n in c.items()) / (norm[d] * qn), 9)
+                 if norm[d] and qn else 0.0 for d in tf if d}
+        best = sorted(score, key=lambda d: (-score[d], d))[:3]
+        want |= {(q.query_id, r + 1, d) for r, d in enumerate(best) if score[d] > 0}
+    got = retrieval.sparse_top_k(index, norms, qvec, k=3, questions=asked)
+    assert {(r.query_id, r["rank"], r.doc_id) for r in got.where("score > 0").collect()} == want
