@@ -1,8 +1,8 @@
 """M8, second-order boosted trees on binned rows.
 
 Every number becomes the index of one of at most ``MAX_BINS`` quantile bins (a byte), every
-category the index of its level, once, before the first tree.  The binned rows are a
-written table of blocks of bytes, cached as such.  A level of a tree is then one Spark
+category the index of its level, once, before the first tree.  The binned rows are blocks
+of bytes, cached as such.  A level of a tree is then one Spark
 aggregation: tasks add up gradient and hessian per (node, column, bin) of their blocks, the
 arrays are summed in a tree of tasks, and the driver, which only sees sums, picks for each
 node the split of the largest gain.  The arrays are added by an RDD reduction because a fit
@@ -16,8 +16,8 @@ one is "this level against all others", read from the level's own sums.
 * Gradients and hessians are added as integers (units of 2**-24), so neither the number of
   tasks nor their order changes a tree.
 * Only left children are summed; a right child is its parent without its sibling.
-* Margins are stored with the rows every ``REFRESH`` trees; the trees since then are
-  applied on the fly, so a lost task never needs more than the stored table.
+* The rows carry their margins: a tree is applied to them once, when it is grown.  Every
+  ``REFRESH`` trees they are checkpointed, so a lost task never needs more trees than that.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES
-from ..session import remove_path, scratch_path, ship
+from ..session import checkpoint_dir, remove_path, scratch_path, ship
 from .model import model_input, preprocess_stages
 
 MAX_BINS = 256
-#: Trees after which the rows' margins are written anew.
+#: Trees after which the rows and their margins are written anew.
 REFRESH = 15
 #: Rows of a task of the histogram pass: this many on small data, and on large data not fewer
 #: tasks than cores and not more rows than MOST_ROWS.
@@ -65,10 +65,10 @@ class Trees:
     value: np.ndarray
     depth: int
 
-    def leaves(self, codes: np.ndarray, n_numeric: int, tree: int) -> np.ndarray:
+    def leaves(self, codes: np.ndarray, n_numeric: int, tree: int, levels: int | None = None) -> np.ndarray:
         node = np.zeros(len(codes), np.int64)
         rows = np.arange(len(codes))
-        for _ in range(self.depth):
+        for _ in range(self.depth if levels is None else levels):
             column = self.column[tree][node]
             code, cut = codes[rows, column], self.cut[tree][node]
             right = np.where(column < n_numeric, code > cut, code == cut)
@@ -182,36 +182,74 @@ def quantile_edges(rows: DataFrame, columns: list[str], bins: int = MAX_BINS) ->
     return [np.unique(np.array(found[c] or [], float)) for c in columns]
 
 
-@dataclass
 class _Rows:
-    """The binned rows: a written table of blocks, and the same blocks cached for the sums."""
-    df: DataFrame
-    path: str
-    blocks: RDD
-    n_numeric: int
+    """The binned rows in cached blocks: codes column by column, label, key, margin and what to add to it.
+
+    A tree makes new blocks from the cached ones; the old ones go once the new ones have been read.
+    """
+
+    def __init__(self, blocks: DataFrame, n_numeric: int):
+        spark = blocks.sparkSession
+        checkpoint_dir(spark)
+        self.spark, self.n_numeric = spark, n_numeric
+        self.path = scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}")
+        blocks.write.parquet(self.path)
+        table = spark.read.schema(blocks.schema).parquet(self.path)
+        self.blocks: RDD = table.rdd.map(lambda row: _packed(row, n_numeric)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.before: RDD | None = None
+
+    def add(self, tree: Trees, store: bool) -> None:
+        """Add the values of one tree; with ``store`` the rows are checkpointed at their next reading."""
+        n_numeric = self.n_numeric
+
+        def stepped(block: tuple) -> tuple:
+            codes, _, _, margin, since = _opened(block)
+            since = since + tree.value[0][tree.leaves(codes, n_numeric, 0)]
+            if store:
+                margin, since = margin + since, np.zeros(len(since))
+            return (*block[:4], margin.tobytes(), since.tobytes())
+        self.before, self.blocks = self.blocks, self.blocks.map(stepped).persist(StorageLevel.MEMORY_AND_DISK)
+        if store:
+            self.blocks.checkpoint()
+
+    def was_read(self) -> None:
+        """All blocks are cached now: what they were made from goes."""
+        if self.before is None:
+            return
+        self.before.unpersist()
+        self.before = None
+        stored = self.blocks.getCheckpointFile()
+        if stored:
+            remove_path(self.spark, self.path)
+            self.path = stored
 
     def drop(self) -> None:
         self.blocks.unpersist()
-        remove_path(self.df.sparkSession, self.path)
+        if self.before is not None:
+            self.before.unpersist()
+        remove_path(self.spark, self.path)
 
 
 BLOCK_SCHEMA = "bins binary, levels binary, label binary, key binary, margin binary"
 
 
-def _block(row, n_numeric: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, label, key, margin) of one row of the block table."""
-    label, key, margin = (np.frombuffer(row[i], kind) for i, kind in ((2, np.uint8), (3, np.int64), (4, np.float64)))
-    n = len(label)
-    bins = np.frombuffer(row[0], np.uint8).reshape(n, n_numeric).astype(np.int32)
+def _packed(row, n_numeric: int) -> tuple:
+    """A row of the block table as (codes by column, their type, label, key, margin, sum since then)."""
+    n = len(row[2])
+    bins = np.frombuffer(row[0], np.uint8).reshape(n, n_numeric)
     levels = np.frombuffer(row[1], "<i4").reshape(n, -1) if n else np.empty((0, 0), np.int32)
-    return np.hstack([bins, levels]), label, key, margin
+    kind = "<i2" if levels.max(initial=0) < 1 << 15 else "<i4"
+    codes = np.hstack([bins.astype(kind), levels.astype(kind)])
+    return codes.T.tobytes(), kind, bytes(row[2]), bytes(row[3]), bytes(row[4]), bytes(8 * n)
 
 
-def _stored(blocks: DataFrame, n_numeric: int) -> _Rows:
-    path = scratch_path(blocks.sparkSession, f"boosting-{uuid.uuid4().hex[:12]}")
-    blocks.write.parquet(path)
-    df = blocks.sparkSession.read.schema(blocks.schema).parquet(path)
-    return _Rows(df, path, df.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), n_numeric)
+def _opened(block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, label, key, margin, sum since then) of a block; a column of the codes is contiguous."""
+    label, key, margin, since = (np.frombuffer(block[i], kind) for i, kind in
+                                 ((2, np.uint8), (3, np.int64), (4, np.float64), (5, np.float64)))
+    n = len(label)
+    codes = np.frombuffer(block[0], block[1]).reshape(-1, n).T if n else np.empty((0, 0), np.int16)
+    return codes, label, key, margin, since
 
 
 def _binned(made: DataFrame, inputs: list[str], edges: list[np.ndarray], key: str, tasks: int) -> DataFrame:
@@ -229,7 +267,7 @@ def _binned(made: DataFrame, inputs: list[str], edges: list[np.ndarray], key: st
     return rows.mapInArrow(encode, BLOCK_SCHEMA)
 
 
-def _sums(data: _Rows, since: Trees, now: Trees, tree: int, nodes: list[int], widths: list[int],
+def _sums(data: _Rows, now: Trees, level: int, tree: int, nodes: list[int], widths: list[int],
           seed: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and hessian sums (len(nodes) x all bins) of the rows in ``nodes`` of the tree being grown."""
     starts = np.concatenate([[0], np.cumsum(widths)])
@@ -238,30 +276,30 @@ def _sums(data: _Rows, since: Trees, now: Trees, tree: int, nodes: list[int], wi
     n_numeric, size = data.n_numeric, int(starts[-1])
 
     def add(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
-        total = np.zeros((2, len(nodes) * size), np.int64)
+        total = np.zeros((2, len(nodes), size), np.int64)
         for block in rows:
-            codes, label, keys, margin = _block(block, n_numeric)
-            inside = sampled(keys, tree, seed, share)
-            if not inside.all():
-                codes, label, margin = codes[inside], label[inside], margin[inside]
-            at = place[now.leaves(codes, n_numeric, 0)]
-            inside = at >= 0
-            if not inside.all():
-                at, codes, label, margin = at[inside], codes[inside], label[inside], margin[inside]
-            p = 1 / (1 + np.exp(-(margin + since.margin(codes, n_numeric))))
+            codes, label, keys, margin, since = _opened(block)
+            at = place[now.leaves(codes, n_numeric, 0, level)]
+            inside = np.flatnonzero((at >= 0) & sampled(keys, tree, seed, share))
+            at, label = at[inside], label[inside]
+            p = 1 / (1 + np.exp(-(margin[inside] + since[inside])))
             g, h = np.rint((p - label) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-16) * UNIT)
             for c, (first, width) in enumerate(zip(starts, widths)):
-                code = codes[:, c]
+                code = codes[:, c][inside]
+                slot = at * width + code
                 known = (code >= 0) & (code < width)
-                slot = at * size + first + code
+                whole = known.all()
                 # Sums of a block stay far below 2**53, so the doubles are exact.
                 for k, x in enumerate((g, h)):
-                    total[k] += np.bincount(slot[known], x[known], total.shape[1]).astype(np.int64)
+                    sums = np.bincount(slot, x, len(nodes) * width) if whole else \
+                        np.bincount(slot[known], x[known], len(nodes) * width)
+                    total[k, :, first:first + width] += sums.reshape(-1, width).astype(np.int64)
         yield total
     parts = data.blocks.mapPartitions(add)
     wide = parts.getNumPartitions() > WIDE
     found = parts.treeReduce(np.add, 2) if wide else parts.reduce(np.add)
-    g, h = found.reshape(2, len(nodes), size) / UNIT
+    data.was_read()
+    g, h = found / UNIT
     return g, h
 
 
@@ -319,21 +357,17 @@ def fit_newton(train: DataFrame, categorical: list[str] = APP_CATEGORICAL_FEATUR
     n = data.count()
     tasks = max(1, min(n // TASK_ROWS, max(spark.sparkContext.defaultParallelism, n // MOST_ROWS)))
     inputs = scaled + [f"{c}__idx" for c in categorical]
-    rows = _stored(_binned(made, inputs, edges, key, tasks), len(numeric))
+    rows = _Rows(_binned(made, inputs, edges, key, tasks), len(numeric))
     widths = [len(e) + 1 for e in edges] + [len(x) for x in levels]
     shape = (n_trees, 2 ** (depth + 1) - 1)
     trees = Trees(np.full(shape, -1), np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape), depth)
 
-    done = 0                                              # trees whose values the stored margins hold
     for tree in range(n_trees):
-        if tree - done == REFRESH:
-            rows = _refreshed(rows, trees.part(done, tree))
-            done = tree
-        now, since = trees.part(tree, tree + 1), trees.part(done, tree)
+        now = trees.part(tree, tree + 1)
         ask, parents = [0], {}                            # the nodes to sum, and what a sibling is taken from
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for _ in range(depth):
-            g, h = _sums(rows, since, now, tree, ask, widths, seed, subsample)
+        for at in range(depth):
+            g, h = _sums(rows, now, at, tree, ask, widths, seed, subsample)
             level = {}
             for node, gn, hn in zip(ask, g, h):
                 level[node] = (gn, hn)
@@ -354,22 +388,7 @@ def fit_newton(train: DataFrame, categorical: list[str] = APP_CATEGORICAL_FEATUR
                     parents[node] = (gn, hn)
             if not ask:
                 break
+        if tree + 1 < n_trees:
+            rows.add(now, (tree + 1) % REFRESH == 0)
     rows.drop()
     return BoostedModel(prep, list(numeric), list(categorical), levels, edges, trees)
-
-
-def _refreshed(rows: _Rows, trees: Trees) -> _Rows:
-    """The rows with the values of ``trees`` added to their margins, written anew."""
-    n_numeric = rows.n_numeric
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margins = []
-            for block in zip(*(c.to_pylist() for c in batch.columns)):
-                codes, _, _, margin = _block(block, n_numeric)
-                margins.append((margin + trees.margin(codes, n_numeric)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margins, pa.binary())],
-                                             names=batch.schema.names)
-    out = _stored(rows.df.mapInArrow(add, rows.df.schema), n_numeric)
-    rows.drop()
-    return out

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import model, retrieval, vector_store
+from tarmac.operators import boosting, model, retrieval, vector_store
 
 
 def test_split_sorts_the_rows_around_the_cut_only(spark, monkeypatch):
@@ -83,3 +83,16 @@ def test_text_index_is_a_row_per_document_and_pairs_stay_in_the_task(spark):
         want |= {(q.query_id, r + 1, d) for r, d in enumerate(best) if score[d] > 0}
     got = retrieval.sparse_top_k(index, norms, qvec, k=3, questions=asked)
     assert {(r.query_id, r["rank"], r.doc_id) for r in got.where("score > 0").collect()} == want
+
+
+def test_boosted_rows_are_written_once_and_keep_their_margins(spark, monkeypatch):
+    made = []
+    path = boosting.scratch_path
+    monkeypatch.setattr(boosting, "scratch_path", lambda s, name: made.append(name) or path(s, name))
+    df = spark.range(300).selectExpr("id booking_id", "id % 7 x", "concat('c', id % 3) c", "cast(id % 7 > id % 5 as int) is_cancelled")
+    fits = []
+    for refresh in (2, 15):
+        monkeypatch.setattr(boosting, "REFRESH", refresh)
+        fits.append(boosting.fit_newton(df, ["c"], ["x"], n_trees=5, depth=2).trees)
+    assert (fits[0].column == fits[1].column).all() and abs(fits[0].value - fits[1].value).max() < 1e-9
+    assert len(made) == 2                                                     # one table a fit
