@@ -8,6 +8,7 @@ of one job per column.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import draws
 from ..functions.columns import checked_lookup, quantile_exprs, with_scalars, safe_div
 from ..functions.quantiles import quantiles
 from ..session import checkpoint_dir, ship
@@ -238,29 +240,96 @@ def target_correlation(df: DataFrame, columns: list[str], target: str = "is_canc
     return out.withColumn("rank", F.row_number().over(w))  # window over len(columns) rows
 
 
+#: Rows of a batch that are drawn for at once, rows of a block, and keys whose sums a task holds.
+DRAW_ROWS, DRAW_BLOCK, DRAW_KEYS = 2000, 32, 256
+
+
+def _row_bytes(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """(places, rows x length bytes) for every length of an id column; the bytes of missing ids are None."""
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    out = [(np.flatnonzero(missing), None)] if missing.any() else []
+    if pa.types.is_integer(column.type):
+        whole = np.ascontiguousarray(column.fill_null(0).to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(~missing)
+        return [*out, (at, whole.view(np.uint8).reshape(len(whole), -1)[at])]
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lengths = np.diff(offsets)
+    for n in np.unique(lengths[~missing]):
+        at = np.flatnonzero((lengths == n) & ~missing)
+        out.append((at, data[offsets[at][:, None] + np.arange(n)]))
+    return out
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, n_boot: int = 1000, seed: int = 42,
                    ci: float = 95.0, row_id: str = "booking_id") -> DataFrame:
     """Q19: group mean with a bootstrap interval (Poisson(1) weights, seeded per row).
 
-    Each row is replicated ``n_boot`` times (``explode(sequence)``, no join) with a
-    Poisson weight derived from hash(seed, replicate, row id): the draw depends only on
-    the row's own key, so a recomputed task after an executor loss draws the same
-    weights.  Weighted sums per (key, replicate) are partial-aggregated before the
-    shuffle, so nothing concentrates beyond (groups x replicates) rows.
+    Each row has ``n_boot`` Poisson weights derived from hash(seed, replicate, row id): the
+    draw depends only on the row's own key, so a recomputed task after an executor loss draws
+    the same weights.  A task draws a block of rows for all replicates at once and holds the
+    weighted sums per (key, replicate), so nothing is replicated and nothing concentrates
+    beyond (groups x replicates) rows.
     """
+    ship(df.sparkSession)
     x = F.col(value).cast("double")
+    kind = df.schema[row_id].dataType
+    # xxhash64 of a whole number is that of its bytes (four up to int); other ids are hashed as text.
+    kind = "int" if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) else \
+        "long" if isinstance(kind, T.LongType) else "binary" if isinstance(kind, T.BinaryType) else "string"
     base = df.where(F.col(key).isNotNull() & x.isNotNull()).select(
-        key, x.alias("_v"), F.col(row_id).alias("_row"))
-    # Poisson(1) by inversion of a per-(row, replicate) uniform draw.
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("_b"), F.col("_row"))) % 1_000_000_007) / 1_000_000_007.0
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-           0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    w = F.lit(len(cdf))
-    for k in range(len(cdf) - 1, -1, -1):
-        w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    weighted = (base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-                .select(key, "_b", w.alias("_w"), "_v")
-                .groupBy(key, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
+        F.col(key), x.alias("_v"), F.col(row_id).cast(kind).alias("_row"))
+    # A row costs n_boot draws and the scan's tasks are few and uneven, so the narrow rows are dealt out.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    base = base.repartition(tasks, "_row", "_v")
+    fields = T.StructType([base.schema[key], T.StructField("_b", T.IntegerType()),
+                           T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = draws.replicate_seeds(seed, n_boot)
+        held: dict = {}
+
+        def sums() -> pa.RecordBatch:
+            names = pa.array(list(held), kind_of_key)
+            return pa.RecordBatch.from_arrays(
+                [names.take(pa.array(np.repeat(np.arange(len(held)), n_boot))),
+                 pa.array(np.tile(np.arange(n_boot, dtype=np.int32), len(held))),
+                 pa.array(np.concatenate([s[0] for s in held.values()])),
+                 pa.array(np.concatenate([s[1] for s in held.values()]).astype(np.int64))],
+                names=fields.names)
+        kind_of_key = None
+        for whole in batches:
+            kind_of_key = whole.column(key).type
+            for first in range(0, whole.num_rows, DRAW_ROWS):
+                batch = whole.slice(first, DRAW_ROWS)
+                coded = batch.column(key).dictionary_encode()
+                codes, v = coded.indices.to_numpy(), batch.column("_v").to_numpy()
+                found = np.zeros((2, len(coded.dictionary), n_boot))
+                for at, rows in _row_bytes(batch.column("_row")):
+                    by = np.argsort(codes[at], kind="stable")
+                    for i in range(0, len(by), DRAW_BLOCK):
+                        part = by[i:i + DRAW_BLOCK]
+                        mine = at[part]
+                        # A missing id is left out of the hash, as xxhash64 does.
+                        h = np.tile(seeds, (len(part), 1)) if rows is None else draws.xxhash64(rows[part], seeds)
+                        weight = draws.poisson(h).astype(np.float64)
+                        present, place = np.unique(codes[mine], return_inverse=True)
+                        for k, c in enumerate(present):
+                            one = place == k
+                            found[:, c] += np.stack([v[mine[one]], np.ones(one.sum())]) @ weight[one]
+                for c, name in enumerate(coded.dictionary.to_pylist()):
+                    if name in held:
+                        held[name] += found[:, c]
+                    else:
+                        held[name] = found[:, c].copy()
+                if len(held) > DRAW_KEYS:
+                    yield sums()
+                    held.clear()
+        if held:
+            yield sums()
+    weighted = (base.mapInArrow(draw, fields)
+                .groupBy(key, "_b").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
                 .where(F.col("_n") > 0)
                 .select(key, (F.col("_s") / F.col("_n")).alias("_m")))
     lo, hi = (100 - ci) / 200.0, 1 - (100 - ci) / 200.0

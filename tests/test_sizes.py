@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarmac.operators import boosting, model, retrieval, vector_store
@@ -96,3 +97,28 @@ def test_boosted_rows_are_written_once_and_keep_their_margins(spark, monkeypatch
         fits.append(boosting.fit_newton(df, ["c"], ["x"], n_trees=5, depth=2).trees)
     assert (fits[0].column == fits[1].column).all() and abs(fits[0].value - fits[1].value).max() < 1e-9
     assert len(made) == 2                                                     # one table a fit
+
+
+def test_bootstrap_draws_are_the_hash_of_the_row_and_no_row_is_replicated(spark):
+    from tarmac.functions import draws
+    from tarmac.operators import profile
+    ids = [("é" + "abcdefghij" * 8)[:n] for n in range(75)] + [None]
+    df = spark.createDataFrame([(s,) for s in ids], "id string")
+    seeds = draws.replicate_seeds(7, 5)
+    for r in df.select("id", F.array(*[F.xxhash64(F.lit(7), F.lit(b), "id") for b in range(5)]).alias("h")).collect():
+        raw = (r.id or "").encode()
+        got = seeds if r.id is None else draws.xxhash64(np.frombuffer(raw, np.uint8).reshape(1, -1), seeds)[0]
+        assert got.view(np.int64).tolist() == r.h
+
+    draw = (F.abs(F.xxhash64(F.lit(7), F.col("b"), F.col("i"))) % draws.MODULUS) / float(draws.MODULUS)
+    weight = sum(((draw >= p).cast("int") for p in draws.CDF), F.lit(0))
+    rows = spark.range(400).selectExpr("concat('b', id) s", "cast(id - 9 as int) i4", "id - 9 i8", "concat('k', id % 3) k",
+                                       "if(id % 50 = 0, null, sqrt(id)) v").withColumn("s", F.nullif("s", F.lit("b7")))
+    for name in ("s", "i4", "i8"):
+        plain = (rows.where("v is not null").withColumn("i", F.col(name)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(39))))
+                 .withColumn("w", weight).groupBy("k", "b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+                 .groupBy("k").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).collect())
+        made = profile.bootstrap_mean(rows, "k", "v", n_boot=40, seed=7, row_id=name)
+        got = {r.k: (r.ci_low, r.ci_high) for r in made.collect()}
+        assert len(got) == 3 and all(abs(a - b) < 1e-9 for r in plain for a, b in zip(r.q, got[r.k]))
+        assert "explode" not in made._jdf.queryExecution().toString().lower()
