@@ -47,13 +47,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHE
     return raw.select(*cols)
 
 
+#: Rows of a written CSV file: a file whose quoted fields may hold line breaks is read by one task.
+CSV_FILE_ROWS = 100_000
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write without a row index (parquet keeps types; CSV optional with a header)."""
+    """Write without a row index (parquet keeps types; CSV optional with a header, in
+    files of ``CSV_FILE_ROWS`` rows at most)."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.option("header", True).option("escape", '"').option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
     else:
         w.parquet(path)
 

@@ -122,3 +122,31 @@ def test_bootstrap_draws_are_the_hash_of_the_row_and_no_row_is_replicated(spark)
         got = {r.k: (r.ci_low, r.ci_high) for r in made.collect()}
         assert len(got) == 3 and all(abs(a - b) < 1e-9 for r in plain for a, b in zip(r.q, got[r.k]))
         assert "explode" not in made._jdf.queryExecution().toString().lower()
+
+
+def test_a_csv_file_is_cut_into_files_that_one_task_can_read(spark, tmp_path, monkeypatch):
+    from pyspark.sql import types as T
+    from tarmac.sources import files
+    monkeypatch.setattr(files, "CSV_FILE_ROWS", 100)
+    rows = spark.range(250).selectExpr("id a", "if(id % 7 = 0, concat('x\n\"', id), null) b").coalesce(1)
+    files.write_table(rows, str(tmp_path / "t"), fmt="csv")
+    assert len(list((tmp_path / "t").glob("*.csv"))) == 3
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    back = files.read_csv(spark, str(tmp_path / "t"), schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_cells_are_assigned_without_all_products_of_a_batch():
+    import tracemalloc
+    from tarmac.operators import cell_search
+    rng = np.random.default_rng(3)
+    rows, centres = rng.normal(size=(10_000, 4)), rng.normal(size=(4096, 4))
+    tracemalloc.start()
+    near, cosine = cell_search._nearest(rows, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20                                                    # 328 MB in one product
+    some = rows[::500] @ centres.T
+    assert np.allclose(cosine[::500], some.max(axis=1)) and (near[::500] == some.argmax(axis=1)).all()
+    assert [len(x) for x in cell_search._nearest(rows[:0], centres)] == [0, 0]
+    assert [(p.start, p.stop) for p in cell_search._parts(3, cell_search.PRODUCTS * 2)] == [(0, 1), (1, 2), (2, 3)]
