@@ -346,6 +346,33 @@ def test_ids_are_the_librarys_also_with_added_token_strings(name):
         assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_before_any_signs_goes_through_the_library_once(name):
+    import random
+    import string
+
+    from tarmac.llm.encode import Encoder
+    import public_tokenizers
+    path = public_tokenizers.path(name)
+    lib, rng = Tokenizer.from_file(path), random.Random(3)
+    signs = string.punctuation
+    texts = ["tower" + a + b + "\n" + a + "tower" + b + c for a in signs for b in signs for c in ("", " ", "\n", "'s")]
+    alphabet = signs + "aZ9é\u0301ßΣ²五 \n\r\t\u00a0"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    for text, got in zip(texts, Encoder(path).encode(texts)):
+        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+    encoder, seen = Encoder(path), []
+
+    class Counting:
+        def encode_batch_fast(self, part, **kwargs):
+            seen.extend(part)
+            return lib.encode_batch_fast(part, **kwargs)
+    encoder.lib = Counting()
+    encoder.encode([" ".join(["a", *[f"towerx{x}" for x in ("***", "&&&", "%%%", "###,", "$$$.", '")')]])])
+    assert " ".join(seen).count("towerx") == 1
+
+
 def test_a_tokenizer_that_merges_over_blanks_sees_whole_texts(monkeypatch, tmp_path):
     from tokenizers import models
     from tarmac.llm import encode
