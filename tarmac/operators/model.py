@@ -233,26 +233,42 @@ def model_input(df: DataFrame, categorical: list[str], numeric: list[str], label
     return df.withColumns(cols)
 
 
+def _typed(train: DataFrame, categorical: list[str], numeric: list[str], *more: str) -> DataFrame:
+    """The model inputs alone, kept (memory, then disk) while a fit passes over them a dozen times.
+
+    Features and split are made in the first pass only.  The rows stay in their partitions, in their
+    order, so that the row samples of the trees are those of the table itself.
+    """
+    data = model_input(train, categorical, numeric)
+    return data.select(*[f"{c}__d" for c in numeric], *[f"{c}__s" for c in categorical], "label", *more).persist()
+
+
 def fit_logistic(train: DataFrame, categorical=APP_CATEGORICAL_FEATURES, numeric=APP_NUMERIC_FEATURES,
                  max_iter: int = 1000, category_fill: str = "constant") -> PipelineModel:
     """M7: balanced logistic regression, L2 with C = 1 (regParam = 1 / n_train)."""
     weights = class_weights(train)
-    data = model_input(train.join(F.broadcast(weights), "is_cancelled"), categorical, numeric)
+    data = _typed(train.join(F.broadcast(weights), "is_cancelled"), categorical, numeric, "weight")
     n_train = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             maxIter=max_iter, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False)
-    return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [lr]).fit(data)
+    try:
+        return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [lr]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def fit_gbt(train: DataFrame, categorical=APP_CATEGORICAL_FEATURES, numeric=APP_NUMERIC_FEATURES,
             n_trees: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8,
             seed: int = 42, category_fill: str = "constant") -> PipelineModel:
     """M8: boosted trees - 300 trees, depth 4, learning rate 0.05, row sample 0.8."""
-    data = model_input(train, categorical, numeric)
+    data = _typed(train, categorical, numeric)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=n_trees, maxDepth=depth,
                         stepSize=rate, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [gbt]).fit(data)
+    try:
+        return Pipeline(stages=preprocess_stages(data, categorical, numeric, category_fill) + [gbt]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, categorical=APP_CATEGORICAL_FEATURES,

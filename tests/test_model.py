@@ -60,3 +60,17 @@ def test_stream_scores_equal_batch_scores(spark, small_dir):
     scale = 100.0 if max(r.p for r in rows) > 1 else 1.0
     assert len(rows) == len(want)
     assert all(abs(r.p / scale - want[r.booking_id]) < 1e-6 for r in rows)
+
+
+@pytest.mark.parametrize("fit", [model.fit_gbt, model.fit_logistic])
+def test_a_fit_makes_its_inputs_once(planted, tmp_path, fit):
+    made = str(tmp_path / "made")
+
+    @F.udf("double")
+    def counted(x):
+        with open(made, "a") as f:
+            f.write("x")
+        return x
+    train = planted.where("booking_id < 400").withColumn("x", counted("x"))
+    fit(train, CATS, NUMS, **({"n_trees": 2, "depth": 2} if fit is model.fit_gbt else {"max_iter": 3}))
+    assert len(open(made).read()) == 400
