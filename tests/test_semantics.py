@@ -305,3 +305,50 @@ def test_searches_ask_for_every_id_divisible_by_20_and_chunks_change_nothing(spa
     whole, cut = [sorted(map(tuple, retrieval.sparse_top_k(tf, norms, qvec, questions=asked, max_broadcast_terms=n)
                              .select("query_id", "rank", "doc_id", "score").collect())) for n in (1000, 30)]
     assert whole == cut and len(whole) == 320
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_bookings_join_many_parts_first_and_read_codes_back(spark, tmp_path, monkeypatch, few):
+    import datetime as dt
+
+    from tarmac.sources import bookings as source
+    day = dt.date(2024, 1, 1)
+    tables = {
+        "nation": ([(0, "Oman", 1), (1, "Peru", 2)], "n_nationkey long, n_name string, n_regionkey long"),
+        "customer": ([(1, 0, "Web"), (2, 1, None)], "c_custkey long, c_nationkey long, c_mktsegment string"),
+        "supplier": ([(1, 0, 5.0), (2, 1, None), (3, 9, 1.0)], "s_suppkey long, s_nationkey long, s_acctbal double"),
+        "part": ([(1, "A", "PROMO", 3), (2, "B", "LARGE", 1), (3, "C", "MEDIUM", None), (4, None, None, 2), (4, "D", "x", 2)],
+                 "p_partkey long, p_brand string, p_type string, p_size int"),
+        "orders": ([(1, 1, "O", day, "1-URGENT"), (2, 2, "F", day, None), (3, 1, None, day, "4-NOT SPECIFIED")],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string"),
+        "lineitem": ([(o, p, s, n, 3.0, 90.0, 0.0, 0.5, rf, ls, day) for n, (o, p, s, rf, ls) in enumerate([
+            (1, 1, 1, "R", "F"), (1, 2, 2, "R", "O"), (2, 3, 1, "A", None), (2, 4, 2, "N", "O"), (3, 4, 1, None, "F"),
+            (3, 1, 3, "R", "F"), (9, 1, 1, "R", "F"), (None, 1, 1, "R", "F"), (3, 2, 1, "R", None)])],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+            "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(source, "LOOKUP_ROWS", few)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        df = source.bookings(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.select("booking_id", "airline", "cabin_class", "trip_type", "booking_status", "haul_type",
+                        "origin", "destination").collect()
+    finally:
+        spark.conf.unset(key)
+    assert ("hashpartitioning(l_partkey" in plan) == (few == 0)
+    if few == 0:                                     # the exchange nearer to the result comes first in the text
+        assert plan.index("hashpartitioning(l_orderkey") < plan.index("hashpartitioning(l_partkey")
+    m, lg = "Medium-Haul", "Long-Haul"
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        ("1-0-1-1-3", "A", "First", "One-Way", "Cancelled", m, "Oman", "Oman"),
+        ("1-1-2-2-3", "B", "Business", "One-Way", "Refunded", lg, "Peru", "Oman"),
+        ("2-2-3-1-3", "C", "Premium Economy", "Round-Trip", "Ticketed", lg, "Oman", "Peru"),
+        ("2-3-4-2-3", None, "Economy", "Round-Trip", "Confirmed", m, "Peru", "Peru"),
+        ("2-3-4-2-3", "D", "Economy", "Round-Trip", "Confirmed", m, "Peru", "Peru"),
+        ("3-4-4-1-3", None, "Economy", "Multi-City", None, m, "Oman", "Oman"),
+        ("3-4-4-1-3", "D", "Economy", "Multi-City", None, m, "Oman", "Oman"),
+        ("3-8-2-1-3", "B", "Business", "Multi-City", None, m, "Oman", "Oman")]))
