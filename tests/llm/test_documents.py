@@ -315,6 +315,35 @@ def test_suffix_repeats(spark, nothing, monkeypatch, hot):
     assert suffix.drop_repeats(nothing).count() == 0
 
 
+def test_hot_grams_need_no_further_pass_over_the_texts(spark, monkeypatch):
+    rows = [(i, "the very same long passage that all of these documents hold, word by word, " + "xyz"[i % 3] * i, "", "", 0)
+            for i in range(40)]
+    read = {}
+    for hot in (100_000, 1):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        docs = frame(spark, rows).select("doc_id", "text").mapInArrow(counted, "doc_id bigint, text string")
+        suffix.repeated_spans(docs).count()
+        read[hot] = seen.value
+    assert read[1] == read[100_000] > 0
+
+
+def test_one_document_stands_for_the_windows_of_a_hot_gram():
+    import pyarrow as pa
+    text = b"0123456789" * 5
+    n = 3000
+    held = pa.table([pa.array(x) for x in ([7] * n, range(n), range(n), [0] * n, [0] * n, [0] * n, [0] * n, [text] * n)],
+                    names=suffix.CONTEXT.names).cast(suffix.CONTEXT)
+    windows, found = suffix.hot_windows(held)
+    assert windows.select(["doc", "k", "start", "n"]).to_pylist() == [{"doc": 0, "k": 0, "start": 0, "n": 1}]
+    assert sorted(found["k"].to_pylist()) == list(range(1, n))
+
+
 def test_long_texts_are_cut_into_overlapping_buffers(monkeypatch):
     rng = np.random.default_rng(0)
     text = rng.integers(97, 100, 5000).astype(np.uint8).tobytes()
@@ -373,6 +402,24 @@ def test_a_word_before_any_signs_goes_through_the_library_once(name):
     assert " ".join(seen).count("towerx") == 1
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_recur_outlive_a_full_memory(name):
+    from tarmac.llm.encode import Encoder
+    lib = Tokenizer.from_file(catalog.tokenizer_file(name))
+    encoder, seen = Encoder(catalog.tokenizer_file(name), remember=10), []
+
+    class Counting:
+        def encode_batch_fast(self, part, **kwargs):
+            seen.extend(part)
+            return lib.encode_batch_fast(part, **kwargs)
+    encoder.lib = Counting()
+    for i in range(4):
+        text = "a tower " + " ".join(f"w{i}x{j}" for j in range(50)) + " tower, at last"
+        assert encoder.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert " ".join(seen).count("tower") == 1
+    assert len(encoder.index) < 130
+
+
 def test_a_tokenizer_that_merges_over_blanks_sees_whole_texts(monkeypatch, tmp_path):
     from tokenizers import models
     from tarmac.llm import encode
