@@ -1,13 +1,10 @@
 """M8, second-order boosted trees on binned rows.
 
 Every number becomes the index of one of at most ``MAX_BINS`` quantile bins (a byte), every
-category the index of its level, once, before the first tree.  The binned rows are blocks
-of bytes, cached as such.  A level of a tree is then one Spark
-aggregation: tasks add up gradient and hessian per (node, column, bin) of their blocks, the
-arrays are summed in a tree of tasks, and the driver, which only sees sums, picks for each
-node the split of the largest gain.  The arrays are added by an RDD reduction because a fit
-makes a thousand of these small sums: as DataFrame jobs over (slot, sum) rows the planning
-alone took four times as long as the whole reduction does.  The one-hot columns are never built: a split on
+category the index of its level, once, before the first tree.  A level of a tree is one pass
+over the binned rows (``tree_rows.py``): tasks add up gradient and hessian per (node, column,
+bin), and the driver, which only sees sums, picks for each
+node the split of the largest gain.  The one-hot columns are never built: a split on
 one is "this level against all others", read from the level's own sums.
 
 * Leaf weight -G / (H + l2), gain of a split GL²/(HL+l2) + GR²/(HR+l2) - G²/(H+l2), both
@@ -15,32 +12,29 @@ one is "this level against all others", read from the level's own sums.
   a probability of 0.5.
 * Gradients and hessians are added as integers (units of 2**-24), so neither the number of
   tasks nor their order changes a tree.
-* Only left children are summed; a right child is its parent without its sibling.
-* The rows carry their margins: a tree is applied to them once, when it is grown.  Every
-  ``REFRESH`` trees they are checkpointed, so a lost task never needs more trees than that.
+* The rows' margins are kept beside their bins: a tree is applied to them once, when the next
+  one is begun.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import RDD, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import APP_CATEGORICAL_FEATURES, APP_NUMERIC_FEATURES
-from ..session import checkpoint_dir, remove_path, scratch_path, ship
-from .model import model_input, preprocess_stages
+from ..session import scratch_path, ship
+from .model import model_input, preprocess_stages, typed_inputs
+from .tree_rows import OUT, Layout, TreeRows, Trees, bin_codes, binned, grow
 
 MAX_BINS = 256
-#: Trees after which the rows and their margins are written anew.
+#: Trees after which the grown trees are sent to the executors; a pass carries the later ones.
 REFRESH = 15
 #: Rows of a task of the histogram pass: this many on small data, and on large data not fewer
 #: tasks than cores and not more rows than MOST_ROWS.
@@ -52,39 +46,6 @@ LEAST_GAIN = 1e-6
 UNIT = float(1 << 24)
 
 
-@dataclass
-class Trees:
-    """Complete binary trees as arrays (tree x node): node i has the children 2i+1 and 2i+2.
-
-    ``column`` is the split column (-1: a leaf), ``cut`` the last bin that goes left, or the
-    level that goes right where the column is a category; ``gain`` is the split's.
-    """
-    column: np.ndarray
-    cut: np.ndarray
-    gain: np.ndarray
-    value: np.ndarray
-    depth: int
-
-    def leaves(self, codes: np.ndarray, n_numeric: int, tree: int, levels: int | None = None) -> np.ndarray:
-        node = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
-        for _ in range(self.depth if levels is None else levels):
-            column = self.column[tree][node]
-            code, cut = codes[rows, column], self.cut[tree][node]
-            right = np.where(column < n_numeric, code > cut, code == cut)
-            node = np.where(column >= 0, 2 * node + 1 + right, node)
-        return node
-
-    def margin(self, codes: np.ndarray, n_numeric: int) -> np.ndarray:
-        out = np.zeros(len(codes))
-        for t in range(len(self.column)):
-            out += self.value[t][self.leaves(codes, n_numeric, t)]
-        return out
-
-    def part(self, first: int, last: int) -> Trees:
-        return Trees(*(x[first:last] for x in (self.column, self.cut, self.gain, self.value)), self.depth)
-
-
 @dataclass
 class BoostedModel:
     """Fitted preprocessing, bin edges and trees; stored as Spark tables."""
@@ -155,9 +116,7 @@ class BoostedModel:
 
 def _codes(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
     """Rows x columns: the bin of each number (how many edges are below it), the level of each category."""
-    made = [np.searchsorted(e, x) for x, e in zip(columns, edges)]
-    made += [np.nan_to_num(x, nan=-1).astype(np.int64) for x in columns[len(edges):]]
-    return np.column_stack(made).astype(np.int32)
+    return np.column_stack(bin_codes(columns, edges)).astype(np.int32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -182,125 +141,25 @@ def quantile_edges(rows: DataFrame, columns: list[str], bins: int = MAX_BINS) ->
     return [np.unique(np.array(found[c] or [], float)) for c in columns]
 
 
-class _Rows:
-    """The binned rows in cached blocks: codes column by column, label, key, margin and what to add to it.
-
-    A tree makes new blocks from the cached ones; the old ones go once the new ones have been read.
-    """
+@dataclass
+class SecondOrder:
+    """Gradient and hessian of the logistic loss, in units of 2**-24, for a tree's sample of the rows."""
+    seed: int
+    share: float
+    channels = stored = 2
+
+    def values(self, label: np.ndarray, margin: np.ndarray, tree: int, key: np.ndarray, part: int,
+               first: int) -> np.ndarray:
+        p = 1 / (1 + np.exp(-margin))
+        out = np.empty((2, len(label)), np.int32)
+        out[0] = np.rint((p - label) * UNIT)
+        out[1] = np.rint(np.maximum(p * (1 - p), 1e-16) * UNIT)
+        if self.share < 1:
+            out[0, ~sampled(key, tree, self.seed, self.share)] = OUT
+        return out
 
-    def __init__(self, blocks: DataFrame, n_numeric: int):
-        spark = blocks.sparkSession
-        checkpoint_dir(spark)
-        self.spark, self.n_numeric = spark, n_numeric
-        self.path = scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}")
-        blocks.write.parquet(self.path)
-        table = spark.read.schema(blocks.schema).parquet(self.path)
-        self.blocks: RDD = table.rdd.map(lambda row: _packed(row, n_numeric)).persist(StorageLevel.MEMORY_AND_DISK)
-        self.before: RDD | None = None
-
-    def add(self, tree: Trees, store: bool) -> None:
-        """Add the values of one tree; with ``store`` the rows are checkpointed at their next reading."""
-        n_numeric = self.n_numeric
-
-        def stepped(block: tuple) -> tuple:
-            codes, _, _, margin, since = _opened(block)
-            since = since + tree.value[0][tree.leaves(codes, n_numeric, 0)]
-            if store:
-                margin, since = margin + since, np.zeros(len(since))
-            return (*block[:4], margin.tobytes(), since.tobytes())
-        self.before, self.blocks = self.blocks, self.blocks.map(stepped).persist(StorageLevel.MEMORY_AND_DISK)
-        if store:
-            self.blocks.checkpoint()
-
-    def was_read(self) -> None:
-        """All blocks are cached now: what they were made from goes."""
-        if self.before is None:
-            return
-        self.before.unpersist()
-        self.before = None
-        stored = self.blocks.getCheckpointFile()
-        if stored:
-            remove_path(self.spark, self.path)
-            self.path = stored
-
-    def drop(self) -> None:
-        self.blocks.unpersist()
-        if self.before is not None:
-            self.before.unpersist()
-        remove_path(self.spark, self.path)
-
-
-BLOCK_SCHEMA = "bins binary, levels binary, label binary, key binary, margin binary"
-
-
-def _packed(row, n_numeric: int) -> tuple:
-    """A row of the block table as (codes by column, their type, label, key, margin, sum since then)."""
-    n = len(row[2])
-    bins = np.frombuffer(row[0], np.uint8).reshape(n, n_numeric)
-    levels = np.frombuffer(row[1], "<i4").reshape(n, -1) if n else np.empty((0, 0), np.int32)
-    kind = "<i2" if levels.max(initial=0) < 1 << 15 else "<i4"
-    codes = np.hstack([bins.astype(kind), levels.astype(kind)])
-    return codes.T.tobytes(), kind, bytes(row[2]), bytes(row[3]), bytes(row[4]), bytes(8 * n)
-
-
-def _opened(block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, label, key, margin, sum since then) of a block; a column of the codes is contiguous."""
-    label, key, margin, since = (np.frombuffer(block[i], kind) for i, kind in
-                                 ((2, np.uint8), (3, np.int64), (4, np.float64), (5, np.float64)))
-    n = len(label)
-    codes = np.frombuffer(block[0], block[1]).reshape(-1, n).T if n else np.empty((0, 0), np.int16)
-    return codes, label, key, margin, since
-
-
-def _binned(made: DataFrame, inputs: list[str], edges: list[np.ndarray], key: str, tasks: int) -> DataFrame:
-    n_numeric = len(edges)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = _codes([batch.column(c).to_numpy(zero_copy_only=False) for c in inputs], edges)
-            parts = (codes[:, :n_numeric].astype(np.uint8), codes[:, n_numeric:].astype("<i4"),
-                     batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint8),
-                     batch.column("key").to_numpy().astype(np.int64), np.zeros(len(codes)))
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-                                              for x in parts], names=["bins", "levels", "label", "key", "margin"])
-    rows = made.select(*inputs, "label", F.xxhash64(key).alias("key")).repartition(tasks, "key")
-    return rows.mapInArrow(encode, BLOCK_SCHEMA)
-
-
-def _sums(data: _Rows, now: Trees, level: int, tree: int, nodes: list[int], widths: list[int],
-          seed: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and hessian sums (len(nodes) x all bins) of the rows in ``nodes`` of the tree being grown."""
-    starts = np.concatenate([[0], np.cumsum(widths)])
-    place = np.full(now.column.shape[1], -1)
-    place[nodes] = np.arange(len(nodes))
-    n_numeric, size = data.n_numeric, int(starts[-1])
-
-    def add(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
-        total = np.zeros((2, len(nodes), size), np.int64)
-        for block in rows:
-            codes, label, keys, margin, since = _opened(block)
-            at = place[now.leaves(codes, n_numeric, 0, level)]
-            inside = np.flatnonzero((at >= 0) & sampled(keys, tree, seed, share))
-            at, label = at[inside], label[inside]
-            p = 1 / (1 + np.exp(-(margin[inside] + since[inside])))
-            g, h = np.rint((p - label) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-16) * UNIT)
-            for c, (first, width) in enumerate(zip(starts, widths)):
-                code = codes[:, c][inside]
-                slot = at * width + code
-                known = (code >= 0) & (code < width)
-                whole = known.all()
-                # Sums of a block stay far below 2**53, so the doubles are exact.
-                for k, x in enumerate((g, h)):
-                    sums = np.bincount(slot, x, len(nodes) * width) if whole else \
-                        np.bincount(slot[known], x[known], len(nodes) * width)
-                    total[k, :, first:first + width] += sums.reshape(-1, width).astype(np.int64)
-        yield total
-    parts = data.blocks.mapPartitions(add)
-    wide = parts.getNumPartitions() > WIDE
-    found = parts.treeReduce(np.add, 2) if wide else parts.reduce(np.add)
-    data.was_read()
-    g, h = found / UNIT
-    return g, h
+    def weights(self, values: np.ndarray) -> list:
+        return [values[0].astype(float), values[1].astype(float)]
 
 
 def _ten_digits(x: np.ndarray) -> np.ndarray:
@@ -345,50 +204,36 @@ def fit_newton(train: DataFrame, categorical: list[str] = APP_CATEGORICAL_FEATUR
     """
     spark = train.sparkSession
     ship(spark)
-    data = model_input(train, categorical, numeric)
-    fill, scale = preprocess_stages(data, categorical, numeric, category_fill)[:2]
-    index = StringIndexer(inputCols=[f"{c}__f" for c in categorical], outputCols=[f"{c}__idx" for c in categorical],
-                          handleInvalid="keep", stringOrderType="alphabetAsc")
-    prep = Pipeline(stages=[fill, scale, index]).fit(data)
-    made = prep.transform(data)
-    levels = [list(x) for x in prep.stages[-1].labelsArray]
-    scaled = [f"{c}__dz" for c in numeric]
-    edges = quantile_edges(made, scaled, bins)
-    n = data.count()
-    tasks = max(1, min(n // TASK_ROWS, max(spark.sparkContext.defaultParallelism, n // MOST_ROWS)))
-    inputs = scaled + [f"{c}__idx" for c in categorical]
-    rows = _Rows(_binned(made, inputs, edges, key, tasks), len(numeric))
-    widths = [len(e) + 1 for e in edges] + [len(x) for x in levels]
-    shape = (n_trees, 2 ** (depth + 1) - 1)
-    trees = Trees(np.full(shape, -1), np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape), depth)
-
-    for tree in range(n_trees):
-        now = trees.part(tree, tree + 1)
-        ask, parents = [0], {}                            # the nodes to sum, and what a sibling is taken from
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for at in range(depth):
-            g, h = _sums(rows, now, at, tree, ask, widths, seed, subsample)
-            level = {}
-            for node, gn, hn in zip(ask, g, h):
-                level[node] = (gn, hn)
-                if node:
-                    pg, ph = parents[(node - 1) // 2]
-                    level[node + 1] = (pg - gn, ph - hn)
-            sums, ask, parents = level, [], {}
-            for node, (gn, hn) in sums.items():
-                g_all, h_all = gn[:widths[0]].sum(), hn[:widths[0]].sum()
-                if node == 0:
-                    now.value[0, 0] = -rate * g_all / (h_all + l2)
-                gain, column, cut, gl, hl = best_split(gn, hn, widths, len(numeric), l2, min_child_weight)
-                if column >= 0:
-                    now.column[0, node], now.cut[0, node], now.gain[0, node] = column, cut, gain
-                    now.value[0, 2 * node + 1] = -rate * gl / (hl + l2)
-                    now.value[0, 2 * node + 2] = -rate * (g_all - gl) / (h_all - hl + l2)
-                    ask.append(2 * node + 1)
-                    parents[node] = (gn, hn)
-            if not ask:
-                break
-        if tree + 1 < n_trees:
-            rows.add(now, (tree + 1) % REFRESH == 0)
-    rows.drop()
+    data = typed_inputs(train.withColumn("_key", F.xxhash64(key)), categorical, numeric, "_key")
+    try:
+        fill, scale = preprocess_stages(data, categorical, numeric, category_fill)[:2]
+        index = StringIndexer(inputCols=[f"{c}__f" for c in categorical], outputCols=[f"{c}__idx" for c in categorical],
+                              handleInvalid="keep", stringOrderType="alphabetAsc")
+        prep = Pipeline(stages=[fill, scale, index]).fit(data)
+        made = prep.transform(data)
+        levels = [list(x) for x in prep.stages[-1].labelsArray]
+        scaled = [f"{c}__dz" for c in numeric]
+        edges = quantile_edges(made, scaled, bins)
+        n = data.count()
+        tasks = max(1, min(n // TASK_ROWS, max(spark.sparkContext.defaultParallelism, n // MOST_ROWS)))
+        inputs = scaled + [f"{c}__idx" for c in categorical]
+        widths = [len(e) + 1 for e in edges] + [len(x) for x in levels]
+        layout = Layout(len(numeric), widths)
+        blocks = binned(made.withColumnRenamed("_key", "key"), inputs, edges, layout)
+        rows = TreeRows(blocks, layout, SecondOrder(seed, subsample),
+                        scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}"), tasks, REFRESH, WIDE)
+    finally:
+        data.unpersist()
+
+    def choose(sums: np.ndarray) -> tuple:
+        gain, column, cut, gl, hl = best_split(*(sums / UNIT), widths, len(numeric), l2, min_child_weight)
+        return gain, column, cut, np.array([gl, hl]) * UNIT
+
+    def settle(trees: Trees, tree: int, node: int, sums: np.ndarray) -> None:
+        g, h = sums / UNIT
+        trees.value[tree, node] = -rate * g / (h + l2)
+    try:
+        trees = grow(rows, n_trees, depth, choose, settle)
+    finally:
+        rows.drop()
     return BoostedModel(prep, list(numeric), list(categorical), levels, edges, trees)
